@@ -48,6 +48,11 @@ def live_snapshots(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def state_columns(log: DataFrame) -> list[str]:
+    """Columns of a state: those of the log less what tells versions apart."""
+    return [c for c in log.columns if c not in ("status", "kind", "snapshot_ts")]
+
+
 def newest_rows(log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Last row of every key; at equal times a delta outranks a base."""
     order = Window.partitionBy(*keys).orderBy(
@@ -59,27 +64,19 @@ def newest_rows(log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
 def replay(log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Current state of live log rows, removed entries included.
 
-    A removal keeps the entry's last metadata, changes its flag and time, and is
-    ignored where the path was never known. One shuffle and one sort on the key;
-    both window expressions share them.
+    The newest row of a key counts; a removal row carries the metadata it ends, and
+    is ignored where the path was never known. One shuffle and one sort on the key
+    serve both window expressions, and columns nobody asks for stay out of them.
     """
-    meta = [c for c in log.columns if c not in (*keys, "status", "on_disk", "indexed_at")]
     order = Window.partitionBy(*keys).orderBy(F.desc("snapshot_ts"), F.desc("kind"))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    alive = F.when(~F.col("status").eqNullSafe(REMOVED), F.struct(*meta))
-    return (
-        log.withColumn("_meta", F.first(alive, ignorenulls=True).over(whole))
-        .withColumn("_rn", F.row_number().over(order))
-        .filter("_rn = 1 AND _meta IS NOT NULL")
+    known = F.max(~F.col("status").eqNullSafe(REMOVED)).over(whole)
+    newest = (
+        log.withColumns({"_known": known, "_rn": F.row_number().over(order)})
+        .filter("_rn = 1 AND _known")
         .withColumn("on_disk", resolve_on_disk(F.col("on_disk"), F.col("status")))
-        .select(
-            *keys,
-            *[F.col("_meta")[c].alias(c) for c in meta],
-            "indexed_at",
-            "on_disk",
-        )
-        .select(*[c for c in log.columns if c != "status"])
     )
+    return newest.select(*state_columns(log))
 
 
 def merge_on_read(
@@ -100,7 +97,7 @@ def merge_on_read(
     changed = deltas.select(*keys)
     if broadcast_keys:
         changed = F.broadcast(changed)
-    columns = [c for c in base.columns if c != "status"]
+    columns = state_columns(base)
     kept = base.join(changed, list(keys), "left_anti").withColumn(
         "on_disk", resolve_on_disk(F.col("on_disk"))
     )

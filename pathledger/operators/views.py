@@ -7,13 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import resolve_on_disk
 from ..schema import DELTA, KEY
-from .versions import newest_rows
-
-_LOG_ONLY = ("status", "kind", "snapshot_ts")
-
-
-def _view_columns(log: DataFrame) -> list[str]:
-    return [c for c in log.columns if c not in _LOG_ONLY]
+from .versions import newest_rows, state_columns
 
 
 def files_view(log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -25,14 +19,14 @@ def files_view(log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return (
         newest_rows(log, keys)
         .withColumn("on_disk", resolve_on_disk(F.col("on_disk"), F.col("status")))
-        .select(*_view_columns(log))
+        .select(*state_columns(log))
     )
 
 
 def files_view_base_only(bases: DataFrame) -> DataFrame:
     """View of experiments without deltas: a plain scan, no shuffle."""
     return bases.withColumn("on_disk", resolve_on_disk(F.col("on_disk"))).select(
-        *_view_columns(bases)
+        *state_columns(bases)
     )
 
 

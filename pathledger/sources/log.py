@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import resolve_on_disk
+from ..operators.views import files_view_base_only
 from ..operators.versions import live_snapshots, merge_on_read, replay
 from ..schema import BASE, COMMIT_SCHEMA, DELTA, FILE_SCHEMA, LOG_SCHEMA
 from .local import local_frame, strings
@@ -59,8 +59,7 @@ class LiveLog(NamedTuple):
         """
         if strategy == "auto":
             strategy = "merge" if self.keys_fit else "replay"
-        settled = self.settled.withColumn("on_disk", resolve_on_disk(F.col("on_disk")))
-        settled = settled.drop("status")
+        settled = files_view_base_only(self.settled)
         if strategy == "merge":
             changing = merge_on_read(self.bases, self.deltas, broadcast_keys=self.keys_fit)
         elif strategy == "replay":
