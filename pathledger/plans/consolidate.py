@@ -1,8 +1,9 @@
 """Compaction: one base per experiment in place of a base and its deltas."""
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BASE, COMMIT_SCHEMA, FILE_SCHEMA, PARTITION_COLUMNS
@@ -65,27 +66,65 @@ def archive_snapshots(store: LogStore, archive_dir: str | None = None) -> int:
     """Moves retired snapshots to ``<archive>/exp_dir=/kind=/snapshot_ts=``, or deletes them.
 
     On a store with cheap renames each snapshot is one rename; elsewhere Spark
-    writes the copies in parallel before the originals go. Returns the number of
-    snapshots handled. A snapshot handled before a failure is not met again.
+    writes the copies in parallel. Copies are committed before any original goes, so
+    repeating a failed run never reads a half-deleted one. Returns the number of
+    snapshots handled.
     """
-    commits = store.commits()
     place = ["exp_dir", "kind", "snapshot_ts"]
-    gone = commits.filter("action = 'purge'").select(*place)
-    pending = commits.filter("action = 'retire'").select(*place).join(gone, place, "left_anti")
-    pending = [Snapshot(*r) for r in pending.distinct().collect()]
-    present = [s for s in pending if store.storage.exists(store.snapshot_dir(s))]
-    if present and archive_dir:
+    state = (
+        store.commits()
+        .groupBy(*place)
+        .agg(
+            F.bool_or(F.col("action") == "retire").alias("retired"),
+            F.bool_or(F.col("action") == "archive").alias("archived"),
+            F.bool_or(F.col("action") == "purge").alias("purged"),
+        )
+        .filter("NOT purged")
+    )
+    # Folders of one write whose snapshots are all retired go in one operation.
+    folder = Window.partitionBy("kind", "snapshot_ts")
+    pending = (
+        state.withColumn("whole", F.bool_and("retired").over(folder))
+        .filter("retired")
+        .select(*place, "archived", "whole")
+        .collect()
+    )
+    if not pending:
+        return 0
+    snapshots = [Snapshot(r.exp_dir, r.kind, r.snapshot_ts) for r in pending]
+    missing = [s for s, r in zip(snapshots, pending) if not r.archived]
+    if archive_dir and missing:
         if store.storage.can_move(store.log_dir, archive_dir):
-            for s in present:
-                store.storage.move(store.snapshot_dir(s), _archived(archive_dir, s))
+            _each(lambda s: _move(store, s, archive_dir), missing)
         else:
-            _copy(store, present, archive_dir)
-    for s in present:
-        store.storage.delete(store.snapshot_dir(s))
-    if pending:
-        purged = local_frame(store.spark, pending, strings(*place))
-        store.commit(_typed(purged.withColumn("action", F.lit("purge"))))
-    return len(present)
+            _copy(store, missing, archive_dir)
+        _mark(store, missing, "archive")
+    doomed = {
+        store.write_dir(r.snapshot_ts, r.kind)
+        if r.whole
+        else store.snapshot_dir(Snapshot(r.exp_dir, r.kind, r.snapshot_ts))
+        for r in pending
+    }
+    _each(store.storage.delete, doomed)
+    _mark(store, snapshots, "purge")
+    return len(snapshots)
+
+
+def _mark(store: LogStore, snapshots: list[Snapshot], action: str) -> None:
+    rows = local_frame(store.spark, snapshots, strings(*Snapshot._fields))
+    store.commit(_typed(rows.withColumn("action", F.lit(action))))
+
+
+def _each(operation: Callable, items: Iterable) -> None:
+    """Metadata operations of the store, several at a time."""
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(operation, items))
+
+
+def _move(store: LogStore, snapshot: Snapshot, archive_dir: str) -> None:
+    source = store.snapshot_dir(snapshot)
+    if store.storage.exists(source):
+        store.storage.move(source, _archived(archive_dir, snapshot))
 
 
 def _archived(archive_dir: str, snapshot: Snapshot) -> str:

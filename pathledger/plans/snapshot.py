@@ -52,8 +52,8 @@ def record_snapshot(
     elif not store.commits().filter(F.col("snapshot_ts") == snapshot_ts).isEmpty():
         raise ValueError(f"snapshot {snapshot_ts} exists already")
 
-    bases = store.snapshots().filter(F.col("kind") == BASE)
-    known = {r.exp_dir for r in bases.select("exp_dir").distinct().collect()} & roots.keys()
+    live = store.live(roots)
+    known = live.exp_dirs
     fresh = roots.keys() - known
 
     measured = []
@@ -68,7 +68,7 @@ def record_snapshot(
         store.write_base(rows, snapshot_ts)
         measured += store.measure(snapshot_ts, BASE).collect()
     if known:
-        previous = _below_roots(store, store.live(known).state(), targets, known)
+        previous = _below_roots(store, live.state(), targets, known)
         changes = snapshot_diff(
             previous.drop("indexed_at", *_DERIVED),
             _only(store, inventory, known, fresh).drop(*_DERIVED),
@@ -85,9 +85,9 @@ def record_snapshot(
         store.write_delta(rows, snapshot_ts)
         measured += store.measure(snapshot_ts, DELTA).collect()
 
-    refused = {}
+    refused: dict[str, str] = {}
     if max_removed_fraction is not None and known:
-        refused = _refused(store, targets, known, measured, max_removed_fraction)
+        refused = _refused(previous, measured, max_removed_fraction)
     kept = [m for m in measured if m.exp_dir not in refused]
     if kept:
         store.commit(
@@ -132,14 +132,12 @@ def _below_roots(store: LogStore, state: DataFrame, targets, exp_dirs: set[str])
     return state.join(scanned, inside, "left_semi")
 
 
-def _refused(store, targets, known, measured, limit) -> dict[str, str]:
+def _refused(previous: DataFrame, measured, limit: float) -> dict[str, str]:
     losing = [m for m in measured if m.n_removed]
     if not losing:
         return {}
-    state = _below_roots(store, store.live(known).state(), targets, known)
-    on_disk = {
-        r.exp_dir: r["count"] for r in state.filter("on_disk").groupBy("exp_dir").count().collect()
-    }
+    counts = previous.filter("on_disk").groupBy("exp_dir").count().collect()
+    on_disk = {r.exp_dir: r["count"] for r in counts}
     return {
         m.exp_dir: f"{m.n_removed} of {on_disk[m.exp_dir]} files would be removed"
         for m in losing

@@ -50,7 +50,8 @@ ADDED, MODIFIED, REMOVED = "added", "modified", "removed"
 # File-type bits of st_mode (fixed by POSIX).
 S_IFMT, S_IFLNK, S_IFREG = 0o170000, 0o120000, 0o100000
 
-# One row per snapshot and action: "add" makes a snapshot visible, "retire" hides it.
+# One row per snapshot and action: "add" makes a snapshot visible, "retire" hides it;
+# "archive" and "purge" record what then became of its files.
 COMMIT_SCHEMA = T.StructType(
     [
         T.StructField("action", T.StringType()),

@@ -1,6 +1,7 @@
 """Read-only access to a flat catalog: ``<root>/<experiment>/{base,delta}_<ts>.parquet``."""
 
 import re
+from typing import NamedTuple
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -8,13 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import BASE, DELTA, FILE_SCHEMA, LOG_SCHEMA
+from ..schema import FILE_SCHEMA, LOG_SCHEMA
 from .local import local_frame
-from .log import LiveLog
+from .log import LiveLog, split_live
 
 _NAME = r"([^/]+)/(base|delta)_([^/]*)\.parquet$"
 
 
+class FlatFile(NamedTuple):
+    exp_dir: str
+    kind: str
+    snapshot_ts: str
+    path: str
+
+
 class FlatLog:
     """Files are read where they are; nothing is converted or written.
 
@@ -36,7 +44,7 @@ class FlatLog:
         frame = (
             self.spark.read.schema(FILE_SCHEMA)
             .option("pathGlobFilter", "*.parquet")
-            .parquet(*paths)
+            .parquet(*[_glob_literal(p) for p in paths])
             .select("*", where.alias("_where"), F.col("_metadata.file_size").alias("_size"))
         )
         about = [F.col("_where").alias("file"), F.col("_size").alias("size_bytes")]
@@ -48,8 +56,8 @@ class FlatLog:
             *(about if with_file else []),
         )
 
-    def _files(self) -> list[tuple[str, str, str, str]]:
-        """(exp_dir, kind, snapshot_ts, path) of every snapshot file, from one listing."""
+    def _files(self) -> list[FlatFile]:
+        """Every snapshot file, from one listing."""
         try:
             reader = self.spark.read.schema(FILE_SCHEMA).option("pathGlobFilter", "*.parquet")
             uris = reader.parquet(f"{self.root}/*/").inputFiles()
@@ -59,16 +67,16 @@ class FlatLog:
             raise
         paths = [unquote(uri) for uri in uris]
         found = [(re.search(_NAME, path), path) for path in paths]
-        return sorted((*match.groups(), path) for match, path in found if match)
+        return sorted(FlatFile(*match.groups(), path) for match, path in found if match)
 
     def read_log(self) -> DataFrame:
         """All rows of all snapshot files."""
-        return self._read([_glob_literal(f[3]) for f in self._files()])
+        return self._read([f.path for f in self._files()])
 
     def list_snapshots(self, exp_dir: str | None = None) -> DataFrame:
         """One row per snapshot file, counted from file metadata and footers."""
-        files = [f for f in self._files() if exp_dir is None or f[0] == exp_dir]
-        rows = self._read([_glob_literal(f[3]) for f in files], with_file=True)
+        files = [f for f in self._files() if exp_dir is None or f.exp_dir == exp_dir]
+        rows = self._read([f.path for f in files], with_file=True)
         return (
             rows.groupBy("exp_dir", "kind", "snapshot_ts", "file", "size_bytes")
             .agg(F.count("*").alias("record_count"))
@@ -85,23 +93,12 @@ class FlatLog:
 
     def live(self, exp_dirs=None) -> LiveLog:
         wanted = None if exp_dirs is None else set(exp_dirs)
-        files = [f for f in self._files() if wanted is None or f[0] in wanted]
-        newest: dict[str, str] = {}
-        for exp_dir, kind, ts, _ in files:
-            if kind == BASE:
-                newest[exp_dir] = max(ts, newest.get(exp_dir, ""))
-        deltas = [f for f in files if f[1] == DELTA and f[0] in newest and f[2] > newest[f[0]]]
-        changing = {f[0] for f in deltas}
-        bases = [f for f in files if f[1] == BASE and f[2] == newest[f[0]]]
-
-        def read(chosen):
-            return self._read([_glob_literal(f[3]) for f in chosen])
-
+        parts = split_live(f for f in self._files() if wanted is None or f.exp_dir in wanted)
+        # Nothing here tells how large the delta keys are, so they are not broadcast.
         return LiveLog(
-            read([f for f in bases if f[0] not in changing]),
-            read([f for f in bases if f[0] in changing]),
-            read(deltas),
+            *[self._read([f.path for f in files]) for files in parts],
             False,
+            {f.exp_dir for f in parts.settled + parts.bases},
         )
 
 

@@ -50,6 +50,7 @@ class LiveLog(NamedTuple):
     bases: DataFrame  # bases of experiments with deltas
     deltas: DataFrame
     keys_fit: bool  # the delta keys are small enough to broadcast
+    exp_dirs: set[str]  # experiments that have a state
 
     def state(self, strategy: str = "auto") -> DataFrame:
         """Current state with ``exp_dir``, removed entries included, without ``status``.
@@ -69,6 +70,30 @@ class LiveLog(NamedTuple):
         return settled.unionByName(changing)
 
 
+class LiveParts(NamedTuple):
+    settled: list
+    bases: list
+    deltas: list
+
+
+def split_live(snapshots: Iterable) -> LiveParts:
+    """Live ones among listed snapshots: of each experiment its newest base and later deltas."""
+    snapshots = list(snapshots)
+    newest: dict[str, str] = {}
+    for s in snapshots:
+        if s.kind == BASE:
+            newest[s.exp_dir] = max(s.snapshot_ts, newest.get(s.exp_dir, ""))
+    known = [s for s in snapshots if s.exp_dir in newest]
+    bases = [s for s in known if s.kind == BASE and s.snapshot_ts == newest[s.exp_dir]]
+    deltas = [s for s in known if s.kind == DELTA and s.snapshot_ts > newest[s.exp_dir]]
+    changing = {s.exp_dir for s in deltas}
+    return LiveParts(
+        [s for s in bases if s.exp_dir not in changing],
+        [s for s in bases if s.exp_dir in changing],
+        deltas,
+    )
+
+
 class LogStore:
     """Reads, appends to and retires snapshots of one catalog root."""
 
@@ -118,11 +143,20 @@ class LogStore:
         )
 
     def snapshots(self) -> DataFrame:
-        """Snapshots added and not retired."""
-        commits = self.commits()
-        retired = commits.filter("action = 'retire'").select("exp_dir", "kind", "snapshot_ts")
-        added = commits.filter("action = 'add'")
-        return added.join(retired, ["exp_dir", "kind", "snapshot_ts"], "left_anti")
+        """Snapshots added and not retired, one row each."""
+        place = ["exp_dir", "kind", "snapshot_ts"]
+        # Only the row that adds a snapshot carries its root and counts.
+        facts = [c for c in COMMIT_SCHEMA.names if c not in (*place, "action", "committed_at")]
+        return (
+            self.commits()
+            .groupBy(*place)
+            .agg(
+                F.bool_or(F.col("action") == "retire").alias("_retired"),
+                *[F.max(c).alias(c) for c in facts],
+            )
+            .filter("NOT _retired")
+            .drop("_retired")
+        )
 
     def commit(self, rows: DataFrame) -> None:
         """Publishes actions as one file, whose rename is the moment they take effect."""
@@ -171,30 +205,26 @@ class LogStore:
         if exp_dirs is not None:
             wanted = local_frame(self.spark, [(e,) for e in exp_dirs], strings("exp_dir"))
             snapshots = snapshots.join(wanted, "exp_dir", "left_semi")
-        live = live_snapshots(snapshots)
-        listed = live.select(
-            "exp_dir", "kind", "snapshot_ts", "key_bytes", "n_records"
-        ).limit(self.max_listed + 1).collect()
+        listed = (
+            snapshots.select("exp_dir", "kind", "snapshot_ts", "key_bytes", "n_records")
+            .limit(self.max_listed + 1)
+            .collect()
+        )
         if len(listed) <= self.max_listed:
             return self._live_by_path(listed)
-        return self._live_by_join(live)
+        return self._live_by_join(live_snapshots(snapshots))
 
     def _fits(self, key_bytes: int | None, n_records: int | None) -> bool:
         return (key_bytes or 0) + KEY_OVERHEAD * (n_records or 0) <= self.broadcast_bytes
 
     def _live_by_path(self, listed) -> LiveLog:
-        deltas = [r for r in listed if r.kind == DELTA]
-        changing = {r.exp_dir for r in deltas}
-        bases = [r for r in listed if r.kind == BASE]
-
-        def read(rows):
-            return self.read(Snapshot(r.exp_dir, r.kind, r.snapshot_ts) for r in rows)
-
+        parts = split_live(listed)
         return LiveLog(
-            read([r for r in bases if r.exp_dir not in changing]),
-            read([r for r in bases if r.exp_dir in changing]),
-            read(deltas),
-            self._fits(sum(r.key_bytes for r in deltas), sum(r.n_records for r in deltas)),
+            *[self.read(Snapshot(*row[:3]) for row in rows) for rows in parts],
+            self._fits(
+                sum(r.key_bytes for r in parts.deltas), sum(r.n_records for r in parts.deltas)
+            ),
+            {r.exp_dir for r in parts.settled + parts.bases},
         )
 
     def _live_by_join(self, live: DataFrame) -> LiveLog:
@@ -213,6 +243,7 @@ class LogStore:
             read(bases.join(changing, "exp_dir", "left_semi")),
             read(deltas),
             self._fits(*size),
+            {r.exp_dir for r in bases.select("exp_dir").distinct().collect()},
         )
 
     # -- writing ---------------------------------------------------------------
