@@ -201,7 +201,7 @@ ORACLES: dict[str, str] = {
     "run_extract": r"""
         SELECT o_orderkey, TRY_CAST(NULLIF(regexp_extract(path, 'run(\d+)', 1), '') AS INT) AS run
         FROM (SELECT o_orderkey, CASE o_orderkey % 5
-                WHEN 0 THEN '/prune' || o_orderkey || '/run0003/f'
+                WHEN 0 THEN '/brun' || o_orderkey || '/run0003/f'
                 WHEN 1 THEN '/scratch/run' || lpad(CAST(o_orderkey AS STRING), 9, '0') || '/f'
                 WHEN 2 THEN '/results/f_' || o_orderkey
                 WHEN 3 THEN '/xtc/run' || (o_orderkey * 1000003)

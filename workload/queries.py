@@ -128,7 +128,7 @@ def run_extract(spark, sf_dir):
     k = F.col("o_orderkey")
     text = k.cast("string")
     path = (
-        F.when(k % 5 == 0, F.concat(F.lit("/prune"), text, F.lit("/run0003/f")))
+        F.when(k % 5 == 0, F.concat(F.lit("/brun"), text, F.lit("/run0003/f")))
         .when(k % 5 == 1, F.concat(F.lit("/scratch/run"), F.lpad(text, 9, "0"), F.lit("/f")))
         .when(k % 5 == 2, F.concat(F.lit("/results/f_"), text))
         .when(k % 5 == 3, F.concat(F.lit("/xtc/run"), (k * 1000003).cast("string")))
