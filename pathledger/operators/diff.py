@@ -29,10 +29,8 @@ def snapshot_diff(
     row carries the previous metadata, any other row the current one.
     """
     details = [c for c in current.columns if c not in keys]
-    before = previous.filter("on_disk").select(
-        *keys, F.struct(*[F.col(c) for c in details]).alias("_before")
-    )
-    now = current.select(*keys, F.struct(*[F.col(c) for c in details]).alias("_now"))
+    before = previous.filter("on_disk").select(*keys, F.struct(*details).alias("_before"))
+    now = current.select(*keys, F.struct(*details).alias("_now"))
     status = (
         F.when(F.col("_before").isNull(), ADDED)
         .when(F.col("_now").isNull(), REMOVED)
@@ -40,10 +38,9 @@ def snapshot_diff(
     )
     return (
         before.join(now, list(keys), "full_outer")
-        .withColumn("status", status)
+        .select(*keys, F.coalesce("_now", "_before").alias("_row"), status.alias("status"))
         .filter("status IS NOT NULL")
-        .withColumn("_row", F.coalesce("_now", "_before"))
-        .select(*keys, *[F.col("_row")[c].alias(c) for c in details], "status")
+        .select(*keys, "_row.*", "status")
     )
 
 
@@ -75,10 +72,8 @@ def modified_entries(
     compare: Sequence[str] = COMPARED,
 ) -> DataFrame:
     """Current entries that were on disk with other values of ``compare``."""
-    before = previous.filter("on_disk").select(
-        *keys, F.struct(*[F.col(c) for c in compare]).alias("_before")
-    )
-    now = F.struct(*[F.col(c) for c in compare])
+    before = previous.filter("on_disk").select(*keys, F.struct(*compare).alias("_before"))
+    now = F.struct(*compare)
     return (
         current.join(before, list(keys))
         .filter(entry_changed(now, F.col("_before"), compare))

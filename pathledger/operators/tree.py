@@ -54,6 +54,7 @@ def _parent(parts: Column) -> Column:
 def tree_lines(nodes: DataFrame, path: str) -> DataFrame:
     """The drawing of ``tree_nodes`` as one ``line`` per row, top to bottom.
 
+    ``nodes`` is read several times: hand in a persisted or written table.
     Whether a node is the last of its siblings comes from a partial maximum per
     directory, not from a window, so a directory of any width spreads over all
     tasks. What is joined back has one row per visible directory.

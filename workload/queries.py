@@ -379,6 +379,7 @@ def tree_nodes(spark, sf_dir):
 @query
 def tree_lines(spark, sf_dir):
     nodes = ops.tree_nodes(rel.files(spark, sf_dir), TREE_PATH, 2)
+    nodes = Staging(spark, rel.scratch(spark)).write(nodes, "nodes")
     return ops.tree_lines(nodes, TREE_PATH)
 
 

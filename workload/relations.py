@@ -85,9 +85,14 @@ def inventory(spark: SparkSession, sf_dir: str, scan: int | None = None) -> Data
     )
 
 
+def _scan(scans: DataFrame, number: int) -> DataFrame:
+    """One scan of an inventory with the columns of a log."""
+    rows = scans.filter(F.col("t") == number)
+    return rows.select(F.col("experiment").alias("exp_dir"), *FILE)
+
+
 def scan_rows(spark: SparkSession, sf_dir: str, scan: int) -> DataFrame:
-    """One scan with the columns of a log."""
-    return inventory(spark, sf_dir, scan).select(F.col("experiment").alias("exp_dir"), *FILE)
+    return _scan(inventory(spark, sf_dir, scan), scan)
 
 
 def _stamped(rows: DataFrame, ts: str, kind: str) -> DataFrame:
@@ -97,14 +102,22 @@ def _stamped(rows: DataFrame, ts: str, kind: str) -> DataFrame:
 
 
 def base_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stamped(scan_rows(spark, sf_dir, 0), "t0", BASE)
+    return _base_log(inventory(spark, sf_dir, 0))
+
+
+def _base_log(scans: DataFrame) -> DataFrame:
+    rows = _stamped(_scan(scans, 0), "t0", BASE)
     return rows.withColumns({"on_disk": F.lit(True), "status": F.lit(None).cast("string")})
 
 
 def delta_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of the two later scans, each against the scan before it."""
-    earlier = scan_rows(spark, sf_dir, 0).filter(F.substring("experiment", 1, 3).isin(RESCANNED))
-    second, third = (scan_rows(spark, sf_dir, t) for t in (1, 2))
+    return _delta_log(inventory(spark, sf_dir))
+
+
+def _delta_log(scans: DataFrame) -> DataFrame:
+    earlier = _scan(scans.filter(F.col("hutch").isin(RESCANNED)), 0)
+    second, third = _scan(scans, 1), _scan(scans, 2)
     there = F.lit(True)
     first_changes = snapshot_diff(earlier.withColumn("on_disk", there), second)
     second_changes = snapshot_diff(second.withColumn("on_disk", there), third)
@@ -116,7 +129,8 @@ def delta_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base_log(spark, sf_dir).unionByName(delta_log(spark, sf_dir))
+    scans = inventory(spark, sf_dir)
+    return _base_log(scans).unionByName(_delta_log(scans))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
