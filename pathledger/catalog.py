@@ -25,24 +25,30 @@ class CatalogReader:
         self.log = log
         self.strategy = strategy
 
-    def current_state(self, exp_dirs: Iterable[str] | None = None) -> DataFrame:
+    def current_state(
+        self, exp_dirs: Iterable[str] | None = None, under: str | None = None
+    ) -> DataFrame:
         """Newest record of every (exp_dir, path), removed ones included."""
-        return self.log.live(exp_dirs).state(self.strategy)
+        return self.log.live(exp_dirs, under).state(self.strategy)
 
-    def files(self, experiment: str | None = None) -> DataFrame:
-        """The ``files`` relation; of one experiment, only its directories are read."""
+    def files(self, experiment: str | None = None, under: str | None = None) -> DataFrame:
+        """The ``files`` relation.
+
+        Given an experiment or a directory, only the parts of the log are read that can
+        hold its entries; rows of other experiments or directories may still appear.
+        """
         # A named experiment lives under its own name; an empty name never does.
         exp_dirs = [experiment] if experiment else None
-        return self.current_state(exp_dirs).select(*VIEW_COLUMNS)
+        return self.current_state(exp_dirs, under).select(*VIEW_COLUMNS)
 
     # -- browsing and searching --------------------------------------------------
 
     def ls(self, path: str, on_disk_only: bool = False) -> DataFrame:
-        listed = ops.list_directory(self.files(), path, on_disk_only)
+        listed = ops.list_directory(self.files(under=path), path, on_disk_only)
         return as_entries(listed, ENTRY_COLUMNS)
 
     def ls_dirs(self, path: str, on_disk_only: bool = False) -> DataFrame:
-        return ops.list_directories(self.files(), path, on_disk_only)
+        return ops.list_directories(self.files(under=path), path, on_disk_only)
 
     def find(self, pattern: str = "%", experiment: str | None = None, **conditions) -> DataFrame:
         """Entries meeting all conditions; see :func:`pathledger.operators.find`."""
@@ -50,7 +56,7 @@ class CatalogReader:
         return as_entries(found, ENTRY_COLUMNS)
 
     def tree_nodes(self, path: str, depth: int = 2) -> DataFrame:
-        return ops.tree_nodes(self.files(), path, depth)
+        return ops.tree_nodes(self.files(under=path), path, depth)
 
     def tree(self, path: str, depth: int = 2, max_lines: int = 100_000) -> str:
         """The tree as text. Wider trees than ``max_lines`` are for ``tree_nodes`` or

@@ -42,7 +42,9 @@ def consolidate(
             F.lit("retire").alias("action"), "exp_dir", "kind", "snapshot_ts", "root"
         )
         old = local_frame(store.spark, old.collect(), old.schema)
-        roots = old.groupBy("exp_dir").agg(F.max("root").alias("root"))
+        # Snapshots of different roots leave a base whose root is unknown.
+        one = (F.min("root") == F.max("root")) & (F.count("root") == F.count("*"))
+        roots = old.groupBy("exp_dir").agg(F.when(one, F.max("root")).alias("root"))
 
         state = store.live(chosen).state()
         store.write_base(state.withColumn("status", F.lit(None).cast("string")), snapshot_ts)

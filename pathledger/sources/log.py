@@ -15,9 +15,10 @@ from collections.abc import Iterable
 from datetime import UTC, datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import directory_prefix
 from ..operators.views import files_view_base_only
 from ..operators.versions import live_snapshots, merge_on_read, replay
 from ..schema import BASE, COMMIT_SCHEMA, DELTA, FILE_SCHEMA, LOG_SCHEMA
@@ -70,6 +71,13 @@ class LiveLog(NamedTuple):
         return settled.unionByName(changing)
 
 
+def _related(root: Column, path: str) -> Column:
+    """True where a root may share entries with a directory; unknown roots may."""
+    here = F.lit(directory_prefix(path))
+    there = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
+    return root.isNull() | here.startswith(there) | there.startswith(here)
+
+
 class LiveParts(NamedTuple):
     settled: list
     bases: list
@@ -195,9 +203,14 @@ class LogStore:
             *LOG_SCHEMA.names
         )
 
-    def live(self, exp_dirs: Iterable[str] | None = None) -> LiveLog:
+    def live(
+        self, exp_dirs: Iterable[str] | None = None, under: str | None = None
+    ) -> LiveLog:
         """The log rows that make up the current state, optionally of some experiments.
 
+        ``under`` leaves out experiments whose scanned roots neither hold nor lie in
+        that directory: a listing then opens the files of one experiment, not of all.
+
         The names of live snapshots come to the driver only up to ``max_listed``;
         a larger catalog is read whole and cut down by a join with the commits.
         """
@@ -205,6 +218,9 @@ class LogStore:
         if exp_dirs is not None:
             wanted = local_frame(self.spark, [(e,) for e in exp_dirs], strings("exp_dir"))
             snapshots = snapshots.join(wanted, "exp_dir", "left_semi")
+        if under is not None:
+            near = snapshots.filter(_related(F.col("root"), under)).select("exp_dir").distinct()
+            snapshots = snapshots.join(near, "exp_dir", "left_semi")
         listed = (
             snapshots.select("exp_dir", "kind", "snapshot_ts", "key_bytes", "n_records")
             .limit(self.max_listed + 1)

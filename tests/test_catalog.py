@@ -245,6 +245,26 @@ def test_two_roots_under_one_name(catalog, tmp_path):
     assert catalog.snapshot(str(tmp_path / "ab"), experiment="e") == (1, 0, 0)
     assert catalog.snapshot(str(tmp_path / "a"), experiment="e") == (0, 0, 0)
     assert catalog.count(on_disk_only=True) == 2
+    catalog.consolidate()
+    assert names(catalog.ls(str(tmp_path / "ab"))) == ["two.txt"]
+    assert names(catalog.ls(str(tmp_path / "a"))) == ["one.txt"]
+
+
+def test_listing_reads_only_related_experiments(catalog, tmp_path):
+    for name in ("a/one.txt", "ab/two.txt", "c/d/three.txt"):
+        write_file(tmp_path / name, 1)
+    for name in ("a", "ab", "c"):
+        catalog.snapshot(str(tmp_path / name), experiment=name)
+
+    def near(path):
+        return sorted(catalog.log.live(under=path).exp_dirs)
+
+    assert near(str(tmp_path / "a")) == ["a"]
+    assert near(f"{tmp_path}/c/d/") == ["c"]
+    assert near(str(tmp_path)) == near("/") == ["a", "ab", "c"]
+    assert near(str(tmp_path / "x")) == []
+    assert names(catalog.ls(str(tmp_path / "c/d"))) == ["three.txt"]
+    assert [r.dirname for r in catalog.ls_dirs(str(tmp_path)).collect()] == ["a", "ab", "c"]
 
 
 def test_overlapping_roots_stay_apart_in_any_layout(catalog, experiment):
