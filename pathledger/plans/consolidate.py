@@ -46,8 +46,9 @@ def consolidate(
         one = (F.min("root") == F.max("root")) & (F.count("root") == F.count("*"))
         roots = old.groupBy("exp_dir").agg(F.when(one, F.max("root")).alias("root"))
 
-        state = store.live(chosen).state()
-        store.write_base(state.withColumn("status", F.lit(None).cast("string")), snapshot_ts)
+        live = store.live(chosen)
+        state = live.state().withColumn("status", F.lit(None).cast("string"))
+        store.write_base(state, snapshot_ts, live.n_rows)
         new = store.measure(snapshot_ts, BASE).join(roots, "exp_dir").withColumn("action", F.lit("add"))
         store.commit(_typed(new).unionByName(_typed(old)))
     done = archive_snapshots(store, archive_dir)

@@ -11,7 +11,7 @@ from ..operators.diff import COMPARED, snapshot_diff
 from ..schema import BASE, COMMIT_SCHEMA, DELTA
 from ..sources.filesystem import resolve_roots, scan_roots
 from ..sources.local import local_frame, strings
-from ..sources.log import LogStore, Snapshot, timestamp_now
+from ..sources.log import LogStore, Snapshot, spread, timestamp_now
 
 # Functions of the path: kept out of the shuffle and computed again after it.
 _DERIVED = ("parent_path", "filename")
@@ -42,8 +42,9 @@ def record_snapshot(
     ``max_removed_fraction``, an experiment losing a larger share of its files is
     left as it was and reported with an error.
     """
+    found = {r.exp_dir: r["count"] for r in inventory.groupBy("exp_dir").count().collect()}
     if targets is None:
-        targets = [(r.exp_dir, None) for r in inventory.select("exp_dir").distinct().collect()]
+        targets = [(exp_dir, None) for exp_dir in found]
     if not targets:
         return []
     roots = dict(targets)
@@ -65,13 +66,15 @@ def record_snapshot(
                 "status": F.lit(None).cast("string"),
             }
         )
-        store.write_base(rows, snapshot_ts)
+        store.write_base(rows, snapshot_ts, sum(found.get(e, 0) for e in fresh))
         measured += store.measure(snapshot_ts, BASE).collect()
     if known:
-        previous = _below_roots(store, live.state(), targets, known)
+        n_rows = live.n_rows + sum(found.get(e, 0) for e in known)
+        previous = _below_roots(store, live.state_by_key(n_rows), targets, known)
+        current = spread(_only(store, inventory, known, fresh), n_rows)
         changes = snapshot_diff(
             previous.drop("indexed_at", *_DERIVED),
-            _only(store, inventory, known, fresh).drop(*_DERIVED),
+            current.drop(*_DERIVED),
             compare=compare,
         )
         rows = changes.withColumns(

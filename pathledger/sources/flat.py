@@ -100,6 +100,7 @@ class FlatLog:
             *[self._read([f.path for f in files]) for files in parts],
             False,
             {f.exp_dir for f in parts.settled + parts.bases},
+            0,
         )
 
 

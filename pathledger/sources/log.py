@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import directory_prefix
 from ..operators.views import files_view_base_only
 from ..operators.versions import live_snapshots, merge_on_read, replay
-from ..schema import BASE, COMMIT_SCHEMA, DELTA, FILE_SCHEMA, LOG_SCHEMA
+from ..schema import BASE, COMMIT_SCHEMA, DELTA, FILE_SCHEMA, KEY, LOG_SCHEMA
 from .local import local_frame, strings
 from .storage import Staging, Storage, partition_dir
 
@@ -31,6 +31,8 @@ MAX_LISTED = 10_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 # What a broadcast key costs beside its text.
 KEY_OVERHEAD = 64
+# Rows that one task shuffles, sorts or writes as one file.
+ROWS_PER_TASK = 1_000_000
 
 
 class Snapshot(NamedTuple):
@@ -52,6 +54,7 @@ class LiveLog(NamedTuple):
     deltas: DataFrame
     keys_fit: bool  # the delta keys are small enough to broadcast
     exp_dirs: set[str]  # experiments that have a state
+    n_rows: int  # of all three; 0 where it is not known
 
     def state(self, strategy: str = "auto") -> DataFrame:
         """Current state with ``exp_dir``, removed entries included, without ``status``.
@@ -65,11 +68,34 @@ class LiveLog(NamedTuple):
         if strategy == "merge":
             changing = merge_on_read(self.bases, self.deltas, broadcast_keys=self.keys_fit)
         elif strategy == "replay":
-            changing = replay(self.bases.unionByName(self.deltas))
+            changing = replay(spread(self.bases.unionByName(self.deltas), self.n_rows))
         else:
             raise ValueError(f"unknown strategy: {strategy!r}")
         return settled.unionByName(changing)
 
+    def state_by_key(self, tasks_for: int) -> DataFrame:
+        """Current state hash-partitioned by key for a join with ``tasks_for`` rows in all.
+
+        Where versions must be shuffled by key anyway, everything takes that one
+        shuffle, and the join needs no other.
+        """
+        if self.keys_fit:
+            return spread(self.state("merge"), tasks_for)
+        rows = self.settled.unionByName(self.bases).unionByName(self.deltas)
+        return replay(spread(rows, tasks_for))
+
+
+def spread(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Rows in as many hash partitions of the key as ``n_rows`` need.
+
+    Left alone where the session's shuffle partitions are enough, which adaptive
+    execution then reduces; joins and windows on the key reuse the partitioning.
+    """
+    tasks = -(-n_rows // ROWS_PER_TASK)
+    if tasks <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows
+    return rows.repartition(tasks, *KEY)
+
 
 def _related(root: Column, path: str) -> Column:
     """True where a root may share entries with a directory; unknown roots may."""
@@ -241,6 +267,7 @@ class LogStore:
                 sum(r.key_bytes for r in parts.deltas), sum(r.n_records for r in parts.deltas)
             ),
             {r.exp_dir for r in parts.settled + parts.bases},
+            sum(r.n_records for rows in parts for r in rows),
         )
 
     def _live_by_join(self, live: DataFrame) -> LiveLog:
@@ -250,6 +277,7 @@ class LogStore:
         changing = deltas.select("exp_dir").distinct()
         bases = live.filter(F.col("kind") == BASE)
         size = deltas.agg(F.sum("key_bytes"), F.sum("n_records")).first()
+        n_rows = live.agg(F.sum("n_records")).first()[0]
 
         def read(chosen):
             return rows.join(chosen.select(*place), place, "left_semi").select(*LOG_SCHEMA.names)
@@ -260,17 +288,19 @@ class LogStore:
             read(deltas),
             self._fits(*size),
             {r.exp_dir for r in bases.select("exp_dir").distinct().collect()},
+            n_rows or 0,
         )
 
     # -- writing ---------------------------------------------------------------
 
-    def write_base(self, rows: DataFrame, snapshot_ts: str) -> None:
-        """Writes full snapshots, laid out by path.
+    def write_base(self, rows: DataFrame, snapshot_ts: str, n_rows: int) -> None:
+        """Writes full snapshots of about ``n_rows`` rows, laid out by path.
 
         Range partitioning gives every file a contiguous run of paths however
         large one experiment is, so a listing later touches few files and pages.
         """
-        clustered = rows.repartitionByRange("exp_dir", "parent_path", "filename")
+        tasks = max(1, -(-n_rows // ROWS_PER_TASK))
+        clustered = rows.repartitionByRange(tasks, "exp_dir", "parent_path", "filename")
         self._write(clustered, snapshot_ts, BASE)
 
     def write_delta(self, rows: DataFrame, snapshot_ts: str) -> None:
@@ -289,8 +319,10 @@ class LogStore:
         )
 
     def measure(self, snapshot_ts: str, kind: str) -> DataFrame:
-        """Commit columns of one write, from two narrow columns and file metadata."""
+        """Commit columns of one write, from file metadata, the status and delta paths."""
         status = F.col("status")
+        # Only the keys of deltas are ever broadcast; a base spares its path column.
+        key_bytes = F.octet_length("path") if kind == DELTA else F.lit(0)
         per_file = (
             self.read_written(snapshot_ts, kind)
             .select("exp_dir", "status", "path", "_metadata.file_path", "_metadata.file_size")
@@ -300,7 +332,7 @@ class LogStore:
                 F.count_if(status == "modified").alias("n_modified"),
                 F.count_if(status == "removed").alias("n_removed"),
                 F.count("*").alias("n_records"),
-                F.sum(F.octet_length("path")).alias("key_bytes"),
+                F.sum(key_bytes).alias("key_bytes"),
             )
         )
         return per_file.groupBy("exp_dir").agg(

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathledger import Catalog, FlatCatalog, from_table
+from pathledger import operators as ops
 from pathledger.schema import FILE_SCHEMA, KEY
 from pathledger.sources import scan_roots
 from pathledger.sources.storage import Staging, Storage
@@ -244,3 +245,31 @@ def test_names_that_are_no_text_are_reported(spark, tmp_path):
         scan = scan_roots(spark, [("t", None, str(tmp_path / "t"))], staging)
         assert [r.filename for r in scan.files.collect()] == ["good"]
         assert [r.error for r in scan.errors.collect()] == ["name is not UTF-8"]
+
+
+def test_large_logs_get_partitions_by_their_rows(spark, recorded, monkeypatch):
+    """With few rows per task, diff and replay spread out and shuffle each side once."""
+    log = importlib.import_module("pathledger.sources.log")
+    monkeypatch.setattr(log, "ROWS_PER_TASK", 100)
+    expected = state_of(recorded.current_state())
+    live = Catalog(spark, recorded.log.root, broadcast_bytes=0).log.live()
+    assert live.n_rows == recorded.log.read_log().count()
+    previous = live.state_by_key(live.n_rows)
+    tasks = -(-live.n_rows // 100)
+    assert state_of(previous) == expected == state_of(live.state("replay"))
+
+    current = log.spread(previous.filter("on_disk").drop("on_disk"), live.n_rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        changes = ops.snapshot_diff(previous, current)
+        plan = changes._jdf.queryExecution().executedPlan().toString()
+        assert changes.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert all(f", {tasks})" in line for line in exchanges)
+    assert len(exchanges) == 2
+
+    catalog, report = rel.record_scans(spark, TESTDATA, broadcast_bytes=0)
+    assert state_of(catalog.current_state()) == expected
+    assert report == rel.recorded(spark, TESTDATA)[1]

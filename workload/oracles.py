@@ -177,7 +177,7 @@ FROM placed p LEFT JOIN placed up ON up.level = 1 AND up.is_dir AND up.name = p.
 ORACLES: dict[str, str] = {
     "read_log": f"{CTES} SELECT {VIEW}, status FROM snapshot_log",
     "write_base": f"""{CTES}{SNAPSHOTS}
-        SELECT exp_dir, snapshot_ts, n_added, n_modified, n_removed, key_bytes
+        SELECT exp_dir, snapshot_ts, n_added, n_modified, n_removed
         FROM snapshots WHERE kind = 'base'""",
     "write_delta": f"""{CTES}{SNAPSHOTS}
         SELECT exp_dir, snapshot_ts, n_added, n_modified, n_removed, key_bytes

@@ -50,7 +50,7 @@ def write_base(spark, sf_dir):
     return (
         catalog.log.commits()
         .filter("kind = 'base' AND action = 'add'")
-        .select("exp_dir", "snapshot_ts", "n_added", "n_modified", "n_removed", "key_bytes")
+        .select("exp_dir", "snapshot_ts", "n_added", "n_modified", "n_removed")
     )
 
 
