@@ -203,6 +203,11 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return [(basis[:, j].astype(int), float(amounts[j])) for j in range(k)]
 
 
+def _after(items: list, taken: int) -> list:
+    """The items of a run without its first ``taken`` bins."""
+    return [(length, first + taken) for length, first in items]
+
+
 class _Bins:
     """Runs of equal bins by free space: (count, [(length, first number)])."""
 
@@ -238,7 +243,7 @@ class _Bins:
             free, count, items = found
             each = min(free // length, n)
             filled = min(count, n // each)
-            self.add(free, count - filled, items)
+            self.add(free, count - filled, _after(items, filled))
             for _ in range(each):
                 items = [*items, (length, first)]
                 first += filled
@@ -287,6 +292,7 @@ def _plan(histogram: np.ndarray, groups: int, small: int) -> dict[str, np.ndarra
                             after.append((n, free - l, [*items, (l, int(taken[l]))]))
                             taken[l] += n
                             count -= n
+                            items = _after(items, n)
                         if not count:
                             break
                     if count:

@@ -70,8 +70,8 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, min_documents=8, max_words=50_000,
-          rounds=300, rate=0.05, penalty=2e-4) -> ToxicModel:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, min_documents=8, min_strength=5.0,
+          max_words=50_000, rounds=500, rate=0.05, penalty=1e-5) -> ToxicModel:
     """Non-negative risk, full batches, Adam steps."""
     if not positive or not unlabelled or prior <= 0:
         return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), -500.0)
@@ -79,8 +79,14 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     sizes = np.array([len(t) for t in texts])
     flat = np.concatenate(texts).view(np.uint64)
     words, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = np.flatnonzero(counts >= min_documents)
-    keep = np.sort(keep[np.argsort(-counts[keep], kind="stable")[:max_words]])
+    # Words whose share of texts differs between both samples by more than chance explains.
+    seen_p = np.bincount(inverse[: sizes[: len(positive)].sum()], minlength=len(words))
+    share_p, share_u = seen_p / len(positive), (counts - seen_p) / len(unlabelled)
+    share = counts / len(texts)
+    spread = np.sqrt(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled)))
+    strength = np.abs(share_p - share_u) / np.maximum(spread, 1e-12)
+    keep = np.flatnonzero((counts >= min_documents) & (strength >= min_strength))
+    keep = np.sort(keep[np.argsort(-strength[keep], kind="stable")[:max_words]])
     index = np.full(len(words), -1)
     index[keep] = np.arange(len(keep))
     row, col = np.repeat(np.arange(len(texts)), sizes), index[inverse]
