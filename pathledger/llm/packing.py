@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from pathledger.llm.scratch import Scratch
 from pathledger.llm.text import column, slices, text_bytes, word_hashes, word_spans
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 CACHED_WORDS = 1_000_000
-CACHED_PARTS = 200_000
+CACHED_PARTS = 100_000
 
 
 # How the vocabulary splits lower-cased Latin-1 text, and what may take this path.
@@ -65,7 +65,8 @@ class WordTokens:
         self._clear()
 
     def _clear(self):
-        self._places: dict[int, int] = {}
+        # Sorted hashes of the words known, and the place of each.
+        self._keys, self._places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._parts: dict[str, tuple[int, ...]] = {}
         self._ids = np.zeros(1 << 16, np.int32)
         self._begins = np.zeros(1 << 16, np.int64)
@@ -93,11 +94,11 @@ class WordTokens:
             out += ids
         return out
 
-    def _add(self, keys: list[int], words: list[str]) -> None:
+    def _add(self, keys: np.ndarray, words: list[str]) -> None:
         found = list(map(self.word, words))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))
-        first, n = len(self._places), len(sizes)
+        first, n = len(self._keys), len(sizes)
         while self._used + len(ids) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
         while first + n > len(self._begins):
@@ -107,7 +108,10 @@ class WordTokens:
         self._sizes[first : first + n] = sizes
         self._begins[first : first + n] = self._used + np.cumsum(sizes) - sizes
         self._used += len(ids)
-        self._places.update(zip(keys, range(first, first + n), strict=True))
+        self._keys = np.concatenate([self._keys, keys])
+        self._places = np.concatenate([self._places, np.arange(first, first + n)])
+        order = np.argsort(self._keys)
+        self._keys, self._places = self._keys[order], self._places[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, and where each begins."""
@@ -115,17 +119,16 @@ class WordTokens:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         keys, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self._places) + len(keys) > CACHED_WORDS:
+        if len(self._keys) + len(keys) > CACHED_WORDS:
             self._clear()
-        known = keys.tolist()
-        new = [i for i, key in enumerate(known) if key not in self._places]
-        if new:
+        at = np.searchsorted(self._keys, keys)
+        new = np.flatnonzero(np.append(self._keys, np.uint64(0))[at] != keys) if len(self._keys) else np.arange(len(keys))
+        if len(new):
             raw = data.tobytes()
-            self._add(
-                [known[i] for i in new],
-                [raw[starts[first[i]] : ends[first[i]]].decode("utf-8", "replace") for i in new],
-            )
-        places = np.fromiter(map(self._places.__getitem__, known), np.int64, len(known))[inverse]
+            begin, end = starts[first[new]].tolist(), ends[first[new]].tolist()
+            self._add(keys[new], [raw[b:e].decode("utf-8", "replace") for b, e in zip(begin, end, strict=True)])
+            at = np.searchsorted(self._keys, keys)
+        places = self._places[at][inverse]
         sizes = self._sizes[places]
         stops = np.cumsum(sizes)
         at = np.arange(stops[-1]) + np.repeat(self._begins[places] - (stops - sizes), sizes)
