@@ -32,13 +32,13 @@ class Scratch:
         self._spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._numbers = itertools.count()
-        self._places: dict[int, str] = {}
 
-    def write(self, frame: DataFrame, codec: str = "zstd") -> DataFrame:
+    def write(self, frame: DataFrame, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """Write and read again; ``by`` names a column whose values get folders of their own."""
         place = f"{self.path}/{next(self._numbers)}"
-        frame.write.option("compression", codec).parquet(place)
+        writer = frame.write.option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(place)
         written = self._spark.read.schema(frame.schema).parquet(place)
-        self._places[id(written)] = place
         written._scratch_place = place
         return written
 
