@@ -151,10 +151,16 @@ def fit_languages(docs: DataFrame, key="doc_id", text="text", lang="lang", per_l
     Models are trained in tasks, one per language. Of a language's sample, whole texts are
     used until ``characters`` of them are reached; every fifth is held out for calibration.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("k", F.lit("lang")), "k")
+    place = F.xxhash64("k", F.lit("lang"))
+    order = Window.partitionBy("lang").orderBy(place, "k")
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")
     )
+    # One row per language. Of a large one, hashes leave about twice what is needed before any exchange.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if counts:
+        shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(2.0 * per_language / n + 100 / n))])
+        rows = rows.filter(F.pmod(place, F.lit(1 << 20)) < shares[F.col("lang")] * (1 << 20))
     sample = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
