@@ -67,14 +67,14 @@ class ToxicModel:
             # A word counts once in a text, as in training.
             pairs = np.unique(text * len(self.words) + at[hit])
             np.add.at(out, pairs // len(self.words), self.weights[pairs % len(self.words)])
-        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+        return np.where(np.isneginf(out), 0.0, 1 / (1 + np.exp(-np.clip(out, -500, 500))))
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, min_documents=8, min_strength=5.0,
           max_words=50_000, rounds=500, rate=0.05, penalty=1e-5) -> ToxicModel:
     """Non-negative risk, full batches, Adam steps."""
     if not positive or not unlabelled or prior <= 0:
-        return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), -500.0)
+        return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
     texts = [*positive, *unlabelled]
     sizes = np.array([len(t) for t in texts])
     flat = np.concatenate(texts).view(np.uint64)
