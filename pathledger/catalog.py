@@ -1,6 +1,7 @@
 """The catalog: one object per root, lazy DataFrames out."""
 
 from collections.abc import Iterable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from .operators.search import as_entries
 from .plans import Change
 from .schema import ENTRY_COLUMNS, VIEW_COLUMNS
 from .sources import FlatLog, LogStore
+from .sources.storage import escaped
 
 
 class CatalogReader:
@@ -26,10 +28,13 @@ class CatalogReader:
         self.strategy = strategy
 
     def current_state(
-        self, exp_dirs: Iterable[str] | None = None, under: str | None = None
+        self,
+        exp_dirs: Iterable[str] | None = None,
+        under: str | None = None,
+        experiment: str | None = None,
     ) -> DataFrame:
         """Newest record of every (exp_dir, path), removed ones included."""
-        return self.log.live(exp_dirs, under).state(self.strategy)
+        return self.log.live(exp_dirs, under, experiment).state(self.strategy)
 
     def files(self, experiment: str | None = None, under: str | None = None) -> DataFrame:
         """The ``files`` relation.
@@ -37,9 +42,7 @@ class CatalogReader:
         Given an experiment or a directory, only the parts of the log are read that can
         hold its entries; rows of other experiments or directories may still appear.
         """
-        # A named experiment lives under its own name; an empty name never does.
-        exp_dirs = [experiment] if experiment else None
-        return self.current_state(exp_dirs, under).select(*VIEW_COLUMNS)
+        return self.current_state(None, under, experiment).select(*VIEW_COLUMNS)
 
     # -- browsing and searching --------------------------------------------------
 
@@ -58,17 +61,9 @@ class CatalogReader:
     def tree_nodes(self, path: str, depth: int = 2) -> DataFrame:
         return ops.tree_nodes(self.files(under=path), path, depth)
 
-    def tree(self, path: str, depth: int = 2, max_lines: int = 100_000) -> str:
-        """The tree as text. Wider trees than ``max_lines`` are for ``tree_nodes`` or
-        ``operators.tree_lines`` and a file sink; they are refused here, never cut."""
-        nodes = self.tree_nodes(path, depth).persist()
-        try:
-            lines = ops.tree_lines(nodes, path).limit(max_lines + 1).collect()
-        finally:
-            nodes.unpersist()
-        if len(lines) > max_lines:
-            raise ValueError(f"the tree has more than {max_lines} lines; write tree_lines to files")
-        return "\n".join(row.line for row in lines)
+    def tree(self, path: str, depth: int = 2) -> DataFrame:
+        """The drawn tree, one ``line`` per row from top to bottom, of any size."""
+        return ops.tree_lines(self.tree_nodes(path, depth), path)
 
     def query(self, sql: str) -> DataFrame:
         """Runs any Spark SQL over the temporary view ``files``."""
@@ -115,7 +110,9 @@ class FlatCatalog(CatalogReader):
 class Catalog(CatalogReader):
     """A catalog in this library's layout: also records and consolidates.
 
-    One writer at a time per catalog; readers are never disturbed by a commit.
+    Writers of different experiments may run at once, those of one experiment one after
+    the other. Readers are disturbed by neither commits nor consolidation; only ``purge``
+    deletes files.
     """
 
     def __init__(self, spark: SparkSession, root: str, strategy: str = "auto", **store_options):
@@ -150,16 +147,26 @@ class Catalog(CatalogReader):
         return plans.dry_run(self.log, data_root, hutches, **options)
 
     def consolidate(self, archive_dir: str | None = None, **options) -> dict[str, int]:
+        """Merges snapshots to one base each; the files of the old ones go with :meth:`purge`."""
         return plans.consolidate(self.log, archive_dir, **options)
 
+    def purge(self, older_than: timedelta = timedelta(days=1)) -> int:
+        """Deletes files of snapshots retired so long ago, and folders of writes that old which
+        were never committed. Queries planned before a snapshot was retired may run until then."""
+        return plans.purge(self.log, older_than)
+
+    def fold_commits(self) -> int:
+        """Makes one file of all commits; for a time when nothing else writes."""
+        return self.log.fold_commits()
+
     def list_snapshots(self, exp_dir: str | None = None) -> DataFrame:
         """Visible snapshots from the commit table, without touching the log."""
         snapshots = self.log.snapshots()
         if exp_dir is not None:
             snapshots = snapshots.filter(F.col("exp_dir") == exp_dir)
         folder = F.concat(
-            F.lit(f"{self.log.log_dir}/snapshot_ts="), "snapshot_ts",
-            F.lit("/kind="), "kind", F.lit("/exp_dir="), "exp_dir",
+            F.lit(f"{self.log.log_dir}/snapshot_ts="), escaped(F.col("snapshot_ts")),
+            F.lit("/kind="), "kind", F.lit("/exp_dir="), escaped(F.col("exp_dir")),
         )
         return snapshots.select(
             F.col("exp_dir").alias("experiment"),

@@ -18,6 +18,8 @@ def tree_nodes(files: DataFrame, path: str, depth: int = 2) -> DataFrame:
     counts for its deepest visible directory, which partial aggregation shrinks
     before the first exchange; only those sums are then spread to the ancestors.
     """
+    if depth <= 0:
+        files = files.limit(0)
     prefix = directory_prefix(path)
     parts = F.split(F.substring("path", F.lit(len(prefix) + 1), F.length("path")), "/")
     n = F.size("parts")
@@ -43,7 +45,7 @@ def tree_nodes(files: DataFrame, path: str, depth: int = 2) -> DataFrame:
         direct.select("is_dir", "_n", "_size", F.explode(spread).alias("parts"))
         .groupBy("parts", "is_dir")
         .agg(F.sum("_n").alias("file_count"), F.sum("_size").alias("total_size"))
-        .filter(F.element_at("parts", -1) != "")
+        .filter(F.try_element_at("parts", F.lit(-1)) != "")
     )
 
 
@@ -61,7 +63,7 @@ def tree_lines(nodes: DataFrame, path: str) -> DataFrame:
     """
     is_file = (~F.col("is_dir")).alias("is_file")
     nodes = nodes.select(
-        "*", F.element_at("parts", -1).alias("name"), is_file, _parent(F.col("parts")).alias("parent")
+        "*", F.try_element_at("parts", F.lit(-1)).alias("name"), is_file, _parent(F.col("parts")).alias("parent")
     )
     lasts = nodes.groupBy("parent").agg(F.max(F.struct("name", "is_file")).alias("last"))
     is_last = F.struct("name", "is_file") == F.col("last")

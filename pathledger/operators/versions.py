@@ -68,12 +68,9 @@ def replay(log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     is ignored where the path was never known. One shuffle and one sort on the key
     serve both window expressions, and columns nobody asks for stay out of them.
     """
-    order = Window.partitionBy(*keys).orderBy(F.desc("snapshot_ts"), F.desc("kind"))
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    known = F.max(~F.col("status").eqNullSafe(REMOVED)).over(whole)
     newest = (
-        log.withColumns({"_known": known, "_rn": F.row_number().over(order)})
-        .filter("_rn = 1 AND _known")
+        _newest_versions(log, keys)
+        .filter("_known")
         .withColumn("on_disk", resolve_on_disk(F.col("on_disk"), F.col("status")))
     )
     return newest.select(*state_columns(log))
@@ -87,21 +84,34 @@ def merge_on_read(
 ) -> DataFrame:
     """Current state without shuffling the base, for logs written by this library.
 
-    Base rows whose key a delta mentions are dropped; the newest delta row of
-    each key takes their place. This equals :func:`replay` because a snapshot
-    writer records a removal only of a known path and copies its metadata.
+    Base rows whose key a delta mentions are dropped; the newest delta row of each key
+    takes their place. Rows order as in :func:`replay`, and a removal whose path neither
+    the base nor another delta row knows is ignored as there, so both give the same rows.
+    Whether the base knows a removed path takes one more scan of its keys alone.
     ``broadcast_keys`` is for callers that have checked the size of the keys;
     without it Spark chooses the join from its own size estimates.
     """
-    newest = newest_rows(deltas, keys)
-    changed = deltas.select(*keys)
-    if broadcast_keys:
-        changed = F.broadcast(changed)
+    small = F.broadcast if broadcast_keys else (lambda frame: frame)
+    newest = _newest_versions(deltas, keys)
     columns = state_columns(base)
-    kept = base.join(changed, list(keys), "left_anti").withColumn(
+    kept = base.join(small(deltas.select(*keys)), list(keys), "left_anti").withColumn(
         "on_disk", resolve_on_disk(F.col("on_disk"))
     )
-    replaced = newest.withColumn(
-        "on_disk", resolve_on_disk(F.col("on_disk"), F.col("status"))
+    replaced = newest.withColumn("on_disk", resolve_on_disk(F.col("on_disk"), F.col("status")))
+    known = replaced.filter("_known")
+    # The base is the streamed side; a key occurs in it once.
+    removed = small(replaced.filter("NOT _known"))
+    ended = base.select(*keys).join(removed, list(keys)).dropDuplicates(list(keys))
+    return (
+        kept.select(*columns)
+        .unionByName(known.select(*columns))
+        .unionByName(ended.select(*columns))
     )
-    return kept.select(*columns).unionByName(replaced.select(*columns))
+
+
+def _newest_versions(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Newest row of every key, and whether any of its rows is more than a removal."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("snapshot_ts"), F.desc("kind"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = F.max(~F.col("status").eqNullSafe(REMOVED)).over(whole)
+    return log.withColumns({"_known": known, "_rn": F.row_number().over(order)}).filter("_rn = 1")

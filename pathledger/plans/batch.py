@@ -1,13 +1,15 @@
 """Indexing many experiments in one job."""
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..operators.stats import dry_run_counts
 from ..sources.filesystem import discover_experiments, scan_roots
 from ..sources.local import local_frame, strings
-from ..sources.log import LogStore
-from .snapshot import record_snapshot
+from ..sources.log import LogStore, timestamp_now
+from .snapshot import counts_by_root, record_snapshot
 
 REPORT = T.StructType(
     [
@@ -35,11 +37,12 @@ def index_experiments(
     """Scans and records every experiment of the hutches: one walk, one diff, one commit.
 
     A hutch or experiment that cannot be read is reported and left as it was; the
-    others go on. Unreadable parts inside a readable experiment are its errors.
+    others go on. Unreadable parts inside a readable experiment are its errors; what
+    lies below them stays as it was.
     """
     targets = discover_experiments(store.spark, data_root, hutches).collect()
     good = [t for t in targets if not t.error]
-    changes, problems = {}, {}
+    changes, problems, shared, by_root = {}, {}, [], {}
     if good:
         with store.staging() as staging:
             scan = scan_roots(
@@ -52,14 +55,23 @@ def index_experiments(
             )
             errors = scan.errors.groupBy("exp_dir").count().collect()
             problems = {r.exp_dir: f"{r['count']} entries unreadable" for r in errors}
+            targets_of = [(t.exp_dir, t.root) for t in good]
+            snapshot_ts = options.pop("snapshot_ts", None) or timestamp_now()
             recorded = record_snapshot(
-                store, scan.files, [(t.exp_dir, t.root) for t in good], **options
+                store, scan.files, targets_of, snapshot_ts, errors=scan.errors, **options
             )
             changes = {c.exp_dir: c for c in recorded}
+            # One name in two hutches is one experiment with two roots.
+            times = Counter(e for e, _ in targets_of)
+            shared = [t for t in targets_of if times[t[0]] > 1 and not changes[t[0]].error]
+            if shared:
+                by_root = counts_by_root(store, snapshot_ts, shared)
     rows = []
     for t in targets:
         change = None if t.error else changes.get(t.exp_dir)
         counts = (change.added, change.modified, change.removed) if change else (None,) * 3
+        if change and (t.exp_dir, t.root) in shared:
+            counts = by_root.get((t.exp_dir, t.root), (0, 0, 0))
         error = t.error or (change.error if change else None) or problems.get(t.exp_dir)
         rows.append((t.hutch, t.experiment, *counts, error))
     return local_frame(store.spark, rows, REPORT)

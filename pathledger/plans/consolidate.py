@@ -2,15 +2,19 @@
 
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BASE, COMMIT_SCHEMA, FILE_SCHEMA, PARTITION_COLUMNS
 from ..sources.local import local_frame, strings
-from ..sources.log import LogStore, Snapshot, timestamp_now
+from ..sources.log import TIMESTAMP, LogStore, Snapshot, timestamp_now
 from ..sources.storage import partition_dir
 
+# Snapshots that one copying job reads.
+ARCHIVED_AT_ONCE = 1000
+
 
 def consolidate(
     store: LogStore,
@@ -21,8 +25,9 @@ def consolidate(
     """Rewrites every experiment that has several snapshots as a single new base.
 
     Removed entries stay, each with the time of its removal. All experiments are one
-    Spark job; the commit swaps old snapshots for new at once, and moving or
-    deleting the old files afterwards can be repeated after a failure.
+    Spark job; the commit swaps old snapshots for new at once. Files of the old ones are
+    copied to ``archive_dir``, if given, and stay until :func:`purge`, so a query planned
+    before still runs after.
     """
     snapshot_ts = snapshot_ts or timestamp_now()
     snapshots = store.snapshots()
@@ -37,11 +42,16 @@ def consolidate(
     chosen = [r.exp_dir for r in several.select("exp_dir").collect()]
     stats = {"experiments": len(chosen), "files_removed": 0, "files_archived": 0}
     if chosen:
+        newest = store.newest(chosen)
+        if newest >= snapshot_ts:
+            raise ValueError(f"snapshot {snapshot_ts} is not after {newest}")
         # Read before writing: what is retired is exactly what was merged.
         old = snapshots.join(several, "exp_dir", "left_semi").select(
             F.lit("retire").alias("action"), "exp_dir", "kind", "snapshot_ts", "root"
         )
-        old = local_frame(store.spark, old.collect(), old.schema)
+        rows = old.collect()
+        retired = len(rows)
+        old = local_frame(store.spark, rows, old.schema)
         # Snapshots of different roots leave a base whose root is unknown.
         one = (F.min("root") == F.max("root")) & (F.count("root") == F.count("*"))
         roots = old.groupBy("exp_dir").agg(F.when(one, F.max("root")).alias("root"))
@@ -51,8 +61,9 @@ def consolidate(
         store.write_base(state, snapshot_ts, live.n_rows)
         new = store.measure(snapshot_ts, BASE).join(roots, "exp_dir").withColumn("action", F.lit("add"))
         store.commit(_typed(new).unionByName(_typed(old)))
-    done = archive_snapshots(store, archive_dir)
-    stats["files_archived" if archive_dir else "files_removed"] = done
+        stats["files_removed"] = retired
+    if archive_dir:
+        stats["files_archived"], stats["files_removed"] = archive_snapshots(store, archive_dir), 0
     return stats
 
 
@@ -65,51 +76,65 @@ def _typed(rows: DataFrame) -> DataFrame:
     )
 
 
-def archive_snapshots(store: LogStore, archive_dir: str | None = None) -> int:
-    """Moves retired snapshots to ``<archive>/exp_dir=/kind=/snapshot_ts=``, or deletes them.
-
-    On a store with cheap renames each snapshot is one rename; elsewhere Spark
-    writes the copies in parallel. Copies are committed before any original goes, so
-    repeating a failed run never reads a half-deleted one. Returns the number of
-    snapshots handled.
-    """
-    place = ["exp_dir", "kind", "snapshot_ts"]
-    state = (
+def _retired(store: LogStore) -> DataFrame:
+    """Retired snapshots whose files are still there, when they retired, and whether they are archived."""
+    return (
         store.commits()
-        .groupBy(*place)
+        .groupBy("exp_dir", "kind", "snapshot_ts")
         .agg(
-            F.bool_or(F.col("action") == "retire").alias("retired"),
+            F.max(F.when(F.col("action") == "retire", F.col("committed_at"))).alias("retired_at"),
             F.bool_or(F.col("action") == "archive").alias("archived"),
             F.bool_or(F.col("action") == "purge").alias("purged"),
         )
         .filter("NOT purged")
     )
-    # Folders of one write whose snapshots are all retired go in one operation.
+
+
+def archive_snapshots(store: LogStore, archive_dir: str) -> int:
+    """Copies retired snapshots to ``<archive>/exp_dir=/kind=/snapshot_ts=``, in batches.
+
+    Copies are committed before any original goes. Returns the number of snapshots copied.
+    """
+    pending = _retired(store).filter("retired_at IS NOT NULL AND NOT archived")
+    missing = [Snapshot(*r) for r in pending.select("exp_dir", "kind", "snapshot_ts").collect()]
+    for i in range(0, len(missing), ARCHIVED_AT_ONCE):
+        batch = missing[i : i + ARCHIVED_AT_ONCE]
+        _copy(store, batch, archive_dir)
+        _mark(store, batch, "archive")
+    return len(missing)
+
+
+def purge(store: LogStore, older_than: timedelta) -> int:
+    """Deletes files of snapshots retired at least so long ago, and of writes begun as long
+    ago that no commit names. Returns the number of snapshots deleted."""
+    limit = (datetime.now(UTC) - older_than).strftime(TIMESTAMP)
     folder = Window.partitionBy("kind", "snapshot_ts")
+    old = F.coalesce(F.col("retired_at") <= limit, F.lit(False))
+    # Folders of one write whose snapshots all go are deleted in one operation.
     pending = (
-        state.withColumn("whole", F.bool_and("retired").over(folder))
-        .filter("retired")
-        .select(*place, "archived", "whole")
+        _retired(store)
+        .withColumn("old", old)
+        .withColumn("whole", F.bool_and("old").over(folder))
+        .filter("old")
+        .select("exp_dir", "kind", "snapshot_ts", "whole")
         .collect()
     )
-    if not pending:
-        return 0
-    snapshots = [Snapshot(r.exp_dir, r.kind, r.snapshot_ts) for r in pending]
-    missing = [s for s, r in zip(snapshots, pending) if not r.archived]
-    if archive_dir and missing:
-        if store.storage.can_move(store.log_dir, archive_dir):
-            _each(lambda s: _move(store, s, archive_dir), missing)
-        else:
-            _copy(store, missing, archive_dir)
-        _mark(store, missing, "archive")
+    snapshots = [Snapshot(*r[:3]) for r in pending]
     doomed = {
-        store.write_dir(r.snapshot_ts, r.kind)
-        if r.whole
-        else store.snapshot_dir(Snapshot(r.exp_dir, r.kind, r.snapshot_ts))
-        for r in pending
+        store.write_dir(s.snapshot_ts, s.kind) if r.whole else store.snapshot_dir(s)
+        for s, r in zip(snapshots, pending, strict=True)
     }
     _each(store.storage.delete, doomed)
-    _mark(store, snapshots, "purge")
+    if snapshots:
+        _mark(store, snapshots, "purge")
+    known = store.commits().filter("action = 'add'").select("snapshot_ts").distinct()
+    named = {partition_dir("snapshot_ts", r.snapshot_ts) for r in known.collect()}
+    began = partition_dir("snapshot_ts", limit)
+    orphans = [
+        name for name, _ in store.storage.children(store.log_dir)
+        if name.startswith("snapshot_ts=") and name not in named and name <= began
+    ]
+    _each(lambda name: store.storage.delete(f"{store.log_dir}/{name}"), orphans)
     return len(snapshots)
 
 
@@ -124,17 +149,6 @@ def _each(operation: Callable, items: Iterable) -> None:
         list(pool.map(operation, items))
 
 
-def _move(store: LogStore, snapshot: Snapshot, archive_dir: str) -> None:
-    source = store.snapshot_dir(snapshot)
-    if store.storage.exists(source):
-        store.storage.move(source, _archived(archive_dir, snapshot))
-
-
-def _archived(archive_dir: str, snapshot: Snapshot) -> str:
-    parts = [partition_dir(c, getattr(snapshot, c)) for c in ("exp_dir", "kind", "snapshot_ts")]
-    return "/".join([archive_dir.rstrip("/"), *parts])
-
-
 def _copy(store: LogStore, snapshots: list[Snapshot], archive_dir: str) -> None:
     (
         store.read(snapshots)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exp_dir_name, filename, parent_path
 from ..operators.diff import COMPARED, snapshot_diff
-from ..schema import BASE, COMMIT_SCHEMA, DELTA
+from ..schema import BASE, COMMIT_SCHEMA, DELTA, REMOVED
 from ..sources.filesystem import resolve_roots, scan_roots
 from ..sources.local import local_frame, strings
 from ..sources.log import LogStore, Snapshot, spread, timestamp_now
@@ -32,6 +32,7 @@ def record_snapshot(
     snapshot_ts: str | None = None,
     compare: Sequence[str] = COMPARED,
     max_removed_fraction: float | None = None,
+    errors: DataFrame | None = None,
 ) -> list[Change]:
     """Appends one inventory of any number of experiments as a single commit.
 
@@ -40,18 +41,34 @@ def record_snapshot(
     without a base get one, the others a delta; those without changes get nothing.
     Where a root is known, only entries below it count as removed. With
     ``max_removed_fraction``, an experiment losing a larger share of its files is
-    left as it was and reported with an error.
+    left as it was and reported with an error. ``errors`` (exp_dir, path) names what
+    the scan could not read: an experiment with an unreadable root is left as it was,
+    and nothing below another unreadable path counts as removed.
+
+    A snapshot must be newer than all others of its experiments, or it would never be read.
     """
     found = {r.exp_dir: r["count"] for r in inventory.groupBy("exp_dir").count().collect()}
+    if None in found:
+        raise ValueError(f"{found[None]} entries without exp_dir")
     if targets is None:
         targets = [(exp_dir, None) for exp_dir in found]
+    unread = _unread_roots(store, errors, targets)
+    if unread:
+        rest = [t for t in targets if t[0] not in unread]
+        inventory = _only(store, inventory, {e for e, _ in rest}, unread)
+        done = record_snapshot(
+            store, inventory, rest, snapshot_ts, compare, max_removed_fraction, errors
+        )
+        left = [Change(e, 0, 0, 0, f"unreadable root: {r}") for e, r in unread.items()]
+        return sorted(done + left)
     if not targets:
         return []
-    roots = dict(targets)
+    roots = _roots(targets)
     if snapshot_ts is None:
         snapshot_ts = timestamp_now()
-    elif not store.commits().filter(F.col("snapshot_ts") == snapshot_ts).isEmpty():
-        raise ValueError(f"snapshot {snapshot_ts} exists already")
+    newest = store.newest(roots)
+    if newest is not None and newest >= snapshot_ts:
+        raise ValueError(f"snapshot {snapshot_ts} is not after {newest}")
 
     live = store.live(roots)
     known = live.exp_dirs
@@ -77,6 +94,8 @@ def record_snapshot(
             current.drop(*_DERIVED),
             compare=compare,
         )
+        if errors is not None and not errors.isEmpty():
+            changes = _readable(changes, errors)
         rows = changes.withColumns(
             {
                 "parent_path": parent_path(F.col("path")),
@@ -99,7 +118,7 @@ def record_snapshot(
                 [
                     (
                         "add", m.exp_dir, m.kind, m.snapshot_ts, roots[m.exp_dir], m.n_added,
-                        m.n_modified, m.n_removed, m.n_records, m.n_bytes, m.key_bytes, None,
+                        m.n_modified, m.n_removed, m.n_records, m.n_bytes, m.key_bytes, m.experiment, None,
                     )
                     for m in kept
                 ],
@@ -117,6 +136,61 @@ def record_snapshot(
     ]
 
 
+def _roots(targets: Sequence[tuple[str, str | None]]) -> dict[str, str | None]:
+    """The root of each experiment; unknown where it has several."""
+    roots: dict[str, str | None] = {}
+    for exp_dir, root in targets:
+        roots[exp_dir] = root if roots.get(exp_dir, root) == root else None
+    return roots
+
+
+def _unread_roots(store: LogStore, errors: DataFrame | None, targets) -> dict[str, str]:
+    """Experiments of which a root itself could not be read; at most one row per target."""
+    named = [(e, r) for e, r in targets if r is not None]
+    if errors is None or not named:
+        return {}
+    wanted = local_frame(store.spark, named, strings("exp_dir", "path"))
+    rows = errors.select("exp_dir", "path").join(wanted, ["exp_dir", "path"]).distinct().collect()
+    return {r.exp_dir: r.path for r in rows}
+
+
+def _readable(changes: DataFrame, errors: DataFrame) -> DataFrame:
+    """Changes without the removals at or below an unreadable path.
+
+    Every removal meets the errors by its own path and those of its ancestors, so this is an
+    equi-join of the removals alone.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
+    )
+    removed = changes.filter(F.col("status") == REMOVED).select(
+        "exp_dir", "path", F.explode(above).alias("above")
+    )
+    bad = errors.select("exp_dir", F.col("path").alias("above")).distinct()
+    unsure = removed.join(bad, ["exp_dir", "above"], "left_semi").select("exp_dir", "path").distinct()
+    return changes.join(
+        unsure.withColumn("status", F.lit(REMOVED)), ["exp_dir", "path", "status"], "left_anti"
+    ).select(*changes.columns)
+
+
+def counts_by_root(
+    store: LogStore, snapshot_ts: str, targets: Sequence[tuple[str, str]]
+) -> dict[tuple[str, str], tuple[int, int, int]]:
+    """Numbers of added, modified and removed below each of several roots of one experiment."""
+    roots = [(e, r, r.rstrip("/") + "/") for e, r in targets]
+    wanted = local_frame(store.spark, roots, strings("_exp_dir", "root", "_prefix"))
+    rows = store.read_written(snapshot_ts, BASE).unionByName(store.read_written(snapshot_ts, DELTA))
+    inside = (F.col("exp_dir") == F.col("_exp_dir")) & F.col("path").startswith(F.col("_prefix"))
+    status = F.col("status")
+    counted = rows.join(wanted, inside).groupBy("exp_dir", "root").agg(
+        F.count_if(status.isNull() | (status == "added")).alias("added"),
+        F.count_if(status == "modified").alias("modified"),
+        F.count_if(status == "removed").alias("removed"),
+    )
+    return {(r.exp_dir, r.root): (r.added, r.modified, r.removed) for r in counted.collect()}
+
+
 def _only(
     store: LogStore, rows: DataFrame, wanted: Iterable[str], others: Iterable[str]
 ) -> DataFrame:
@@ -176,4 +250,5 @@ def snapshot_tree(
             workers,
             batch_size,
         )
-        return record_snapshot(store, scan.files, [(target.exp_dir, target.root)], **options)[0]
+        targets = [(target.exp_dir, target.root)]
+        return record_snapshot(store, scan.files, targets, errors=scan.errors, **options)[0]

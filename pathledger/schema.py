@@ -65,6 +65,8 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField("n_records", T.LongType()),
         T.StructField("n_bytes", T.LongType()),
         T.StructField("key_bytes", T.LongType()),
+        # The one experiment that all entries name; NULL if there are several, or in older commits.
+        T.StructField("experiment", T.StringType()),
         T.StructField("committed_at", T.StringType()),
     ]
 )

@@ -15,8 +15,10 @@ def from_table(table: DataFrame, root: str | Column | None = None) -> DataFrame:
 
     Parent and name always come from the path, the run unless it is given; other
     missing columns are NULL. ``exp_dir`` comes from the column, else from
-    ``experiment``, else from ``root``.
+    ``experiment``, else from ``root``; one of the three must be there.
     """
+    if root is None and not {"exp_dir", "experiment"} & set(table.columns):
+        raise ValueError("an inventory needs exp_dir, experiment or root")
     path = F.col("path")
     values = {f.name: F.col(f.name) for f in SCANNED if f.name in table.columns}
     values.setdefault("run", run_number(path))

@@ -3,7 +3,7 @@
 Layout below the catalog root::
 
     log/snapshot_ts=<ts>/kind=<base|delta>/exp_dir=<name>/part-*.parquet
-    commits/part-*.parquet
+    commits/<time>-<id>/part-*.parquet
 
 A batch of any number of experiments is one Spark write per kind followed by one
 commit file. A write that fails half-way leaves files no commit names, and no
@@ -11,6 +11,7 @@ reader looks at them. Consolidation adds the new base and retires the old
 snapshots in the same commit file, so readers see either all of it or nothing.
 """
 
+import uuid
 from collections.abc import Iterable
 from datetime import UTC, datetime
 from typing import NamedTuple
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 
 from ..functions import directory_prefix
 from ..operators.views import files_view_base_only
-from ..operators.versions import live_snapshots, merge_on_read, replay
+from ..operators.versions import merge_on_read, replay
 from ..schema import BASE, COMMIT_SCHEMA, DELTA, FILE_SCHEMA, KEY, LOG_SCHEMA
 from .local import local_frame, strings
 from .storage import Staging, Storage, partition_dir
 
-# Beyond this many snapshots the log is read by a join with the commit table.
-MAX_LISTED = 10_000
+# The format in which text order is time order.
+TIMESTAMP = "%Y-%m-%dT%H%M%S.%f"
 # Largest total of delta keys that a query broadcasts.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # What a broadcast key costs beside its text.
@@ -43,7 +44,7 @@ class Snapshot(NamedTuple):
 
 def timestamp_now() -> str:
     """UTC, so that text order is time order all year round."""
-    return datetime.now(UTC).strftime("%Y-%m-%dT%H%M%S.%f")
+    return datetime.now(UTC).strftime(TIMESTAMP)
 
 
 class LiveLog(NamedTuple):
@@ -135,13 +136,11 @@ class LogStore:
         self,
         spark: SparkSession,
         root: str,
-        max_listed: int = MAX_LISTED,
         broadcast_bytes: int = BROADCAST_BYTES,
     ):
         self.spark = spark
         self.root = root.rstrip("/")
         self.storage = Storage(spark)
-        self.max_listed = max_listed
         self.broadcast_bytes = broadcast_bytes
 
     @property
@@ -173,6 +172,7 @@ class LogStore:
         return (
             self.spark.read.schema(COMMIT_SCHEMA)
             .option("pathGlobFilter", "*.parquet")
+            .option("recursiveFileLookup", "true")
             .parquet(self.commits_dir)
         )
 
@@ -193,10 +193,40 @@ class LogStore:
         )
 
     def commit(self, rows: DataFrame) -> None:
-        """Publishes actions as one file, whose rename is the moment they take effect."""
-        rows.withColumn("committed_at", F.lit(timestamp_now())).select(
-            *COMMIT_SCHEMA.names
-        ).coalesce(1).write.mode("append").parquet(self.commits_dir)
+        """Publishes actions as one file, whose rename is the moment they take effect.
+
+        Every commit has a folder of its own, so that writers of different experiments
+        never share a temporary folder and none loses what another publishes.
+        """
+        now = timestamp_now()
+        self._publish(rows.withColumn("committed_at", F.lit(now)), now)
+
+    def _publish(self, rows: DataFrame, now: str) -> None:
+        folder = f"{self.commits_dir}/{now}-{uuid.uuid4().hex}"
+        rows.select(*COMMIT_SCHEMA.names).coalesce(1).write.parquet(folder)
+
+    def fold_commits(self) -> int:
+        """Rewrites the commit files as one and drops what no reader needs: snapshots that
+        are gone with their files. Run it while nothing else writes; returns the files replaced.
+
+        Rows twice, as a reader sees them between writing and deleting, mean the same as once.
+        """
+        old = [name for name, _ in self.storage.children(self.commits_dir) if name[:1] not in "._"]
+        if len(old) < 2:
+            return 0
+        place = ["exp_dir", "kind", "snapshot_ts"]
+        commits = self.commits()
+        gone = commits.filter("action = 'purge'").select(*place).distinct()
+        self._publish(commits.join(gone, place, "left_anti"), timestamp_now())
+        for name in old:
+            self.storage.delete(f"{self.commits_dir}/{name}")
+        return len(old)
+
+    def newest(self, exp_dirs: Iterable[str]) -> str | None:
+        """Newest time among all snapshots ever committed of some experiments."""
+        wanted = local_frame(self.spark, [(e,) for e in exp_dirs], strings("exp_dir"))
+        known = self.commits().filter("action = 'add'").join(wanted, "exp_dir", "left_semi")
+        return known.agg(F.max("snapshot_ts")).first()[0]
 
     # -- reading ---------------------------------------------------------------
 
@@ -221,24 +251,24 @@ class LogStore:
 
     def read_log(self) -> DataFrame:
         """All visible rows, older versions included."""
-        chosen = self.snapshots().select("exp_dir", "kind", "snapshot_ts")
-        listed = chosen.limit(self.max_listed + 1).collect()
-        if len(listed) <= self.max_listed:
-            return self.read(Snapshot(*row) for row in listed)
-        return self._scan([self.log_dir]).join(chosen, chosen.columns, "left_semi").select(
-            *LOG_SCHEMA.names
-        )
+        chosen = self.snapshots().select("exp_dir", "kind", "snapshot_ts").collect()
+        return self.read(Snapshot(*row) for row in chosen)
 
     def live(
-        self, exp_dirs: Iterable[str] | None = None, under: str | None = None
+        self,
+        exp_dirs: Iterable[str] | None = None,
+        under: str | None = None,
+        experiment: str | None = None,
     ) -> LiveLog:
         """The log rows that make up the current state, optionally of some experiments.
 
         ``under`` leaves out experiments whose scanned roots neither hold nor lie in
         that directory: a listing then opens the files of one experiment, not of all.
+        ``experiment`` leaves out those of which every snapshot is known to hold
+        another experiment's entries only.
 
-        The names of live snapshots come to the driver only up to ``max_listed``;
-        a larger catalog is read whole and cut down by a join with the commits.
+        The names of live snapshots come to the driver, whatever their number: the plan
+        of a scan holds every file below them anyway. A state is three scans.
         """
         snapshots = self.snapshots()
         if exp_dirs is not None:
@@ -247,19 +277,19 @@ class LogStore:
         if under is not None:
             near = snapshots.filter(_related(F.col("root"), under)).select("exp_dir").distinct()
             snapshots = snapshots.join(near, "exp_dir", "left_semi")
-        listed = (
-            snapshots.select("exp_dir", "kind", "snapshot_ts", "key_bytes", "n_records")
-            .limit(self.max_listed + 1)
-            .collect()
-        )
-        if len(listed) <= self.max_listed:
-            return self._live_by_path(listed)
-        return self._live_by_join(live_snapshots(snapshots))
+        if experiment is not None:
+            may = F.col("experiment").isNull() | (F.col("experiment") == experiment)
+            holds = snapshots.filter(may).select("exp_dir").distinct()
+            snapshots = snapshots.join(holds, "exp_dir", "left_semi")
+        listed = snapshots.select(
+            "exp_dir", "kind", "snapshot_ts", "key_bytes", "n_records"
+        ).collect()
+        return self._live(listed)
 
     def _fits(self, key_bytes: int | None, n_records: int | None) -> bool:
         return (key_bytes or 0) + KEY_OVERHEAD * (n_records or 0) <= self.broadcast_bytes
 
-    def _live_by_path(self, listed) -> LiveLog:
+    def _live(self, listed) -> LiveLog:
         parts = split_live(listed)
         return LiveLog(
             *[self.read(Snapshot(*row[:3]) for row in rows) for rows in parts],
@@ -270,27 +300,6 @@ class LogStore:
             sum(r.n_records for rows in parts for r in rows),
         )
 
-    def _live_by_join(self, live: DataFrame) -> LiveLog:
-        rows = self._scan([self.log_dir])
-        place = ["exp_dir", "kind", "snapshot_ts"]
-        deltas = live.filter(F.col("kind") == DELTA)
-        changing = deltas.select("exp_dir").distinct()
-        bases = live.filter(F.col("kind") == BASE)
-        size = deltas.agg(F.sum("key_bytes"), F.sum("n_records")).first()
-        n_rows = live.agg(F.sum("n_records")).first()[0]
-
-        def read(chosen):
-            return rows.join(chosen.select(*place), place, "left_semi").select(*LOG_SCHEMA.names)
-
-        return LiveLog(
-            read(bases.join(changing, "exp_dir", "left_anti")),
-            read(bases.join(changing, "exp_dir", "left_semi")),
-            read(deltas),
-            self._fits(*size),
-            {r.exp_dir for r in bases.select("exp_dir").distinct().collect()},
-            n_rows or 0,
-        )
-
     # -- writing ---------------------------------------------------------------
 
     def write_base(self, rows: DataFrame, snapshot_ts: str, n_rows: int) -> None:
@@ -325,7 +334,7 @@ class LogStore:
         key_bytes = F.octet_length("path") if kind == DELTA else F.lit(0)
         per_file = (
             self.read_written(snapshot_ts, kind)
-            .select("exp_dir", "status", "path", "_metadata.file_path", "_metadata.file_size")
+            .select("exp_dir", "status", "path", "experiment", "_metadata.file_path", "_metadata.file_size")
             .groupBy("exp_dir", "file_path", "file_size")
             .agg(
                 F.count_if(status.isNull() | (status == "added")).alias("n_added"),
@@ -333,10 +342,17 @@ class LogStore:
                 F.count_if(status == "removed").alias("n_removed"),
                 F.count("*").alias("n_records"),
                 F.sum(key_bytes).alias("key_bytes"),
+                F.min("experiment").alias("least"),
+                F.max("experiment").alias("most"),
+                F.count("experiment").alias("named"),
             )
         )
         return per_file.groupBy("exp_dir").agg(
             *[F.sum(c).alias(c) for c in ("n_added", "n_modified", "n_removed", "n_records")],
             F.sum("file_size").alias("n_bytes"),
             F.sum("key_bytes").alias("key_bytes"),
+            F.when(
+                (F.min("least") == F.max("most")) & (F.sum("named") == F.sum("n_records")),
+                F.max("most"),
+            ).alias("experiment"),
         ).withColumns({"kind": F.lit(kind), "snapshot_ts": F.lit(snapshot_ts)})

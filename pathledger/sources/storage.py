@@ -2,7 +2,8 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Stores on which renaming a directory is one metadata operation.
 _CHEAP_RENAME = {"file", "hdfs", "viewfs"}
@@ -17,6 +18,13 @@ def partition_dir(column: str, value: str) -> str:
     return f"{column}={text}"
 
 
+def escaped(value: Column) -> Column:
+    """The same spelling for a column of values."""
+    codes = F.create_map(*[x for c in sorted(_ESCAPED) for x in (F.lit(c), F.lit(f"%{ord(c):02X}"))])
+    letters = F.filter(F.split(value, ""), lambda c: c != "")
+    return F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(codes, c), c)), "")
+
+
 class Storage:
     def __init__(self, spark: SparkSession):
         self._spark = spark

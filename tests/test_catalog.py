@@ -156,13 +156,15 @@ def test_tree(catalog, experiment):
         "│   └── run0002/ (1 files, 512.0 B)",
         "└── zz.txt (5.0 B)",
     ]
-    assert catalog.tree(root) == "\n".join(lines)
-    deep = catalog.tree(root, depth=3).split("\n")
+    def drawn(depth):
+        return [r.line for r in catalog.tree(root, depth).collect()]
+
+    assert drawn(2) == lines
+    assert drawn(0) == [root]
+    deep = drawn(3)
     assert "│   │   ├── image_0001.h5 (1.0 KB)" in deep
     assert "│       └── data.h5 (512.0 B)" in deep
-    assert catalog.tree(root, depth=1).count("\n") == 3
-    with pytest.raises(ValueError, match="more than 3 lines"):
-        catalog.tree(root, max_lines=3)
+    assert len(drawn(1)) == 4
 
 
 def test_empty_and_missing_roots(catalog, tmp_path, experiment):

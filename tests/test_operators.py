@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathledger import operators as ops
 from pathledger.operators.versions import merge_on_read, replay
@@ -72,7 +73,7 @@ def test_every_view_equals_the_fold(spark, seed):
     expected = fold(history)
     assert as_set(replay(log), *COLUMNS) == expected
     assert as_set(ops.files_view(log), *COLUMNS) == expected
-    assert as_set(ops.files_view_selective(log), *COLUMNS) == expected
+    assert as_set(ops.files_view_selective(log, [e for e, *_ in history if e != "quiet"]), *COLUMNS) == expected
     assert as_set(merge_on_read(bases, deltas), *COLUMNS) == expected
     assert as_set(merge_on_read(bases, deltas, broadcast_keys=True), *COLUMNS) == expected
 
@@ -80,7 +81,25 @@ def test_every_view_equals_the_fold(spark, seed):
 def test_removal_of_an_unknown_path_is_ignored(spark):
     history = [("e", "/a", 1, "t0", None), ("e", "/b", 2, "t1", "removed")]
     log = spark.createDataFrame(log_rows(history), LOG)
+    bases, deltas = log.filter("kind = 'base'"), log.filter("kind = 'delta'")
     assert as_set(replay(log), "path", "on_disk") == [("/a", True)]
+    assert as_set(merge_on_read(bases, deltas), "path", "on_disk") == [("/a", True)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merge_equals_replay_for_any_log(spark, seed):
+    """Orphan removals, paths that come and go, and times that disagree with the snapshots' order."""
+    rnd = random.Random(seed)
+    rows = [("e", f"/{i}", i, "t0", None) for i in range(20)]
+    for n in range(1, 5):
+        for i in rnd.sample(range(30), 12):
+            rows.append(("e", f"/{i}", 100 * n + i, f"t{n}", rnd.choice(["added", "modified", "removed"])))
+    log = spark.createDataFrame(log_rows(rows), LOG)
+    log = log.withColumn("indexed_at", F.when(F.length("path") % 2 == 0, "t9").otherwise(F.col("indexed_at")))
+    bases, deltas = log.filter("kind = 'base'"), log.filter("kind = 'delta'")
+    expected = as_set(replay(log), *COLUMNS)
+    assert as_set(merge_on_read(bases, deltas), *COLUMNS) == expected
+    assert as_set(merge_on_read(bases, deltas, broadcast_keys=True), *COLUMNS) == expected
 
 
 def test_scope_of_deduplication(spark):

@@ -315,3 +315,24 @@ ORACLES: dict[str, str] = {
     "find_mtime_range": _find(f"mtime >= {SINCE} AND mtime < {UNTIL}"),
     "purge_dates": f"{CTES} SELECT path, size, indexed_at AS purge_date FROM files WHERE NOT on_disk",
 }
+
+# Which queries ask a stored catalog what another asks the derived relation.
+STORED = {
+    "catalog_ls": "ls",
+    "catalog_ls_dirs": "ls_dirs",
+    "catalog_find": "find_combined",
+    "catalog_find_experiment": "find_experiment",
+    "catalog_tree": "tree_lines",
+    "catalog_stats": "stats",
+    "catalog_sql": "sql_by_experiment",
+}
+ORACLES |= {name: ORACLES[same] for name, same in STORED.items()}
+ORACLES |= {
+    "checksum_files": "SELECT doc_id, sha256(text) AS checksum, strlen(text) AS size FROM documents",
+    "index_tree": """
+        SELECT lang AS hutch, source AS experiment, COUNT(*) AS added,
+               CAST(0 AS BIGINT) AS modified, CAST(0 AS BIGINT) AS removed
+        FROM documents GROUP BY lang, source""",
+    "base_or_delta": f"{CTES}{SNAPSHOTS} SELECT exp_dir, snapshot_ts, kind FROM snapshots",
+    "tsv_sink": f"{CTES} SELECT path, size, run FROM files WHERE on_disk = false",
+}

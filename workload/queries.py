@@ -1,10 +1,12 @@
 """One DataFrame per operator, each over whole relations derived from the given tables."""
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathledger import Catalog, write_tsv
 from pathledger import functions as fn
 from pathledger import operators as ops
 from pathledger.plans.batch import REPORT
@@ -105,7 +107,7 @@ def archive_snapshots(spark, sf_dir):
     """Snapshots found in the archive after a consolidation."""
     catalog, _ = rel.record_scans(spark, sf_dir)
     archive = rel.scratch(spark) + "/archive"
-    catalog.consolidate(archive)
+    catalog.consolidate(archive, snapshot_ts="t3")
     archived = spark.read.schema(LOG_SCHEMA).parquet(archive)
     return archived.groupBy("exp_dir", "kind", "snapshot_ts").agg(
         F.count("*").alias("record_count")
@@ -245,7 +247,11 @@ def files_view_base_only(spark, sf_dir):
 
 @query
 def files_view_selective(spark, sf_dir):
-    return ops.files_view_selective(rel.snapshot_log(spark, sf_dir)).select(*VIEW)
+    catalog, _ = rel.recorded(spark, sf_dir)
+    # One row per experiment, from the commits.
+    changing = catalog.log.snapshots().filter("kind = 'delta'").select("exp_dir").distinct().collect()
+    log = rel.snapshot_log(spark, sf_dir)
+    return ops.files_view_selective(log, [r.exp_dir for r in changing]).select(*VIEW)
 
 
 @query
@@ -286,6 +292,58 @@ def index_report(spark, sf_dir):
     return local_frame(spark, rows, REPORT).drop("error")
 
 
+def _document_files(spark, sf_dir):
+    """A directory tree with one file per document below its language and source."""
+    root = rel.scratch(spark).removeprefix("file:") + "/documents"
+
+    def write(frames):
+        for frame in frames:
+            for row in frame.itertuples():
+                folder = f"{root}/{row.lang}/{row.source}"
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/{row.doc_id}.txt", "w", encoding="utf-8", newline="") as file:
+                    file.write(row.text)
+            yield frame[["doc_id"]]
+
+    documents = rel.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    written = documents.mapInPandas(write, "doc_id long").count()
+    return root, written
+
+
+@query
+def checksum_files(spark, sf_dir):
+    """Every document as a file of its own, scanned with sizes and checksums."""
+    root, _ = _document_files(spark, sf_dir)
+    scan = scan_roots(spark, [("d", "d", root)], Staging(spark, rel.scratch(spark)), compute_checksum=True)
+    doc_id = F.substring_index("filename", ".", 1).cast("long")
+    return scan.files.select(doc_id.alias("doc_id"), "checksum", "size")
+
+
+@query
+def index_tree(spark, sf_dir):
+    """The batch index over that tree: languages as hutches, which share the sources' names."""
+    root, _ = _document_files(spark, sf_dir)
+    hutches = sorted(r.lang for r in rel.table(spark, sf_dir, "documents").select("lang").distinct().collect())
+    catalog = Catalog(spark, rel.scratch(spark) + "/catalog")
+    return catalog.index(root, hutches).drop("error")
+
+
+@query
+def base_or_delta(spark, sf_dir):
+    """What each scan of an experiment was recorded as."""
+    catalog, _ = rel.recorded(spark, sf_dir)
+    return catalog.log.commits().filter("action = 'add'").select("exp_dir", "snapshot_ts", "kind")
+
+
+@query
+def tsv_sink(spark, sf_dir):
+    """Removed entries written as text and read again."""
+    catalog, _ = rel.recorded(spark, sf_dir)
+    path = rel.scratch(spark) + "/removed"
+    write_tsv(catalog.find(removed_only=True).select("path", "size", "run"), path)
+    return spark.read.option("sep", "\t").schema("path string, size long, run int").csv(path)
+
+
 @query
 def dry_run_counts(spark, sf_dir):
     return ops.dry_run_counts(rel.inventory(spark, sf_dir, 0))
@@ -383,6 +441,47 @@ def tree_lines(spark, sf_dir):
     return ops.tree_lines(nodes, TREE_PATH)
 
 
+# -- the same questions asked of a stored catalog ----------------------------------
+
+
+@query
+def catalog_ls(spark, sf_dir):
+    return rel.recorded(spark, sf_dir)[0].ls(LS_PATH).select(*VIEW)
+
+
+@query
+def catalog_ls_dirs(spark, sf_dir):
+    return rel.recorded(spark, sf_dir)[0].ls_dirs(DIRS_PATH)
+
+
+@query
+def catalog_find(spark, sf_dir):
+    found = rel.recorded(spark, sf_dir)[0].find(
+        "/ds/%", size_gt=SMALL, exclude=["%.xtc2"], on_disk_only=True, skip_symlinks=True
+    )
+    return found.select(*VIEW)
+
+
+@query
+def catalog_find_experiment(spark, sf_dir):
+    return rel.recorded(spark, sf_dir)[0].find(experiment=EXPERIMENT).select(*VIEW)
+
+
+@query
+def catalog_tree(spark, sf_dir):
+    return rel.recorded(spark, sf_dir)[0].tree(TREE_PATH, 2)
+
+
+@query
+def catalog_stats(spark, sf_dir):
+    return ops.catalog_stats(rel.recorded(spark, sf_dir)[0].files())
+
+
+@query
+def catalog_sql(spark, sf_dir):
+    return rel.recorded(spark, sf_dir)[0].query(SQL["sql_by_experiment"])
+
+
 @query
 def count_all(spark, sf_dir):
     return ops.count_files(rel.files(spark, sf_dir))
