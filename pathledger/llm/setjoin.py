@@ -24,9 +24,11 @@ document in links, each returned.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,64 +133,103 @@ def _children(batches):
         yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(reps[rows])], names=["key", "rep"])
 
 
-def forests(reps: np.ndarray, group: np.ndarray, sketch: np.ndarray, least: float, layers: int) -> list[tuple[int, int]]:
-    """Pairs of different groups whose sketches agree on ``least`` or more, best first: as many
-    edge-disjoint spanning forests over the groups as ``layers`` says; 0 stands for all pairs."""
-    n = len(reps)
-    alike = np.stack([(sketch == sketch[i]).mean(1) for i in range(n)])
+def forests(reps: np.ndarray, group: np.ndarray, sketch: np.ndarray, least: float, layers: int):
+    """Pairs of different groups whose sketches agree on ``least`` or more, best first, and whether
+    any are left out: as many edge-disjoint spanning forests over the groups as ``layers`` says,
+    all pairs if that is 0 or they are few."""
+    alike = np.stack([(sketch == row).mean(1) for row in sketch])
     i, j = np.nonzero(np.triu((alike >= least) & (group[:, None] != group[None, :]), 1))
-    if not layers:
-        return list(zip(reps[i].tolist(), reps[j].tolist(), strict=True))
+    if not layers or len(i) <= 2 * len(reps):
+        return list(zip(reps[i].tolist(), reps[j].tolist(), strict=True)), False
     order = np.lexsort((j, i, -alike[i, j]))
     left = list(zip(i[order].tolist(), j[order].tolist(), strict=True))
     out: list[tuple[int, int]] = []
-    _, first = np.unique(group, return_inverse=True)
+    names, first = np.unique(group, return_inverse=True)
+    first = first.tolist()
     for _ in range(layers):
-        if not left:
-            break
-        root = first.tolist()
-        rest = []
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        root = list(range(max(root) + 1))
+        root, rest = list(range(len(names))), []
         for a, b in left:
-            ra, rb = find(int(first[a])), find(int(first[b]))
+            ra, rb = first[a], first[b]
+            while root[ra] != ra:
+                ra = root[ra]
+            while root[rb] != rb:
+                rb = root[rb]
             if ra == rb:
                 rest.append((a, b))
             else:
                 root[max(ra, rb)] = min(ra, rb)
                 out.append((int(reps[a]), int(reps[b])))
         left = rest
-    return out
+    return out, bool(left)
+
+
+def _whole_groups(batches, *names: str):
+    """Batches sorted by ``names``, cut so that no group of equal values is split; and the groups' begins."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        begins = _begins(table, names)
+        if len(begins) > 1:
+            yield table.slice(0, begins[-1]), np.append(begins[:-1], begins[-1])
+        held = table.slice(begins[-1]) if len(begins) else table
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+def _begins(table: pa.Table, names) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for name in names:
+        values = table.column(name).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
 
 
 def _propose(least: float, layers: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("rep").sort_values("rep")
-        sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint32).reshape(-1, COORDINATES)
-        pairs = forests(frame["rep"].to_numpy(), frame["comp"].to_numpy(), sketch, least, layers)
-        return pd.DataFrame({"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}, dtype="int64")
+    """Pairs (a, b) of each node or block; a row without them names a node that leaves some out."""
+
+    def run(batches):
+        for table, begins in _whole_groups(batches, "key", "block"):
+            key, reps, comp = (table.column(c).to_numpy() for c in ("key", "rep", "comp"))
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            sizes = np.diff(begins)
+            two = begins[:-1][sizes == 2]
+            close = (sketch[two] == sketch[two + 1]).mean(1) >= least
+            two = two[close & (comp[two] != comp[two + 1])]
+            out = [(a, b, None) for a, b in zip(reps[two].tolist(), reps[two + 1].tolist(), strict=True)]
+            for lo, hi in zip(begins[:-1][sizes > 2], begins[1:][sizes > 2], strict=True):
+                own, first = np.unique(reps[lo:hi], return_index=True)
+                pairs, more = forests(own, comp[lo:hi][first], sketch[lo:hi][first], least, layers)
+                out += [(a, b, None) for a, b in pairs]
+                if more:
+                    out.append((None, None, int(key[lo])))
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            a, b, open_key = (pa.array(c, pa.int64()) for c in columns)
+            yield pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b), open_key], names=["a", "b", "key"])
 
     return run
 
 
 def _confirm(least: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
-        center = np.flatnonzero(frame["center"].to_numpy())[0]
-        one = sets[center]
-        linked = []
-        for i, other in enumerate(sets):
-            if i != center:
-                at = np.minimum(np.searchsorted(one, other), len(one) - 1)
-                both = int((one[at] == other).sum())
-                if 100 * both >= least * (len(one) + len(other) - both):
-                    linked.append(frame["rep"].iloc[i])
-        return pd.DataFrame({"a": frame["rep"].iloc[center], "b": linked}, dtype="int64")
+    """Of each bundle, its center with every other set that links to it."""
+
+    def run(batches):
+        for table, begins in _whole_groups(batches, "a", "bundle"):
+            reps, center = table.column("rep").to_numpy(), table.column("center").to_numpy()
+            blobs = table.column("shingles").to_pylist()
+            linked = []
+            for lo, hi in zip(begins[:-1], begins[1:], strict=True):
+                sets = [np.frombuffer(x, np.uint64) for x in blobs[lo:hi]]
+                at = int(np.flatnonzero(center[lo:hi])[0])
+                one = sets[at]
+                for i, other in enumerate(sets):
+                    if i != at:
+                        place = np.minimum(np.searchsorted(one, other), len(one) - 1)
+                        both = int((one[place] == other).sum())
+                        if 100 * both >= least * (len(one) + len(other) - both):
+                            linked.append((int(reps[lo + at]), int(reps[lo + i])))
+            columns = list(zip(*linked, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
     return run
 
@@ -229,39 +270,41 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
     texts = rows.join(suspects, F.col("doc_id") == F.col("rep"), "left_semi").filter("text IS NOT NULL")
     # Rows that share an id are one document: the set of the class that it stands for is enough.
     full = scratch.write(texts.mapInArrow(_full_sets(size), "rep long, shingles binary").dropDuplicates(["rep"]))
-    links = comps = tested = None
-    waiting = None
+    comps = tested = waiting = None
     for level in range(levels + 4):
         last = level >= levels
-        found, big_left, again = [], None, None
+        found, big_left, small, done = [], None, [], []
         if nodes is not None:
             alive = _alive(nodes, comps, reps, scratch)
-            small, big = alive.filter(f"n <= {node}"), alive.filter(f"n > {node}")
-            found.append(_pairs(small.withColumn("block", F.lit(0)), _propose(least, 1)))
+            done.append(alive)
+            few, big_left = alive.filter(f"n <= {node}"), alive.filter(f"n > {node}")
+            small.append(few)
+            found.append(_pairs(few.withColumn("block", F.lit(0)), _propose(least, 1)))
             if last:
-                found.append(_pairs(_block_pairs(big, node), _propose(least, 0)))
+                found.append(_pairs(_block_pairs(big_left, node), _propose(least, 0)))
             else:
-                found.append(_pairs(_blocks(big, node), _propose(least, 1)))
-            again, big_left = small.select("key", "rep", "n"), big
+                found.append(_pairs(_blocks(big_left, node), _propose(least, 1)))
         if waiting is not None:
             old, layers = waiting
-            alive_old = _alive(old, comps, reps, scratch)
-            found.append(_pairs(alive_old.withColumn("block", F.lit(0)), _propose(least, layers)))
-            still = alive_old.select("key", "rep", "n")
-            again = still if again is None else still.unionByName(again)
-        pairs = found[0]
-        for other in found[1:]:
-            pairs = pairs.unionByName(other)
-        pairs = pairs.distinct()
+            old = _alive(old, comps, reps, scratch)
+            done.append(old)
+            small.append(old)
+            found.append(_pairs(old.withColumn("block", F.lit(0)), _propose(least, layers)))
+        proposed = scratch.write(functools.reduce(DataFrame.unionByName, found))
+        pairs = proposed.filter("a IS NOT NULL").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs)
-        if pairs.isEmpty() and (big_left is None or big_left.isEmpty()) and (waiting is None or waiting[1] == 0):
-            break
+        unfinished = proposed.filter("a IS NULL").select("key").distinct()
+        again = functools.reduce(DataFrame.unionByName, [m.select("key", "rep", "n") for m in small])
+        again = scratch.write(again.join(unfinished, "key", "left_semi"))
         confirmed = scratch.write(_verified(pairs, full, percent, scratch))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = confirmed if links is None else links.unionByName(confirmed)
-        comps = scratch.write(components(links, scratch))
+        if comps is None or not confirmed.isEmpty():
+            links = confirmed
+            if comps is not None:  # stars of the components so far stand for their links
+                links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            comps = scratch.write(components(links, scratch))
         if big_left is not None and not last:
             nodes = scratch.write(
                 _crowded(big_left.select("key", "rep", "sketch").mapInArrow(_children, "key long, rep long"))
@@ -270,7 +313,8 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
                 nodes = None
         else:
             nodes = None
-        waiting = (scratch.write(again), 6 if waiting is None else 0) if again is not None else None
+        scratch.drop(*done)
+        waiting = None if again.isEmpty() else (again, 6 if waiting is None else 0)
         if nodes is None and waiting is None:
             break
     if comps is not None:
@@ -306,9 +350,9 @@ def _alive(nodes: DataFrame, comps: DataFrame | None, reps: DataFrame, scratch:
 
 
 def _pairs(members: DataFrame, propose) -> DataFrame:
-    return members.select("key", "block", "rep", "comp", "sketch").groupBy("key", "block").applyInPandas(
-        propose, "a long, b long"
-    )
+    rows = members.select("key", "block", "rep", "comp", "sketch")
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
+    return rows.mapInArrow(propose, "a long, b long, key long")
 
 
 def _blocks(big: DataFrame, node: int) -> DataFrame:
@@ -335,7 +379,9 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch,
     partners = dealt.select("a", "bundle", F.col("b").alias("rep"), F.lit(False).alias("center"))
     centers = dealt.select("a", "bundle", F.col("a").alias("rep"), F.lit(True).alias("center")).distinct()
     rows = partners.unionByName(centers).join(full, "rep")
-    return rows.groupBy("a", "bundle").applyInPandas(_confirm(percent), "a long, b long")
+    rows = rows.select("a", "bundle", "rep", "center", "shingles")
+    rows = rows.repartition("a", "bundle").sortWithinPartitions("a", "bundle")
+    return rows.mapInArrow(_confirm(percent), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, key="doc_id", **options) -> DataFrame:
