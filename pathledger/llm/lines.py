@@ -64,33 +64,32 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     """
     k, width = max_edits, 2 * max_edits + 1
     full = (1 << width) - 1
-    left, right = F.split(a, ""), F.split(b, "")
-
-    def match(j: Column) -> Column:
-        bits = [
-            F.when(F.get(left, j - 1 + d) == F.get(right, j - 1), 1 << (d + k)).otherwise(0)
-            for d in range(-k, k + 1)
-        ]
-        total = bits[0]
-        for bit in bits[1:]:
-            total = total.bitwiseOR(bit)
-        return total
-
-    def step(state: Column, j: Column) -> Column:
-        same = match(j)
-        new = []
-        for e in range(k + 1):
-            own = state[f"e{e}"].bitwiseAND(same)
-            if e:
-                before = state[f"e{e - 1}"]
-                # A changed character, one of b that a lacks, one of a that b lacks.
-                own = own.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new[-1], 1))
-            new.append(own.bitwiseAND(full))
-        return F.struct(*[x.alias(f"e{e}") for e, x in enumerate(new)])
-
-    start = F.struct(*[F.lit(((1 << (e + 1)) - 1) << k).alias(f"e{e}") for e in range(k + 1)])
+
+    def last_state(chars: Column) -> Column:
+        """The last state over strings that are split once, not at every step."""
+        left, right = chars["a"], chars["b"]
+
+        def step(state: Column, j: Column) -> Column:
+            same = F.lit(0)
+            for d in range(-k, k + 1):
+                equal = F.get(left, j - 1 + d) == F.get(right, j - 1)
+                same = same.bitwiseOR(F.when(equal, 1 << (d + k)).otherwise(0))
+            new = []
+            for e in range(k + 1):
+                own = state[f"e{e}"].bitwiseAND(same)
+                if e:
+                    before = state[f"e{e - 1}"]
+                    # A changed character, one of b that a lacks, one of a that b lacks.
+                    own = own.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new[-1], 1))
+                new.append(own.bitwiseAND(full))
+            return F.struct(*[x.alias(f"e{e}") for e, x in enumerate(new)])
+
+        start = F.struct(*[F.lit(((1 << (e + 1)) - 1) << k).alias(f"e{e}") for e in range(k + 1)])
+        return F.aggregate(F.sequence(F.lit(1), F.size(right)), start, step)[f"e{k}"]
+
+    split = F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")))
+    last = F.get(F.transform(split, last_state), 0)
     difference = F.length(a) - F.length(b)
-    last = F.aggregate(F.sequence(F.lit(1), F.length(b)), start, step)[f"e{k}"]
     reached = F.lit(False)
     for d in range(-k, k + 1):
         reached = F.when(difference == d, last.bitwiseAND(1 << (d + k)) != 0).otherwise(reached)
