@@ -40,4 +40,109 @@ WITH sizes AS (
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies FROM counted
 """
 
-ORACLES = {"op5_mixing": OP5}
+OP1 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), windows AS (
+  SELECT doc_id, s AS start, list_aggregate(words[s + 1 : s + 20], 'string_agg', ' ') AS run
+  FROM (SELECT doc_id, words, unnest(range(greatest(len(words) - 19, 0))) AS s FROM texts)
+), repeated AS (
+  SELECT doc_id, start FROM windows
+  QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, start) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, start + i AS at FROM repeated, range(20) AS t(i)
+), placed AS (
+  SELECT doc_id, words, unnest(range(len(words))) AS at FROM texts
+), kept AS (
+  SELECT p.doc_id, string_agg(p.words[p.at + 1], ' ' ORDER BY p.at) AS rest, count(*) AS n
+  FROM placed p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.at = g.at GROUP BY p.doc_id
+)
+SELECT t.doc_id, len(t.words)::BIGINT AS n_words, (len(t.words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(rest, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
+
+#: Reachability over links (a, b) in both directions, and the smallest node reached.
+_REACH = """
+reach AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), smallest AS (
+  SELECT a, min(b) AS low FROM reach GROUP BY a
+)"""
+
+OP3 = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+    AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+), links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM usable p JOIN usable q
+  ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x) AND list_cosine_similarity(p.x, q.x) >= 0.93
+), {_REACH}, counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN smallest s ON s.a = e.vec_id
+"""
+
+OP4 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+), firsts AS (
+  SELECT doc_id, pos, line, length(line) AS n FROM lines WHERE trim(line, ' ') <> ''
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) = 1
+), near AS (
+  SELECT DISTINCT b.line FROM firsts a, range(-1, 2) AS t(d), firsts b
+  WHERE b.n = a.n + d AND a.n >= 16 AND b.n >= 16 AND (a.doc_id, a.pos) < (b.doc_id, b.pos)
+    -- One edit leaves one half of the line as it is, counted from its own end.
+    AND (a.line[: (a.n // 2)::INT] = b.line[: (a.n // 2)::INT]
+      OR a.line[-(a.n - a.n // 2)::INT :] = b.line[-(a.n - a.n // 2)::INT :])
+    AND within_one(a.line, b.line)
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS rest, count(*) AS n
+  FROM lines l
+  LEFT JOIN firsts f ON f.line = l.line
+  LEFT JOIN near r ON r.line = l.line
+  WHERE f.line IS NULL OR (r.line IS NULL AND f.doc_id = l.doc_id AND f.pos = l.pos)
+  GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::INT AS n_lines,
+  (coalesce(len(string_split(text, chr(10))), 0) - coalesce(n, 0))::INT AS n_removed,
+  length(CASE WHEN text IS NOT NULL THEN coalesce(rest, '') END)::INT AS kept_chars,
+  sha256(CASE WHEN text IS NOT NULL THEN coalesce(rest, '') END) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+#: At most one edit apart: a common beginning and a common end cover all but one character.
+_WITHIN_ONE = """
+(len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[: i::INT] = y[: i::INT]))
+ + len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[-(i::INT) :] = y[-(i::INT) :]))
+ >= greatest(length(x), length(y)) - 1)"""
+OP4 = OP4.replace("within_one(a.line, b.line)", _WITHIN_ONE.replace("x", "a.line").replace("y", "b.line"))
+
+OP7 = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, list_aggregate(words[s + 1 : s + 4], 'string_agg', ' ') AS run
+  FROM (SELECT doc_id, words, unnest(range(CASE WHEN len(words) = 0 THEN 0 ELSE greatest(len(words) - 3, 1) END)) AS s FROM texts)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n
+  FROM shingles p JOIN shingles q ON p.run = q.run AND p.doc_id <> q.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared s JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * s.n >= 80 * (p.n + q.n - s.n)
+), {_REACH}
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(low, t.doc_id)) AS component_id,
+  t.doc_id = least(t.doc_id, coalesce(low, t.doc_id)) AS kept
+FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN smallest m ON m.a = t.doc_id
+"""
+
+ORACLES = {"op1_substring": OP1, "op3_vectors": OP3, "op4_lines": OP4, "op5_mixing": OP5, "op7_setjoin": OP7}
