@@ -22,6 +22,8 @@ has one blank line; line ends are "\\n" alone; other columns pass unchanged.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,47 @@ def signatures(line: Column, length: Column, max_edits: int) -> Column:
     return F.array(*out)
 
 
+def fine_signatures(line: Column, length: Column, max_edits: int, pieces: int = 16) -> Column:
+    """Keys as of :func:`signatures` that fix nearly the whole line.
+
+    Edits touch at most ``max_edits`` of its pieces, so a key takes all but so many. Pieces
+    before the first omitted one are in place, those behind the last are moved by the
+    difference in length, and those between by what the edits on either side allow.
+    """
+
+    def cut(n: Column, i: int) -> Column:
+        return ((n * i - n * i % pieces) / pieces).cast("int")
+
+    out = []
+    for number, omitted in enumerate(itertools.combinations(range(pieces), max_edits)):
+        edges = [-1, *omitted, pieces]
+        runs = [(a + 1, b, q) for q, (a, b) in enumerate(itertools.pairwise(edges)) if a + 1 < b]
+        texts = [F.substring(line, cut(length, a) + 1, cut(length, b) - cut(length, a)) for a, b, _ in runs]
+        key = F.xxhash64(length, F.lit(number), *texts)
+        out.append(F.struct(key.alias("key"), F.lit(False).alias("probe")))
+        for less in range(max_edits + 1):
+            shifts = []
+            for _, _, before in runs:
+                after = max_edits - before
+                shifts.append(range(max(-before, less - after), min(before, less + after) + 1))
+            for moved in itertools.product(*shifts):
+                texts, inside = [], F.lit(True)
+                for (a, b, _), shift in zip(runs, moved, strict=True):
+                    at, size = cut(length - less, a) + 1 + shift, cut(length - less, b) - cut(length - less, a)
+                    texts.append(F.substring(line, at, size))
+                    inside &= (at >= 1) & (at + size - 1 <= length)
+                key = F.xxhash64(length - less, F.lit(number), *texts)
+                out.append(F.struct(F.when(inside, key).alias("key"), F.lit(True).alias("probe")))
+    return F.array(*out)
+
+
+def _met(keys: DataFrame) -> DataFrame:
+    """Pairs of lines of which one looks under a key of the other."""
+    found = keys.filter("NOT probe").select("key", F.col("h1").alias("a"))
+    asked = keys.filter("probe").select("key", F.col("h1").alias("b"))
+    return found.join(asked, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     """Whether two strings are at most ``max_edits`` edits apart, by bits over a diagonal band.
 
@@ -105,24 +148,31 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, key="doc_id", text="text", max_edits: int = 1, min_chars: int = 16) -> DataFrame:
-    """Lines to remove: doc, mark, pos."""
+def repeated_lines(docs: DataFrame, scratch: Scratch, key="doc_id", text="text", max_edits: int = 1, min_chars: int = 16,
+                   crowded: int = 16) -> DataFrame:
+    """Lines to remove: doc, mark, pos.
+
+    Lines that meet more than ``crowded`` others' under one key meet again under keys that fix
+    nearly the whole line, so one segment shared by many different lines makes few pairs.
+    """
     lines = _lines(docs, key, text)
     at = F.struct("doc", "pos")
     places = scratch.write(lines.select("doc", "mark", "pos", "h1", "h2"))
     firsts = scratch.write(places.groupBy("h1", "h2").agg(F.min(at).alias("first")))
     length = F.length("line")
-    keys = (
-        lines.withColumn("length", length).filter(F.col("length") >= max(min_chars, max_edits + 1))
-        .select("h1", F.explode(signatures(F.col("line"), F.col("length"), max_edits)).alias("s"))
-        .select("h1", "s.key", "s.probe").filter("key IS NOT NULL").distinct()
-    )
-    keys = scratch.write(keys)
-    found = keys.filter("NOT probe").select("key", F.col("h1").alias("a"))
-    asked = keys.filter("probe").select("key", F.col("h1").alias("b"))
-    pairs = found.join(asked, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fit = lines.withColumn("length", length).filter(F.col("length") >= max(min_chars, max_edits + 1))
+
+    def keyed(rows: DataFrame, signature) -> DataFrame:
+        each = rows.select("h1", F.explode(signature(F.col("line"), F.col("length"), max_edits)).alias("s"))
+        return each.select("h1", "s.key", "s.probe").filter("key IS NOT NULL").distinct()
+
+    keys = scratch.write(keyed(fit, signatures))
+    full = scratch.write(keys.groupBy("key").count().filter(F.col("count") > crowded).select("key"))
+    again = scratch.write(keys.join(full, "key", "left_semi").select("h1").distinct())
+    fine = scratch.write(keyed(fit.join(again, "h1", "left_semi"), fine_signatures))
+    pairs = _met(keys.join(full, "key", "left_anti")).unionByName(_met(fine))
     pairs = scratch.write(pairs.distinct())
-    scratch.drop(keys)
+    scratch.drop(keys, fine)
     wanted = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
     texts = scratch.write(lines.join(wanted, "h1", "left_semi").select("h1", "h2", "line").dropDuplicates(["h1", "h2"]))
     one = texts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("x"))

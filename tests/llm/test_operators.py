@@ -253,12 +253,12 @@ def test_banded_edit_distance(spark):
             assert r.near == (edits(r.a, r.b) <= k), (r.a, r.b, k)
 
 
-@pytest.mark.parametrize("k", [1, 2])
-def test_line_dedup(spark, k):
+@pytest.mark.parametrize("k, crowded", [(1, 16), (2, 16), (1, 0)])
+def test_line_dedup(spark, k, crowded):
     rnd = random.Random(k)
     base = ["".join(rnd.choice("abcde ") for _ in range(rnd.randrange(0, 26))) for _ in range(25)]
     texts = ["\n".join(changed(rnd, rnd.choice(base), rnd.randrange(3)) for _ in range(rnd.randrange(1, 5))) for _ in range(50)]
-    got = by_id(dedup_lines(frame(spark, texts), max_edits=k, min_chars=10))
+    got = by_id(dedup_lines(frame(spark, texts), max_edits=k, min_chars=10, crowded=crowded))
     seen = []
     for i, text in enumerate(texts):
         kept = []
