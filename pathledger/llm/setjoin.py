@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
     texts = rows.join(suspects, F.col("doc_id") == F.col("rep"), "left_semi").filter("text IS NOT NULL")
     # Rows that share an id are one document: the set of the class that it stands for is enough.
     full = scratch.write(texts.mapInArrow(_full_sets(size), "rep long, shingles binary").dropDuplicates(["rep"]))
-    comps = tested = waiting = None
+    comps = tested = waiting = closing = None
     for level in range(levels + 4):
         last = level >= levels
         found, big_left, small, done = [], None, [], []
@@ -290,14 +290,19 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
             done.append(old)
             small.append(old)
             found.append(_pairs(old.withColumn("block", F.lit(0)), _propose(least, layers)))
+        if closing is not None:
+            found.append(_pairs(_against_all(closing, node), _propose(least, 0)))
+            done.append(closing)
         proposed = scratch.write(functools.reduce(DataFrame.unionByName, found))
         pairs = proposed.filter("a IS NOT NULL").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs)
         unfinished = proposed.filter("a IS NULL").select("key").distinct()
-        again = functools.reduce(DataFrame.unionByName, [m.select("key", "rep", "n") for m in small])
-        again = scratch.write(again.join(unfinished, "key", "left_semi"))
+        again = None
+        if small:
+            rest = functools.reduce(DataFrame.unionByName, [m.select("key", "rep", "n") for m in small])
+            again = scratch.write(rest.join(unfinished, "key", "left_semi"))
         confirmed = scratch.write(_verified(pairs, full, percent, scratch))
         tested = pairs if tested is None else tested.unionByName(pairs)
         if comps is None or not confirmed.isEmpty():
@@ -305,17 +310,21 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
             if comps is not None:  # stars of the components so far stand for their links
                 links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
             comps = scratch.write(components(links, scratch))
+        nodes = closing = None
         if big_left is not None and not last:
-            nodes = scratch.write(
-                _crowded(big_left.select("key", "rep", "sketch").mapInArrow(_children, "key long, rep long"))
-            )
-            if nodes.isEmpty():
-                nodes = None
-        else:
-            nodes = None
+            # Only what still holds several components goes on. If few members lie outside the
+            # largest one, comparing them with all members finishes the node.
+            left = _alive(big_left.select("key", "rep", "n"), comps, reps, scratch)
+            done.append(left)
+            members = _ranked(left, scratch)
+            closing = members.filter(f"others <= {node}")
+            wide = members.filter(f"others > {node}").select("key", "rep", "sketch")
+            nodes = scratch.write(_crowded(wide.mapInArrow(_children, "key long, rep long")))
+            nodes = None if nodes.isEmpty() else nodes
+            closing = None if closing.isEmpty() else scratch.write(closing)
         scratch.drop(*done)
-        waiting = None if again.isEmpty() else (again, 6 if waiting is None else 0)
-        if nodes is None and waiting is None:
+        waiting = None if again is None or again.isEmpty() else (again, 6 if waiting is None else 0)
+        if nodes is None and waiting is None and closing is None:
             break
     if comps is not None:
         classes = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
@@ -364,6 +373,24 @@ def _blocks(big: DataFrame, node: int) -> DataFrame:
     return dealt.unionByName(spread.select(*dealt.columns))
 
 
+def _ranked(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members with ``other``, whether they lie outside their node's largest component, and their number ``others``."""
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    top = sizes.groupBy("key").agg(
+        F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all")
+    ).select("key", F.col("top.comp").alias("largest"), (F.col("all") - F.col("top.size")).alias("others"))
+    named = members.join(scratch.write(top), "key")
+    return named.withColumn("other", F.col("comp") != F.col("largest")).drop("largest")
+
+
+def _against_all(members: DataFrame, node: int) -> DataFrame:
+    """Members of large nodes cut into blocks, with those outside the largest component in each of them."""
+    count = F.ceil(F.col("n") / node).cast("int")
+    most = members.filter("NOT other").withColumn("block", F.pmod(F.xxhash64("rep"), count).cast("int"))
+    few = members.filter("other").withColumn("block", F.explode(F.sequence(F.lit(0), count - 1)))
+    return most.unionByName(few)
+
+
 def _block_pairs(big: DataFrame, node: int) -> DataFrame:
     """Every pair of blocks of a large node, as one group each."""
     count = F.ceil(F.col("n") / node).cast("int")
