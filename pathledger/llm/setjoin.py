@@ -5,7 +5,8 @@ node picks two coordinates by a hash of its path and sends each set to the child
 value of each names, so sets of similarity s stay together in 2 s children on average.
 Nodes of few sets are compared exhaustively, larger ones branch on. Over any depth a pair
 at s = 0.8 is lost by one tree with probability 1/16 at most (the fixed point of
-q = (0.2 + 0.8 q)^2), by eight independent trees with 3e-10.
+q = (0.2 + 0.8 q)^2), by eight independent trees with 3e-10. Sketches that fall five standard
+errors short lose it with about 2e-7.
 
 Comparing means: pairs whose sketches allow the threshold are proposed, and each is
 confirmed on the full sets. As components are asked for, a node first proposes a spanning
