@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathledger.llm.lines import dedup_lines
 from pathledger.llm.mixing import mix_sources
 from pathledger.llm.packing import pack_documents
-from pathledger.llm.queries import LIMIT, learned, table, tokenizer_path
+from pathledger.llm.queries import LIMIT, LINE_EDITS, learned, table, tokenizer_path
 from pathledger.llm.scratch import Scratch
 from pathledger.llm.setjoin import drop_near_duplicates
 from pathledger.llm.toxicity import fit_toxicity, score_toxicity
@@ -23,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; those that had nothing else go."""
-    rows = dedup_lines(docs)
+    rows = dedup_lines(docs, max_edits=LINE_EDITS)
     emptied = (F.col("n_removed") > 0) & (F.trim("text") == "")
     rows = rows.filter(~F.coalesce(emptied, F.lit(False)))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -23,6 +23,7 @@ has one blank line; line ends are "\\n" alone; other columns pass unchanged.
 from __future__ import annotations
 
 import itertools
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,38 +59,51 @@ def signatures(line: Column, length: Column, max_edits: int) -> Column:
     return F.array(*out)
 
 
-def fine_signatures(line: Column, length: Column, max_edits: int, pieces: int = 16) -> Column:
-    """Keys as of :func:`signatures` that fix nearly the whole line.
+def _moves(max_edits: int, pieces: int) -> list[dict]:
+    """What each key of :func:`fine_keys` takes: runs of pieces a to b, moved by s characters."""
+    out = []
+    for number, omitted in enumerate(itertools.combinations(range(pieces), max_edits)):
+        runs = [(a + 1, b) for a, b in itertools.pairwise([-1, *omitted, pieces])]
+        out.append((number, 0, False, [0] * len(runs), runs))
+        for less in range(max_edits + 1):
+            shifts = []
+            for before, (a, b) in enumerate(runs):
+                after = max_edits - before
+                within = range(max(-before, less - after), min(before, less + after) + 1)
+                shifts.append(within if a < b else (0,))
+            out += [(number, less, True, moved, runs) for moved in itertools.product(*shifts)]
+    return [
+        {"number": number, "less": less, "probe": probe}
+        | {f"{c}{i}": v for i, (run, by) in enumerate(zip(runs, moved, strict=True)) for c, v in zip("abs", (*run, by), strict=True)}
+        for number, less, probe, moved, runs in out
+    ]
+
+
+def fine_keys(lines: DataFrame, max_edits: int, pieces: int = 16) -> DataFrame:
+    """Keys as of :func:`signatures` that fix nearly the whole line: h1, key, probe.
 
     Edits touch at most ``max_edits`` of its pieces, so a key takes all but so many. Pieces
     before the first omitted one are in place, those behind the last are moved by the
-    difference in length, and those between by what the edits on either side allow.
+    difference in length, and those between by what the edits on either side allow. The moves
+    are a literal that is exploded, as an expression for each would take minutes to plan.
     """
+    moves = _moves(max_edits, pieces)
+    fields = ",".join(f"{c}:{'boolean' if c == 'probe' else 'int'}" for c in moves[0])
+    table = F.from_json(F.lit(json.dumps(moves)), f"array<struct<{fields}>>")
+    each = lines.select("h1", "line", "length", F.inline(table))
+    length = F.col("length") - F.col("less")
 
-    def cut(n: Column, i: int) -> Column:
-        return ((n * i - n * i % pieces) / pieces).cast("int")
+    def cut(i: Column) -> Column:
+        return ((length * i - length * i % pieces) / pieces).cast("int")
 
-    out = []
-    for number, omitted in enumerate(itertools.combinations(range(pieces), max_edits)):
-        edges = [-1, *omitted, pieces]
-        runs = [(a + 1, b, q) for q, (a, b) in enumerate(itertools.pairwise(edges)) if a + 1 < b]
-        texts = [F.substring(line, cut(length, a) + 1, cut(length, b) - cut(length, a)) for a, b, _ in runs]
-        key = F.xxhash64(length, F.lit(number), *texts)
-        out.append(F.struct(key.alias("key"), F.lit(False).alias("probe")))
-        for less in range(max_edits + 1):
-            shifts = []
-            for _, _, before in runs:
-                after = max_edits - before
-                shifts.append(range(max(-before, less - after), min(before, less + after) + 1))
-            for moved in itertools.product(*shifts):
-                texts, inside = [], F.lit(True)
-                for (a, b, _), shift in zip(runs, moved, strict=True):
-                    at, size = cut(length - less, a) + 1 + shift, cut(length - less, b) - cut(length - less, a)
-                    texts.append(F.substring(line, at, size))
-                    inside &= (at >= 1) & (at + size - 1 <= length)
-                key = F.xxhash64(length - less, F.lit(number), *texts)
-                out.append(F.struct(F.when(inside, key).alias("key"), F.lit(True).alias("probe")))
-    return F.array(*out)
+    texts, inside = [], F.lit(True)
+    for i in range(max_edits + 1):
+        a, b = F.col(f"a{i}"), F.col(f"b{i}")
+        at, size = cut(a) + 1 + F.col(f"s{i}"), cut(b) - cut(a)
+        texts.append(F.substring("line", at, size))
+        inside &= (at >= 1) & (at + size - 1 <= F.col("length"))
+    key = F.xxhash64(length, F.col("number"), *texts)
+    return each.filter(inside).select("h1", key.alias("key"), "probe").distinct()
 
 
 def _met(keys: DataFrame) -> DataFrame:
@@ -162,14 +176,11 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, key="doc_id", text="text",
     length = F.length("line")
     fit = lines.withColumn("length", length).filter(F.col("length") >= max(min_chars, max_edits + 1))
 
-    def keyed(rows: DataFrame, signature) -> DataFrame:
-        each = rows.select("h1", F.explode(signature(F.col("line"), F.col("length"), max_edits)).alias("s"))
-        return each.select("h1", "s.key", "s.probe").filter("key IS NOT NULL").distinct()
-
-    keys = scratch.write(keyed(fit, signatures))
+    keys = fit.select("h1", F.explode(signatures(F.col("line"), F.col("length"), max_edits)).alias("s"))
+    keys = scratch.write(keys.select("h1", "s.key", "s.probe").filter("key IS NOT NULL").distinct())
     full = scratch.write(keys.groupBy("key").count().filter(F.col("count") > crowded).select("key"))
     again = scratch.write(keys.join(full, "key", "left_semi").select("h1").distinct())
-    fine = scratch.write(keyed(fit.join(again, "h1", "left_semi"), fine_signatures))
+    fine = scratch.write(fine_keys(fit.join(again, "h1", "left_semi"), max_edits))
     pairs = _met(keys.join(full, "key", "left_anti")).unionByName(_met(fine))
     pairs = scratch.write(pairs.distinct())
     scratch.drop(keys, fine)

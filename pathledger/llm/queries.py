@@ -33,6 +33,9 @@ def learned(key: str) -> Column:
 #: Toxicity from which a document is rejected.
 LIMIT = 0.3
 
+#: Edits up to which a line of the pipeline counts as repeated.
+LINE_EDITS = 2
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -53,12 +56,17 @@ def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op4_lines(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), **options)
     kept = F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     return rows.select("doc_id", "n_lines", "n_removed", F.length("text").alias("kept_chars"), kept)
 
 
+def op4_lines_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op4_lines``, whose SQL says one edit, with the two edits of the pipeline's stage."""
+    return op4_lines(spark, sf_dir, max_edits=LINE_EDITS)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -105,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = [
-    op1_substring, op2_packing, op3_vectors, op4_lines, op5_mixing, op6_toxicity, op7_setjoin, op8_language,
-    op9_neighbours, op10_scoring, pipeline,
+    op1_substring, op2_packing, op3_vectors, op4_lines, op4_lines_two, op5_mixing, op6_toxicity, op7_setjoin,
+    op8_language, op9_neighbours, op10_scoring, pipeline,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

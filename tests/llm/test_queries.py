@@ -1,15 +1,19 @@
 """The registered queries, and the pipeline stage by stage."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from pathledger.llm.lines import dedup_lines
 from pathledger.llm.oracles import ORACLES
 from pathledger.llm.queries import QUERIES
 from pathledger.llm.scratch import Scratch
 from tests.llm.conftest import words
+from tests.llm.test_operators import changed, edits
 
 TESTDATA = "/root/testdata/sf0.001"
 
@@ -50,3 +54,23 @@ def test_pipeline(spark):
             assert abs(taken - 1.5 * total) < 0.15 * total
     assert docs.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
     assert docs.filter("piece = 0").count() == before.count()
+
+
+def test_lines_two_edits_apart_are_removed(spark, tmp_path):
+    line = "the quick brown fox jumps over the lazy dog " * 7
+    other = line[:20] + "#" + line[21:200] + "#" + line[201:]
+    docs = spark.createDataFrame([(1, f"{line}\nfirst", 0), (2, f"{other}\nsecond", 0)], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {1: f"{line}\nfirst", 2: "second"}
+    removed = {r.doc_id: r.n_removed for r in QUERIES["op4_lines_two"](spark, str(tmp_path)).collect()}
+    assert removed == {1: 0, 2: 1}
+
+
+def test_crowded_lines_two_edits_apart(spark):
+    """Fine keys, which lines meet under that share a segment with many others."""
+    rnd = random.Random(5)
+    texts = [changed(rnd, "abcdefghijklmnopqrstuvwxyz" * 2, 2) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in dedup_lines(docs, max_edits=2, crowded=0).collect()}
+    assert got == {i: int(any(edits(t, s) <= 2 for s in texts[:i])) for i, t in enumerate(texts)}
