@@ -397,7 +397,8 @@ def _block_pairs(big: DataFrame, node: int) -> DataFrame:
     count = F.ceil(F.col("n") / node).cast("int")
     own = F.pmod(F.xxhash64("rep"), count).cast("int")
     dealt = big.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    return dealt.withColumn("block", F.least("own", "other") * 1_000_000 + F.greatest("own", "other"))
+    # Long: products of block numbers pass 32 bits in nodes of some 137,000 members.
+    return dealt.withColumn("block", F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other"))
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch, most: int = 63) -> DataFrame:

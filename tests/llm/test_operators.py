@@ -18,7 +18,7 @@ from pathledger.llm.lines import dedup_lines, within_edits
 from pathledger.llm.mixing import mix_sources, mixing_plan
 from pathledger.llm.packing import WordTokens, pack_documents, packing_plan
 from pathledger.llm.queries import tokenizer_path
-from pathledger.llm.setjoin import drop_near_duplicates, near_duplicates
+from pathledger.llm.setjoin import _block_pairs, drop_near_duplicates, near_duplicates
 from pathledger.llm.substring import remove_repeated
 from pathledger.llm.text import text_bytes, word_hashes, word_spans
 from pathledger.llm.toxicity import fit_toxicity, score_toxicity, train
@@ -302,6 +302,15 @@ def test_set_join(spark, node, levels):
 # -- mixing ------------------------------------------------------------------------
 
 
+def test_blocks_of_very_large_nodes(spark):
+    """From 2,148 blocks on their pairs' numbers pass 32 bits."""
+    rows = spark.range(50).selectExpr("id AS rep", "200000 AS n")
+    rows = _block_pairs(rows, 64).select("rep", "own", "other", "block").collect()
+    pairs = {(min(r.own, r.other), max(r.own, r.other)): r.block for r in rows}
+    assert len(rows) == 50 * 3125 and all(pairs[min(r.own, r.other), max(r.own, r.other)] == r.block for r in rows)
+    assert len(set(pairs.values())) == len(pairs)
+
+
 def test_mixing_meets_targets(spark):
     rnd = random.Random(2)
     rows = [(i, made_up(rnd, rnd.randrange(1, 30)), rnd.choice(["a", "b", "c", None])) for i in range(400)]
