@@ -225,7 +225,6 @@ def _segments(parts: int, window: int, gram: int):
             ids = _ids(docs)
             first = _value(ready[TEXTS], own.copy_keys) == ids
             use = _value(ready[ANCHORS], own.anchor) * first[own.text]
-            short = (own.words >> np.uint64(32)).astype(np.uint32)
             at, sizes = own.at[use > 0], own.windows[use > 0]
             anchor, text, state, inner = (v[use > 0] for v in (own.anchor, own.text, use, own.inner))
             hot = state > 1
@@ -245,7 +244,7 @@ def _segments(parts: int, window: int, gram: int):
             head["words"], head["inner"] = sizes + window - 1, inner
             stops = np.cumsum(head["words"], dtype=np.int64)
             heads.append(head)
-            words.append(short[np.arange(stops[-1]) + np.repeat(at - (stops - head["words"]), head["words"])])
+            words.append(own.words[np.arange(stops[-1]) + np.repeat(at - (stops - head["words"]), head["words"])])
         if heads:
             yield from flush(now, heads, words)
 
@@ -257,7 +256,7 @@ def repeats(heads: np.ndarray, tokens: np.ndarray, window: int) -> np.ndarray:
     earlier in a smaller document or the same one. ``heads``: SEGMENT rows, tokens behind one another."""
     sizes = heads["words"].astype(np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    content = span_hashes(tokens.astype(np.uint64), begins[:-1], begins[1:])
+    content = span_hashes(tokens, begins[:-1], begins[1:])
     order = np.lexsort((heads["start"], heads["doc"], content))
     lead = np.ones(len(order), bool)
     lead[1:] = content[order][1:] != content[order][:-1]
@@ -319,7 +318,7 @@ def _shard(window: int):
             n = int(np.frombuffer(blob[:8], np.int64)[0])
             cut = 8 + n * SEGMENT.itemsize
             heads.append(np.frombuffer(blob[8:cut], SEGMENT))
-            tokens.append(np.frombuffer(blob[cut:], np.uint32))
+            tokens.append(np.frombuffer(blob[cut:], np.uint64))
         chunk = np.repeat(frame["chunk"].to_numpy(), [len(h) for h in heads])
         heads = np.concatenate(heads)
         found = repeats(heads, np.concatenate(tokens), window)

@@ -111,6 +111,23 @@ def test_substring_dedup(spark, hot):
 # -- packing -----------------------------------------------------------------------
 
 
+def test_words_that_share_half_a_hash_differ(spark):
+    """Two words whose hashes agree in the upper 32 bits, at the end of otherwise equal documents."""
+    names = [f"w{i}" for i in range(400_000)]
+    data = np.frombuffer("".join(names).encode(), np.uint8)
+    ends = np.cumsum([len(n) for n in names])
+    upper = word_hashes(data, ends - [len(n) for n in names], ends) >> np.uint64(32)
+    order = np.argsort(upper, kind="stable")
+    i = int(np.flatnonzero(upper[order][1:] == upper[order][:-1])[0])
+    one, two = names[order[i]], names[order[i + 1]]
+    texts = []
+    for n in range(10):
+        filler = " ".join(f"f{n}x{j}" for j in range(19))
+        texts += [f"{filler} {one}", f"{filler} {two}"]
+    got = remove_repeated(frame(spark, texts), window=20).collect()
+    assert len(got) == 20 and all(r.n_removed == 0 for r in got)
+
+
 def test_packing_round_trip(spark, documents):
     from tokenizers import Tokenizer
 
