@@ -53,7 +53,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Trained models and sketches are beyond SQL; tests/llm compares the stages with brute force.
+#: Trained models and sketches are beyond SQL; tests/llm holds the stages to bounds, not yet to brute force.
 ORACLE_SQL = None
 
 
