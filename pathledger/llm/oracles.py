@@ -145,4 +145,75 @@ SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(
 FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN smallest m ON m.a = t.doc_id
 """
 
-ORACLES = {"op1_substring": OP1, "op3_vectors": OP3, "op4_lines": OP4, "op5_mixing": OP5, "op7_setjoin": OP7}
+OP11 = r"""
+WITH tokens AS (
+  SELECT doc, lang, source, unnest(coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), [])) AS term
+  FROM (SELECT row_number() OVER () AS doc, text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)
+), kept AS (
+  SELECT lang, term FROM tokens GROUP BY ALL HAVING count(DISTINCT doc) >= 3
+), sizes AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), sources AS (
+  SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (
+  SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL
+), shares AS (
+  SELECT s.lang, s.source, term, coalesce(n, 0) AS n,
+    (1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (coalesce(total, 0) + v))::BIGINT AS p
+  FROM sources s JOIN kept k USING (lang) JOIN sizes USING (lang)
+  LEFT JOIN counts USING (lang, source, term) LEFT JOIN totals USING (lang, source)
+), whole AS (
+  SELECT lang, term, (1 + 1000000000::HUGEINT * (sum(n) + 1) // (any_value(total) + any_value(v)))::BIGINT AS q
+  FROM counts JOIN (SELECT lang, sum(total) AS total FROM totals GROUP BY lang) USING (lang) JOIN sizes USING (lang)
+  GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE C)::INT AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
+OP13 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+  FROM documents
+), items AS (
+  SELECT item_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, span, list_aggregate(words[s + 1 : s + span], 'string_agg', ' ') AS run
+  FROM (SELECT *, unnest(range(len(words) - span + 1)) AS s
+        FROM (SELECT *, least(len(words), 10) AS span FROM items WHERE len(words) > 0))
+), found AS (
+  SELECT doc_id, s, span, list_aggregate(words[s + 1 : s + span], 'string_agg', ' ') AS run
+  FROM (SELECT *, unnest(range(greatest(len(words) - span + 1, 0))) AS s FROM texts, (SELECT DISTINCT span FROM windows))
+), hits AS (
+  SELECT doc_id, s, f.span, item_id FROM found f JOIN windows w ON f.run = w.run AND f.span = w.span
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + span)) AS place FROM (SELECT DISTINCT doc_id, s, span FROM hits)) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN covered c ON c.doc_id = t.doc_id LEFT JOIN named n ON n.doc_id = t.doc_id
+"""
+
+ORACLES = {
+    "op1_substring": OP1, "op3_vectors": OP3, "op4_lines": OP4, "op5_mixing": OP5, "op7_setjoin": OP7,
+    "op11_divergence": OP11, "op13_winnowing": OP13,
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathledger.llm.ann import nearest
 from pathledger.llm.ctw import score_texts
+from pathledger.llm.divergence import source_divergence
 from pathledger.llm.embeddings import near_duplicate_vectors
 from pathledger.llm.langid import fit_languages, identify_languages
 from pathledger.llm.lines import dedup_lines
@@ -15,6 +16,8 @@ from pathledger.llm.packing import pack_documents
 from pathledger.llm.setjoin import near_duplicates
 from pathledger.llm.substring import remove_repeated
 from pathledger.llm.toxicity import fit_toxicity, score_toxicity
+from pathledger.llm.whitening import whiten
+from pathledger.llm.winnowing import contamination
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +109,18 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,6 +129,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = [
     op1_substring, op2_packing, op3_vectors, op4_lines, op4_lines_two, op5_mixing, op6_toxicity, op7_setjoin,
-    op8_language, op9_neighbours, op10_scoring, pipeline,
+    op8_language, op9_neighbours, op10_scoring, op11_divergence, op12_whitening, op13_winnowing, pipeline,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -20,13 +20,13 @@ TESTDATA = "/root/testdata/sf0.001"
 
 def test_registration():
     assert set(QUERIES) <= set(contract.queries())
-    assert {name.split("_")[0] for name in QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {name.split("_")[0] for name in QUERIES} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "embeddings", "labels"):
+    for table in ("documents", "embeddings", "labels", "benchmark"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{TESTDATA}/{table}.parquet'")
     cursor = connection.execute(ORACLES[name])
     names = sorted(d[0] for d in cursor.description)
