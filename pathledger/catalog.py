@@ -32,22 +32,24 @@ class CatalogReader:
         exp_dirs: Iterable[str] | None = None,
         under: str | None = None,
         experiment: str | None = None,
+        direct: bool = False,
     ) -> DataFrame:
         """Newest record of every (exp_dir, path), removed ones included."""
-        return self.log.live(exp_dirs, under, experiment).state(self.strategy)
+        return self.log.live(exp_dirs, under, experiment, direct).state(self.strategy)
 
-    def files(self, experiment: str | None = None, under: str | None = None) -> DataFrame:
+    def files(self, experiment: str | None = None, under: str | None = None, direct: bool = False) -> DataFrame:
         """The ``files`` relation.
 
         Given an experiment or a directory, only the parts of the log are read that can
-        hold its entries; rows of other experiments or directories may still appear.
+        hold its entries (with ``direct``, those in the directory itself); rows of other
+        experiments or directories may still appear, in part.
         """
-        return self.current_state(None, under, experiment).select(*VIEW_COLUMNS)
+        return self.current_state(None, under, experiment, direct).select(*VIEW_COLUMNS)
 
     # -- browsing and searching --------------------------------------------------
 
     def ls(self, path: str, on_disk_only: bool = False) -> DataFrame:
-        listed = ops.list_directory(self.files(under=path), path, on_disk_only)
+        listed = ops.list_directory(self.files(under=path, direct=True), path, on_disk_only)
         return as_entries(listed, ENTRY_COLUMNS)
 
     def ls_dirs(self, path: str, on_disk_only: bool = False) -> DataFrame:
@@ -165,7 +167,8 @@ class Catalog(CatalogReader):
         if exp_dir is not None:
             snapshots = snapshots.filter(F.col("exp_dir") == exp_dir)
         folder = F.concat(
-            F.lit(f"{self.log.log_dir}/snapshot_ts="), escaped(F.col("snapshot_ts")),
+            F.lit(f"{self.log.log_dir}/write="), escaped(F.col("write")),
+            F.lit("/snapshot_ts="), escaped(F.col("snapshot_ts")),
             F.lit("/kind="), "kind", F.lit("/exp_dir="), escaped(F.col("exp_dir")),
         )
         return snapshots.select(

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..operators.stats import dry_run_counts
 from ..sources.filesystem import discover_experiments, scan_roots
 from ..sources.local import local_frame, strings
-from ..sources.log import LogStore, timestamp_now
+from ..sources.log import LogStore, new_write, timestamp_now
 from .snapshot import counts_by_root, record_snapshot
 
 REPORT = T.StructType(
@@ -57,15 +57,16 @@ def index_experiments(
             problems = {r.exp_dir: f"{r['count']} entries unreadable" for r in errors}
             targets_of = [(t.exp_dir, t.root) for t in good]
             snapshot_ts = options.pop("snapshot_ts", None) or timestamp_now()
+            write = new_write()
             recorded = record_snapshot(
-                store, scan.files, targets_of, snapshot_ts, errors=scan.errors, **options
+                store, scan.files, targets_of, snapshot_ts, errors=scan.errors, write=write, **options
             )
             changes = {c.exp_dir: c for c in recorded}
             # One name in two hutches is one experiment with two roots.
             times = Counter(e for e, _ in targets_of)
             shared = [t for t in targets_of if times[t[0]] > 1 and not changes[t[0]].error]
             if shared:
-                by_root = counts_by_root(store, snapshot_ts, shared)
+                by_root = counts_by_root(store, write, snapshot_ts, shared)
     rows = []
     for t in targets:
         change = None if t.error else changes.get(t.exp_dir)

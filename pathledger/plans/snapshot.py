@@ -11,7 +11,7 @@ from ..operators.diff import COMPARED, snapshot_diff
 from ..schema import BASE, COMMIT_SCHEMA, DELTA, REMOVED
 from ..sources.filesystem import resolve_roots, scan_roots
 from ..sources.local import local_frame, strings
-from ..sources.log import LogStore, Snapshot, spread, timestamp_now
+from ..sources.log import LogStore, Snapshot, commit_rows, new_write, spread, timestamp_now
 
 # Functions of the path: kept out of the shuffle and computed again after it.
 _DERIVED = ("parent_path", "filename")
@@ -33,6 +33,7 @@ def record_snapshot(
     compare: Sequence[str] = COMPARED,
     max_removed_fraction: float | None = None,
     errors: DataFrame | None = None,
+    write: str | None = None,
 ) -> list[Change]:
     """Appends one inventory of any number of experiments as a single commit.
 
@@ -46,7 +47,9 @@ def record_snapshot(
     and nothing below another unreadable path counts as removed.
 
     A snapshot must be newer than all others of its experiments, or it would never be read.
+    ``write`` names the folder of this write, new by default.
     """
+    write = write or new_write()
     found = {r.exp_dir: r["count"] for r in inventory.groupBy("exp_dir").count().collect()}
     if None in found:
         raise ValueError(f"{found[None]} entries without exp_dir")
@@ -57,7 +60,7 @@ def record_snapshot(
         rest = [t for t in targets if t[0] not in unread]
         inventory = _only(store, inventory, {e for e, _ in rest}, unread)
         done = record_snapshot(
-            store, inventory, rest, snapshot_ts, compare, max_removed_fraction, errors
+            store, inventory, rest, snapshot_ts, compare, max_removed_fraction, errors, write
         )
         left = [Change(e, 0, 0, 0, f"unreadable root: {r}") for e, r in unread.items()]
         return sorted(done + left)
@@ -83,8 +86,8 @@ def record_snapshot(
                 "status": F.lit(None).cast("string"),
             }
         )
-        store.write_base(rows, snapshot_ts, sum(found.get(e, 0) for e in fresh))
-        measured += store.measure(snapshot_ts, BASE).collect()
+        store.write_base(rows, write, snapshot_ts, sum(found.get(e, 0) for e in fresh))
+        measured += store.measure_base(write, snapshot_ts)
     if known:
         n_rows = live.n_rows + sum(found.get(e, 0) for e in known)
         previous = _below_roots(store, live.state_by_key(n_rows), targets, known)
@@ -104,32 +107,20 @@ def record_snapshot(
                 "on_disk": F.lit(None).cast("boolean"),
             }
         )
-        store.write_delta(rows, snapshot_ts)
-        measured += store.measure(snapshot_ts, DELTA).collect()
+        store.write_delta(rows, write, snapshot_ts)
+        measured += store.measure_delta(write, snapshot_ts)
 
     refused: dict[str, str] = {}
     if max_removed_fraction is not None and known:
         refused = _refused(previous, measured, max_removed_fraction)
     kept = [m for m in measured if m.exp_dir not in refused]
-    if kept:
-        store.commit(
-            local_frame(
-                store.spark,
-                [
-                    (
-                        "add", m.exp_dir, m.kind, m.snapshot_ts, roots[m.exp_dir], m.n_added,
-                        m.n_modified, m.n_removed, m.n_records, m.n_bytes, m.key_bytes, m.experiment, None,
-                    )
-                    for m in kept
-                ],
-                COMMIT_SCHEMA,
-            )
-        )
-    if not kept:
-        for kind in (BASE, DELTA):
-            store.storage.delete(store.write_dir(snapshot_ts, kind))
     for exp_dir in refused:
-        store.storage.delete(store.snapshot_dir(Snapshot(exp_dir, DELTA, snapshot_ts)))
+        store.storage.delete(store.snapshot_dir(Snapshot(exp_dir, DELTA, snapshot_ts, write)))
+    if kept:
+        rows = [row for m in kept for row in commit_rows("add", [m], root=roots[m.exp_dir])]
+        store.commit(local_frame(store.spark, rows, COMMIT_SCHEMA))
+    else:
+        store.discard(write)
     counts = {m.exp_dir: (m.n_added, m.n_modified, m.n_removed) for m in kept}
     return [
         Change(e, *counts.get(e, (0, 0, 0)), refused.get(e)) for e in sorted(roots)
@@ -175,12 +166,12 @@ def _readable(changes: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def counts_by_root(
-    store: LogStore, snapshot_ts: str, targets: Sequence[tuple[str, str]]
+    store: LogStore, write: str, snapshot_ts: str, targets: Sequence[tuple[str, str]]
 ) -> dict[tuple[str, str], tuple[int, int, int]]:
     """Numbers of added, modified and removed below each of several roots of one experiment."""
     roots = [(e, r, r.rstrip("/") + "/") for e, r in targets]
     wanted = local_frame(store.spark, roots, strings("_exp_dir", "root", "_prefix"))
-    rows = store.read_written(snapshot_ts, BASE).unionByName(store.read_written(snapshot_ts, DELTA))
+    rows = store.read_written(write, snapshot_ts, BASE).unionByName(store.read_written(write, snapshot_ts, DELTA))
     inside = (F.col("exp_dir") == F.col("_exp_dir")) & F.col("path").startswith(F.col("_prefix"))
     status = F.col("status")
     counted = rows.join(wanted, inside).groupBy("exp_dir", "root").agg(

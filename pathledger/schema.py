@@ -67,6 +67,29 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField("key_bytes", T.LongType()),
         # The one experiment that all entries name; NULL if there are several, or in older commits.
         T.StructField("experiment", T.StringType()),
+        # The folder of the write, the number of files, and whether some lie in folders of earlier writes.
+        T.StructField("write", T.StringType()),
+        T.StructField("n_files", T.LongType()),
+        T.StructField("shared", T.BooleanType()),
         T.StructField("committed_at", T.StringType()),
     ]
 )
+
+# What tells snapshots apart: two writers may choose the same time.
+SNAPSHOT_KEY = ["exp_dir", "kind", "snapshot_ts", "write"]
+
+# One row per file of a base: where it lies and which entries it can hold. ``least`` and
+# ``greatest`` are sort keys, see ``sources.log.sort_key``.
+ZONE_SCHEMA = T.StructType(
+    [
+        T.StructField("exp_dir", T.StringType()),
+        T.StructField("at_write", T.StringType()),
+        T.StructField("at_ts", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("least", T.StringType()),
+        T.StructField("greatest", T.StringType()),
+        T.StructField("n_records", T.LongType()),
+        T.StructField("n_bytes", T.LongType()),
+        T.StructField("experiment", T.StringType()),
+    ]
+)

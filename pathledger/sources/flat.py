@@ -91,7 +91,9 @@ class FlatLog:
             .orderBy("experiment", "type", "timestamp")
         )
 
-    def live(self, exp_dirs=None, under: str | None = None, experiment: str | None = None) -> LiveLog:
+    def live(
+        self, exp_dirs=None, under: str | None = None, experiment: str | None = None, direct: bool = False
+    ) -> LiveLog:
         """Live rows; this layout records no roots, so ``under`` leaves nothing out."""
         wanted = None if exp_dirs is None else set(exp_dirs)
         parts = split_live(f for f in self._files() if wanted is None or f.exp_dir in wanted)

@@ -2,13 +2,20 @@
 
 Layout below the catalog root::
 
-    log/snapshot_ts=<ts>/kind=<base|delta>/exp_dir=<name>/part-*.parquet
+    log/write=<time>-<id>/snapshot_ts=<ts>/kind=<base|delta>/exp_dir=<name>/part-*.parquet
+    zones/write=<time>-<id>/part-*.parquet
     commits/<time>-<id>/part-*.parquet
 
-A batch of any number of experiments is one Spark write per kind followed by one
-commit file. A write that fails half-way leaves files no commit names, and no
-reader looks at them. Consolidation adds the new base and retires the old
-snapshots in the same commit file, so readers see either all of it or nothing.
+Every write has a folder of its own, named by when it began, so no two writers share
+one whatever snapshot time they choose. A batch of any number of experiments is one
+Spark write per kind followed by one commit file. A write that fails half-way leaves
+files no commit names, and no reader looks at them. Consolidation adds the new base and
+retires the old snapshots in the same commit file, so readers see either all of it or
+nothing.
+
+Zones name the first and last entry of every file of a base. A listing opens only files
+whose zone meets its directory, and consolidation rewrites only files that a delta meets;
+the others stay where they are and become part of the new base.
 """
 
 import uuid
@@ -18,11 +25,12 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import directory_prefix
 from ..operators.views import files_view_base_only
 from ..operators.versions import merge_on_read, replay
-from ..schema import BASE, COMMIT_SCHEMA, DELTA, FILE_SCHEMA, KEY, LOG_SCHEMA
+from ..schema import BASE, COMMIT_SCHEMA, DELTA, FILE_SCHEMA, KEY, LOG_SCHEMA, SNAPSHOT_KEY, ZONE_SCHEMA
 from .local import local_frame, strings
 from .storage import Staging, Storage, partition_dir
 
@@ -40,6 +48,35 @@ class Snapshot(NamedTuple):
     exp_dir: str
     kind: str
     snapshot_ts: str
+    write: str
+    shared: bool = False  # some of its files lie in folders of earlier writes
+    n_files: int | None = None
+
+
+class Zone(NamedTuple):
+    """Sort keys from ``low`` to below ``high``."""
+
+    low: str
+    high: str
+
+
+def sort_key(parent_path: Column, filename: Column) -> Column:
+    """Text that orders as (parent_path, filename), the order of rows within a base."""
+    return F.concat(F.coalesce(parent_path, F.lit("")), F.lit("\0"), F.coalesce(filename, F.lit("")))
+
+
+def directory_zone(path: str, direct: bool = False) -> Zone:
+    """Where entries of a directory lie, or all entries below it."""
+    if direct:
+        return Zone(path + "\0", path + "\1")
+    prefix = directory_prefix(path)
+    # What begins with the prefix sorts below the prefix with its last character raised by one.
+    return Zone(prefix.rstrip("/") + "\0", prefix[:-1] + chr(ord(prefix[-1]) + 1))
+
+
+def new_write() -> str:
+    """Name of the folder of a write that begins now."""
+    return f"{timestamp_now()}-{uuid.uuid4().hex}"
 
 
 def timestamp_now() -> str:
@@ -154,15 +191,27 @@ class LogStore:
     def staging(self) -> Staging:
         return Staging(self.spark, f"{self.root}/_staging")
 
-    def write_dir(self, snapshot_ts: str, kind: str) -> str:
+    @property
+    def zones_dir(self) -> str:
+        return f"{self.root}/zones"
+
+    def folder(self, write: str) -> str:
+        return f"{self.log_dir}/{partition_dir('write', write)}"
+
+    def write_dir(self, write: str, snapshot_ts: str, kind: str) -> str:
         return "/".join(
-            [self.log_dir, partition_dir("snapshot_ts", snapshot_ts), partition_dir("kind", kind)]
+            [self.folder(write), partition_dir("snapshot_ts", snapshot_ts), partition_dir("kind", kind)]
         )
 
     def snapshot_dir(self, snapshot: Snapshot) -> str:
-        parent = self.write_dir(snapshot.snapshot_ts, snapshot.kind)
+        parent = self.write_dir(snapshot.write, snapshot.snapshot_ts, snapshot.kind)
         return f"{parent}/{partition_dir('exp_dir', snapshot.exp_dir)}"
 
+    def zone_file(self, zone) -> str:
+        """Path of a file that a row of zones names."""
+        place = Snapshot(zone.exp_dir, BASE, zone.at_ts, zone.at_write)
+        return f"{self.snapshot_dir(place)}/{zone.name}"
+
     # -- commits ---------------------------------------------------------------
 
     def commits(self) -> DataFrame:
@@ -178,7 +227,7 @@ class LogStore:
 
     def snapshots(self) -> DataFrame:
         """Snapshots added and not retired, one row each."""
-        place = ["exp_dir", "kind", "snapshot_ts"]
+        place = SNAPSHOT_KEY
         # Only the row that adds a snapshot carries its root and counts.
         facts = [c for c in COMMIT_SCHEMA.names if c not in (*place, "action", "committed_at")]
         return (
@@ -214,7 +263,7 @@ class LogStore:
         old = [name for name, _ in self.storage.children(self.commits_dir) if name[:1] not in "._"]
         if len(old) < 2:
             return 0
-        place = ["exp_dir", "kind", "snapshot_ts"]
+        place = SNAPSHOT_KEY
         commits = self.commits()
         gone = commits.filter("action = 'purge'").select(*place).distinct()
         self._publish(commits.join(gone, place, "left_anti"), timestamp_now())
@@ -238,20 +287,48 @@ class LogStore:
             .option("basePath", self.log_dir)
             .option("pathGlobFilter", "*.parquet")
             .parquet(*paths)
+            .select(*LOG_SCHEMA.names)
         )
 
-    def read(self, snapshots: Iterable[Snapshot]) -> DataFrame:
-        """Rows of the given snapshots; only their directories are listed."""
-        return self._scan([self.snapshot_dir(s) for s in snapshots])
+    def read(self, snapshots: Iterable[Snapshot], zone: Zone | None = None) -> DataFrame:
+        """Rows of the given snapshots; only their directories are listed.
+
+        With a zone, files of bases that hold nothing of it are left out. Zones are asked
+        only about bases of several files, and of such that share files with earlier ones.
+        Rows of shared files carry the time of the snapshot that wrote them.
+        """
+        snapshots = list(snapshots)
+        several = [
+            s for s in snapshots
+            if s.shared or (zone is not None and s.kind == BASE and (s.n_files or 0) > 1)
+        ]
+        others = set(snapshots) - set(several)
+        files = [self.zone_file(z) for z in self.zones(several, zone).collect()] if several else []
+        return self._scan([self.snapshot_dir(s) for s in snapshots if s in others] + files)
+
+    def zones(self, bases: Iterable[Snapshot], zone: Zone | None = None) -> DataFrame:
+        """Files of some bases, those that can hold entries of a zone; one row per file."""
+        wanted = sorted({(s.write, s.exp_dir) for s in bases})
+        folders = sorted({f"{self.zones_dir}/{partition_dir('write', w)}" for w, _ in wanted})
+        names = local_frame(self.spark, wanted, strings("write", "exp_dir"))
+        known = (
+            self.spark.read.schema(T.StructType(ZONE_SCHEMA.fields + strings("write").fields))
+            .option("basePath", self.zones_dir)
+            .parquet(*folders)
+            .join(names, ["write", "exp_dir"], "left_semi")
+        )
+        if zone is not None:
+            known = known.filter((F.col("greatest") >= zone.low) & (F.col("least") < zone.high))
+        return known
 
-    def read_written(self, snapshot_ts: str, kind: str) -> DataFrame:
+    def read_written(self, write: str, snapshot_ts: str, kind: str) -> DataFrame:
         """Rows one write left behind, committed or not."""
-        path = self.write_dir(snapshot_ts, kind)
+        path = self.write_dir(write, snapshot_ts, kind)
         return self._scan([path] if self.storage.exists(path) else [])
 
     def read_log(self) -> DataFrame:
         """All visible rows, older versions included."""
-        chosen = self.snapshots().select("exp_dir", "kind", "snapshot_ts").collect()
+        chosen = self.snapshots().select(*Snapshot._fields).collect()
         return self.read(Snapshot(*row) for row in chosen)
 
     def live(
@@ -259,11 +336,13 @@ class LogStore:
         exp_dirs: Iterable[str] | None = None,
         under: str | None = None,
         experiment: str | None = None,
+        direct: bool = False,
     ) -> LiveLog:
         """The log rows that make up the current state, optionally of some experiments.
 
         ``under`` leaves out experiments whose scanned roots neither hold nor lie in
-        that directory: a listing then opens the files of one experiment, not of all.
+        that directory, and files of bases whose zones don't meet it; with ``direct``,
+        those that hold no entry of the directory itself.
         ``experiment`` leaves out those of which every snapshot is known to hold
         another experiment's entries only.
 
@@ -281,78 +360,128 @@ class LogStore:
             may = F.col("experiment").isNull() | (F.col("experiment") == experiment)
             holds = snapshots.filter(may).select("exp_dir").distinct()
             snapshots = snapshots.join(holds, "exp_dir", "left_semi")
-        listed = snapshots.select(
-            "exp_dir", "kind", "snapshot_ts", "key_bytes", "n_records"
+        zone = None if under is None else directory_zone(under, direct)
+        return self._live(self.listed(snapshots), zone)
+
+    def listed(self, snapshots: DataFrame) -> list:
+        """Snapshots as rows that begin with the fields of :class:`Snapshot`."""
+        return snapshots.select(
+            *Snapshot._fields, "root", "key_bytes", "n_records", "n_bytes", "experiment"
         ).collect()
-        return self._live(listed)
 
     def _fits(self, key_bytes: int | None, n_records: int | None) -> bool:
         return (key_bytes or 0) + KEY_OVERHEAD * (n_records or 0) <= self.broadcast_bytes
 
-    def _live(self, listed) -> LiveLog:
+    def keys_fit(self, deltas) -> bool:
+        """Whether the keys of listed deltas may be broadcast."""
+        return self._fits(sum(r.key_bytes for r in deltas), sum(r.n_records for r in deltas))
+
+    def _live(self, listed, zone: Zone | None = None) -> LiveLog:
         parts = split_live(listed)
         return LiveLog(
-            *[self.read(Snapshot(*row[:3]) for row in rows) for rows in parts],
-            self._fits(
-                sum(r.key_bytes for r in parts.deltas), sum(r.n_records for r in parts.deltas)
-            ),
+            *[self.read((as_snapshot(row) for row in rows), zone) for rows in parts],
+            self.keys_fit(parts.deltas),
             {r.exp_dir for r in parts.settled + parts.bases},
             sum(r.n_records for rows in parts for r in rows),
         )
 
     # -- writing ---------------------------------------------------------------
 
-    def write_base(self, rows: DataFrame, snapshot_ts: str, n_rows: int) -> None:
+    def write_base(self, rows: DataFrame, write: str, snapshot_ts: str, n_rows: int, at_least: int = 1) -> None:
         """Writes full snapshots of about ``n_rows`` rows, laid out by path.
 
         Range partitioning gives every file a contiguous run of paths however
         large one experiment is, so a listing later touches few files and pages.
         """
-        tasks = max(1, -(-n_rows // ROWS_PER_TASK))
+        tasks = max(at_least, -(-n_rows // ROWS_PER_TASK))
         clustered = rows.repartitionByRange(tasks, "exp_dir", "parent_path", "filename")
-        self._write(clustered, snapshot_ts, BASE)
+        self._write(clustered, write, snapshot_ts, BASE)
 
-    def write_delta(self, rows: DataFrame, snapshot_ts: str) -> None:
+    def write_delta(self, rows: DataFrame, write: str, snapshot_ts: str) -> None:
         """Writes changes. Rebalancing splits a large experiment and packs small ones,
         without the sampling pass over the diff that a range partitioning needs."""
-        self._write(rows.hint("rebalance", "exp_dir"), snapshot_ts, DELTA)
+        self._write(rows.hint("rebalance", "exp_dir"), write, snapshot_ts, DELTA)
 
-    def _write(self, rows: DataFrame, snapshot_ts: str, kind: str) -> None:
+    def _write(self, rows: DataFrame, write: str, snapshot_ts: str, kind: str) -> None:
+        # The folder is this write's own; one that is there already is an error.
         (
             rows.select("exp_dir", *FILE_SCHEMA.names)
             .sortWithinPartitions("exp_dir", "parent_path", "filename")
-            .write.mode("overwrite")
-            .option("compression", "zstd")
+            .write.option("compression", "zstd")
             .partitionBy("exp_dir")
-            .parquet(self.write_dir(snapshot_ts, kind))
+            .parquet(self.write_dir(write, snapshot_ts, kind))
         )
 
-    def measure(self, snapshot_ts: str, kind: str) -> DataFrame:
-        """Commit columns of one write, from file metadata, the status and delta paths."""
+    def discard(self, write: str) -> None:
+        """Deletes what a write left that is not to be committed."""
+        self.storage.delete(self.folder(write))
+        self.storage.delete(f"{self.zones_dir}/{partition_dir('write', write)}")
+
+    def add_zones(self, zones: DataFrame, write: str) -> None:
+        folder = f"{self.zones_dir}/{partition_dir('write', write)}"
+        zones.select(*ZONE_SCHEMA.names).coalesce(1).write.mode("append").parquet(folder)
+
+    def measure_base(self, write: str, snapshot_ts: str) -> list:
+        """Commit columns of the bases of one write, whose zones are recorded on the way."""
+        rows = self.read_written(write, snapshot_ts, BASE)
+        key = sort_key(F.col("parent_path"), F.col("filename"))
+        per_file = rows.groupBy("exp_dir", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("n_bytes")).agg(
+            F.min(key).alias("least"), F.max(key).alias("greatest"), F.count("*").alias("n_records"),
+            _one_experiment("experiment", F.count("*")).alias("experiment"),
+        )
+        self.add_zones(per_file.withColumns({"at_write": F.lit(write), "at_ts": F.lit(snapshot_ts)}), write)
+        return self.sum_zones(self.spark.read.schema(ZONE_SCHEMA).parquet(f"{self.zones_dir}/{partition_dir('write', write)}"), write, snapshot_ts)
+
+    def sum_zones(self, zones: DataFrame, write: str, snapshot_ts: str) -> list:
+        """Commit columns of bases made of the given files; one row per experiment."""
+        zero = F.lit(0).cast("long")
+        summed = zones.groupBy("exp_dir").agg(
+            F.sum("n_records").alias("n_added"), zero.alias("n_modified"), zero.alias("n_removed"),
+            F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), zero.alias("key_bytes"),
+            _one_experiment("experiment", F.count("*")).alias("experiment"),
+            F.count("*").alias("n_files"), F.bool_or(F.col("at_write") != write).alias("shared"),
+        )
+        return self._named(summed, write, snapshot_ts, BASE).collect()
+
+    def measure_delta(self, write: str, snapshot_ts: str) -> list:
+        """Commit columns of the deltas of one write, from file metadata, the status and paths."""
         status = F.col("status")
-        # Only the keys of deltas are ever broadcast; a base spares its path column.
-        key_bytes = F.octet_length("path") if kind == DELTA else F.lit(0)
         per_file = (
-            self.read_written(snapshot_ts, kind)
-            .select("exp_dir", "status", "path", "experiment", "_metadata.file_path", "_metadata.file_size")
-            .groupBy("exp_dir", "file_path", "file_size")
+            self.read_written(write, snapshot_ts, DELTA)
+            .groupBy("exp_dir", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("n_bytes"))
             .agg(
-                F.count_if(status.isNull() | (status == "added")).alias("n_added"),
+                F.count_if(status == "added").alias("n_added"),
                 F.count_if(status == "modified").alias("n_modified"),
                 F.count_if(status == "removed").alias("n_removed"),
                 F.count("*").alias("n_records"),
-                F.sum(key_bytes).alias("key_bytes"),
-                F.min("experiment").alias("least"),
-                F.max("experiment").alias("most"),
-                F.count("experiment").alias("named"),
+                F.sum(F.octet_length("path")).alias("key_bytes"),
+                _one_experiment("experiment", F.count("*")).alias("experiment"),
             )
         )
-        return per_file.groupBy("exp_dir").agg(
-            *[F.sum(c).alias(c) for c in ("n_added", "n_modified", "n_removed", "n_records")],
-            F.sum("file_size").alias("n_bytes"),
-            F.sum("key_bytes").alias("key_bytes"),
-            F.when(
-                (F.min("least") == F.max("most")) & (F.sum("named") == F.sum("n_records")),
-                F.max("most"),
-            ).alias("experiment"),
-        ).withColumns({"kind": F.lit(kind), "snapshot_ts": F.lit(snapshot_ts)})
+        sums = ("n_added", "n_modified", "n_removed", "n_records", "n_bytes", "key_bytes")
+        summed = per_file.groupBy("exp_dir").agg(
+            *[F.sum(c).alias(c) for c in sums],
+            _one_experiment("experiment", F.count("*")).alias("experiment"),
+            F.count("*").alias("n_files"), F.lit(False).alias("shared"),
+        )
+        return self._named(summed, write, snapshot_ts, DELTA).collect()
+
+    @staticmethod
+    def _named(rows: DataFrame, write: str, snapshot_ts: str, kind: str) -> DataFrame:
+        return rows.withColumns({"kind": F.lit(kind), "snapshot_ts": F.lit(snapshot_ts), "write": F.lit(write)})
+
+
+def as_snapshot(row) -> Snapshot:
+    return Snapshot(*row[: len(Snapshot._fields)])
+
+
+def commit_rows(action: str, rows: Iterable, **given) -> list[tuple]:
+    """Rows of the commit table from rows that hold some of its columns."""
+    dicts = [{**(r._asdict() if hasattr(r, "_asdict") else r.asDict()), "action": action, **given} for r in rows]
+    return [tuple(d.get(c) for c in COMMIT_SCHEMA.names) for d in dicts]
+
+
+def _one_experiment(column: str, rows: Column) -> Column:
+    """The one value that all rows of a group have; NULL if there are several or none."""
+    same = (F.min(column) == F.max(column)) & (F.count(column) == rows)
+    return F.when(same, F.max(column))

@@ -302,7 +302,7 @@ def test_too_many_removals_are_refused(catalog, experiment):
 def test_nothing_is_left_behind(catalog, catalog_dir, experiment):
     catalog.snapshot(str(experiment))
     catalog.snapshot(str(experiment))
-    assert sorted(os.listdir(catalog_dir)) [-2:] == ["commits", "log"]
+    assert sorted(os.listdir(catalog_dir))[-3:] == ["commits", "log", "zones"]
     assert not glob.glob(f"{catalog_dir}/_staging/*")
     written = [d for d, _, found in os.walk(f"{catalog_dir}/log") if any(f.endswith("parquet") for f in found)]
     assert len(written) == 1

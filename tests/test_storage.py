@@ -15,6 +15,7 @@ from pathledger import operators as ops
 from pathledger.schema import COMMIT_SCHEMA, FILE_SCHEMA, KEY
 from pathledger.sources import scan_roots
 from pathledger.sources.local import local_frame
+from pathledger.sources.log import new_write
 from pathledger.sources.storage import Staging
 from tests.conftest import TESTDATA, write_file
 from tests.test_operators import fold, log_rows, random_history
@@ -123,8 +124,8 @@ def test_plans_do_not_grow_with_the_number_of_snapshots(spark, catalog_dir):
     few = scans()
     place = [f"more{i}" for i in range(3000)]
     for name in place:
-        os.makedirs(f"{catalog_dir}/log/snapshot_ts=t2/kind=base/exp_dir={name}")
-    commits = [("add", n, "base", "t2", None, 0, 0, 0, 0, 0, 0, None, None) for n in place]
+        os.makedirs(f"{catalog_dir}/log/write=w/snapshot_ts=t2/kind=base/exp_dir={name}")
+    commits = [("add", n, "base", "t2", None, 0, 0, 0, 0, 0, 0, None, "w", 0, False, None) for n in place]
     catalog.log.commit(local_frame(spark, commits, COMMIT_SCHEMA))
     many = scans()
     assert many[0] == few[0] + 1  # experiments without deltas are one scan more
@@ -193,7 +194,7 @@ def test_uncommitted_files_stay_invisible(spark, catalog_dir):
     more = rows.withColumns(
         {"indexed_at": F.lit("t1"), "on_disk": F.lit(None).cast("boolean"), "status": F.lit("removed")}
     )
-    catalog.log.write_delta(more, "t1")
+    catalog.log.write_delta(more, new_write(), "t1")
     assert catalog.count(on_disk_only=True) == 1 and catalog.list_snapshots().count() == 1
     with pytest.raises(ValueError, match="is not after"):
         catalog.snapshot_table(rows, snapshot_ts="t0")
