@@ -28,7 +28,7 @@ DEEP_DIRS_PATH = "/ds/mfx/mfx00003/"
 TREE_PATH = "/ds/mfx"
 EXPERIMENT = "mfx00007"
 LARGE, SMALL = 2_000_000_000, 500_000_000
-SINCE, UNTIL = 1_700_100_000, 1_700_400_000
+SINCE, UNTIL = 1_700_010_000, 1_700_040_000
 FUZZY = "f_1000.h5"
 
 
@@ -515,7 +515,7 @@ SQL = {
         SELECT experiment, COUNT(*) AS count, SUM(size)/1e9 AS gb FROM files
         GROUP BY experiment ORDER BY gb DESC, experiment LIMIT 20""",
     "sql_modified_since": """
-        SELECT path, size/1e9 AS gb FROM files WHERE mtime >= 1700200000
+        SELECT path, size/1e9 AS gb FROM files WHERE mtime >= 1700020000
         ORDER BY mtime DESC, path LIMIT 20""",
     "sql_largest": "SELECT path, size/1e9 AS gb FROM files ORDER BY size DESC, path LIMIT 20",
     "sql_on_disk_report": """
