@@ -34,6 +34,7 @@ from pathledger.llm.text import column, lower_ascii, slices, text_bytes, word_sp
 
 SLICE_BYTES = 4 << 20
 BROADCAST_BYTES = 64 << 20
+HELD_TERMS = 1 << 20  # terms of slices that one task adds up before it hands them on
 SLOT_BYTES = 64 << 20  # dense counters that one task holds before it hands them on
 SHARD_TERMS, SHARD_BYTES = 1 << 17, 4 << 20
 SLOT_BLOCK, SOURCE_TILE = 8192, 128
@@ -45,60 +46,83 @@ GAP[0x80:] = False
 
 
 def _tokens(batch: pa.RecordBatch):
-    """Bytes, spans of terms, their texts, and the numbers and names of the texts' (lang, source) groups."""
+    """Bytes, spans and hashes of terms, the texts they are from, and the numbers and names of the texts' languages."""
     data, offsets = text_bytes(column(batch, "text"))
     data = lower_ascii(data)
     starts, ends, before = word_spans(data, offsets, GAP)
     owner = np.repeat(np.arange(batch.num_rows), np.diff(before))
-    frame = pd.DataFrame({c: column(batch, c).to_pylist() for c in ("lang", "source") if c in batch.schema.names})
-    groups = frame.groupby(list(frame.columns), sort=False)
-    number = groups.ngroup().to_numpy()
-    names = frame.drop_duplicates().itertuples(index=False, name=None)
-    return data, starts, ends, owner, number, list(names)
+    langs = column(batch, "lang").dictionary_encode()
+    return data, starts, ends, term_hashes(data, starts, ends), owner, langs.indices.to_numpy(), langs.dictionary.to_pylist()
 
 
-def _distinct(data, starts, ends):
+def _distinct(data, starts, ends, hashes):
     """A number for each different term among spans, and a span of each."""
-    hashes = term_hashes(data, starts, ends)
-    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    number, keys = pd.factorize(hashes)
+    first = np.empty(len(keys), np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
     back = first[number]
     if not same_bytes(data, starts, ends, data, starts[back], ends[back]).all():
         raw = data.tobytes()
         terms = pd.Series([raw[a:b] for a, b in zip(starts, ends)])
-        number, names = pd.factorize(terms)
+        number, _ = pd.factorize(terms)
         first = np.flatnonzero(~terms.duplicated().to_numpy())
     return number, first
 
 
+def _strings(data, starts, ends) -> pa.Array:
+    lengths = ends - starts
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    flat = data[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], lengths)]
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(flat)])
+
+
 def _document_counts(batches):
-    """Per slice, language and term: in how many documents the term occurs."""
+    """Per language and term: in how many documents the term occurs; added up while a task has room."""
+    held: dict[str, tuple[list, list]] = {}
+    rows = 0
+
+    def added():
+        for lang, (terms, counts) in held.items():
+            merged = pa.concat_arrays(terms).dictionary_encode()
+            # Sums far below 2^53, so exact in double precision.
+            sums = np.bincount(merged.indices.to_numpy(), np.concatenate(counts)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(sums), np.int64))),
+                "term": merged.dictionary.cast(pa.string()),
+                "n": pa.array(sums),
+            })
+        held.clear()
+
     for batch in slices(batches, SLICE_BYTES):
-        data, starts, ends, owner, number, names = _tokens(batch.select(["text", "lang"]))
-        raw = data.tobytes()
-        for at, (lang,) in enumerate(names):
-            mine = np.flatnonzero(number[owner] == at) if len(names) > 1 else np.arange(len(owner))
+        data, starts, ends, hashes, owner, number, langs = _tokens(batch)
+        for at, lang in enumerate(langs):
+            mine = np.flatnonzero(number[owner] == at) if len(langs) > 1 else np.arange(len(owner))
             if not len(mine):
                 continue
-            term, first = _distinct(data, starts[mine], ends[mine])
-            pairs = np.unique(owner[mine] * len(first) + term)
-            counts = np.bincount(pairs % len(first), minlength=len(first))
+            term, first = _distinct(data, starts[mine], ends[mine], hashes[mine])
+            pairs = np.sort(owner[mine] * len(first) + term)
+            new = np.append(True, pairs[1:] != pairs[:-1])
             spans = mine[first]
-            yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(first), np.int64))),
-                "term": pa.array([raw[a:b].decode() for a, b in zip(starts[spans], ends[spans])], pa.string()),
-                "n": pa.array(counts),
-            })
+            terms, counts = held.setdefault(lang, ([], []))
+            terms.append(_strings(data, starts[spans], ends[spans]))
+            counts.append(np.bincount(pairs[new] % len(first), minlength=len(first)))
+            rows += len(first)
+        if rows > HELD_TERMS:
+            yield from added()
+            rows = 0
+    yield from added()
 
 
-def _shard_numbers(data, starts, ends, shards) -> np.ndarray:
-    return ((term_hashes(data, starts, ends) >> np.uint64(20)) % np.asarray(shards).astype(np.uint64)).astype(np.int32)
+def _shard_numbers(hashes: np.ndarray, shards) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.asarray(shards).astype(np.uint64)).astype(np.int32)
 
 
 def _sharded(batches):
     for batch in batches:
         data, offsets = text_bytes(column(batch, "term"))
         shards = column(batch, "shards").to_numpy()
-        yield batch.append_column("shard", pa.array(_shard_numbers(data, offsets[:-1], offsets[1:], shards)))
+        numbers = _shard_numbers(term_hashes(data, offsets[:-1], offsets[1:]), shards)
+        yield batch.append_column("shard", pa.array(numbers))
 
 
 _SHARD = (
@@ -113,7 +137,7 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _recount(rows):
-    """Counts of kept terms per (lang, source) of one round's shards, in dense slots."""
+    """Counts of kept terms per group of one round's shards, in dense slots."""
 
     def run(batches):
         langs = {}
@@ -124,45 +148,44 @@ def _recount(rows):
             lang: (min(b for b, _ in held.values()), max(b + len(s.ends) for b, s in held.values()))
             for lang, (_, held) in langs.items()
         }
-        counters: dict[tuple[str, str], np.ndarray] = {}
+        counters: dict[int, tuple[int, np.ndarray]] = {}
 
         def flush():
-            for (lang, source), slots in counters.items():
-                at = np.flatnonzero(slots)
-                repeat = pa.array(np.zeros(len(at), np.int64))
+            for group, (base, dense) in counters.items():
+                at = np.flatnonzero(dense)
                 yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([lang], pa.string()).take(repeat),
-                    "source": pa.array([source], pa.string()).take(repeat),
-                    "slot": pa.array(at + spans[lang][0]),
-                    "n": pa.array(slots[at]),
+                    "group": pa.array(np.full(len(at), group)), "slot": pa.array(at + base), "n": pa.array(dense[at]),
                 })
             counters.clear()
 
         for batch in slices(batches, SLICE_BYTES):
-            data, starts, ends, owner, number, names = _tokens(batch)
-            for lang in {lang for lang, _ in names} & langs.keys():
+            data, starts, ends, hashes, owner, number, names = _tokens(batch)
+            owners = column(batch, "group").to_numpy()
+            for at, lang in enumerate(names):
+                if lang not in langs:
+                    continue
                 shards, held = langs[lang]
-                groups = np.array([at for at, name in enumerate(names) if name[0] == lang])
-                mine = np.flatnonzero(np.isin(number, groups)[owner])
-                shard = _shard_numbers(data, starts[mine], ends[mine], np.full(len(mine), shards))
+                mine = np.flatnonzero(number[owner] == at) if len(names) > 1 else np.arange(len(owner))
+                shard = _shard_numbers(hashes[mine], shards) if shards > 1 else np.zeros(len(mine), np.int32)
                 slots = np.full(len(mine), -1, np.int64)
-                for which, (base, terms) in held.items():
+                base, end = spans[lang]
+                for which, (begin, terms) in held.items():
                     here = np.flatnonzero(shard == which)
-                    found = terms.slots(data, starts[mine[here]], ends[mine[here]])
-                    slots[here] = np.where(found >= 0, found + base - spans[lang][0], -1)
+                    spot = mine[here]
+                    found = terms.slots(data, starts[spot], ends[spot], hashes[spot])
+                    slots[here] = np.where(found >= 0, found + begin - base, -1)
                 known = slots >= 0
-                group, slots = number[owner[mine[known]]], slots[known]
-                width = spans[lang][1] - spans[lang][0]
+                group, slots = owners[owner[mine[known]]], slots[known]
                 order = np.argsort(group, kind="stable")
                 group, slots = group[order], slots[order]
-                for at in groups:
-                    low, high = np.searchsorted(group, [at, at + 1])
-                    if low == high:
-                        continue
-                    if (sum(map(len, counters.values())) + width) * 8 > SLOT_BYTES and names[at] not in counters:
-                        yield from flush()
-                    dense = counters.setdefault(names[at], np.zeros(width, np.int64))
-                    np.add.at(dense, slots[low:high], 1)
+                cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)) if len(group) else [0]
+                for low, high in zip(cuts[:-1], cuts[1:]):
+                    this = int(group[low])
+                    if this not in counters:
+                        if (sum(len(c) for _, c in counters.values()) + end - base) * 8 > SLOT_BYTES:
+                            yield from flush()
+                        counters[this] = base, np.zeros(end - base, np.int64)
+                    np.add.at(counters[this][1], slots[low:high], 1)
         yield from flush()
 
     return run
@@ -209,10 +232,9 @@ def kept_terms(docs: DataFrame, least: int = 3) -> DataFrame:
     return counted.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "term")
 
 
-def term_counts(docs: DataFrame, kept: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, slot, n) of all kept terms that occur, and (lang, slot, term)."""
+def term_counts(docs: DataFrame, kept: DataFrame, sizes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(group, slot, n) of all kept terms that occur in documents (text, lang, group), and (lang, slot, term)."""
     spark = docs.sparkSession
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum(F.octet_length("term")).alias("bytes"))
     shards = F.greatest(F.ceil(F.col("v") / SHARD_TERMS), F.ceil(F.col("bytes") / SHARD_BYTES)).cast("int")
     dealt = kept.join(sizes.select("lang", shards.alias("shards")), "lang")
     built = scratch.write(
@@ -232,7 +254,7 @@ def term_counts(docs: DataFrame, kept: DataFrame, scratch: Scratch) -> tuple[Dat
             room = BROADCAST_BYTES
         rounds[-1].append((row.lang, row.shard))
         room -= row.weight
-    counted = spark.createDataFrame([], "lang string, source string, slot long, n long")
+    counted = spark.createDataFrame([], "group long, slot long, n long")
     for wanted in rounds:
         # Shards in order: from the first to the last of the round.
         place, low, high = F.struct("lang", "shard"), wanted[0], wanted[-1]
@@ -242,11 +264,18 @@ def term_counts(docs: DataFrame, kept: DataFrame, scratch: Scratch) -> tuple[Dat
             [(r.lang, r.shard, r.shards, r.base, (r.seed, r.sizes, bytes(r.words), bytes(r.terms), bytes(r.ends))) for r in held]
         )
         part = docs.mapInArrow(_recount(rows), counted.schema)
-        counted = counted.unionByName(part.groupBy("lang", "source", "slot").agg(F.sum("n").alias("n")))
+        counted = counted.unionByName(part.groupBy("group", "slot").agg(F.sum("n").alias("n")))
     listed = based.select("lang", "base", "terms", "ends").mapInArrow(_listed, "lang string, slot long, term string")
     return scratch.write(counted), listed
 
 
+def _share(count: str) -> str:
+    """The share in whole numbers; by decimals where a long would not hold the product."""
+    product = f"1000000000L * ({count} + 1) div (total + v)"
+    wide = f"(CAST(1000000000 AS DECIMAL(10,0)) * CAST({count} + 1 AS DECIMAL(27,0))) div CAST(total + v AS DECIMAL(27,0))"
+    return f"1 + CASE WHEN {count} < 9000000000 THEN {product} ELSE {wide} END"
+
+
 def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
                       least: int = 3, top: int = 200) -> DataFrame:
     """Per (lang, source) and part ``pair`` or ``term``: item, value, rank."""
@@ -256,38 +285,50 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))]
     )
     kept = scratch.write(kept_terms(given, least))
-    counts, terms = term_counts(given, kept, scratch)
-    vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    share = "1 + (CAST(1000000000 AS DECIMAL(10,0)) * CAST({} + 1 AS DECIMAL(27,0))) div CAST(total + v AS DECIMAL(27,0))"
+    # One row a language or group, written so that joins with them are planned by their true size.
+    vocabulary = scratch.write(
+        kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum(F.octet_length("term")).alias("bytes"))
+    )
+    names = scratch.write(given.select("lang", "source").distinct())
+    names = scratch.write(names.withColumn("group", F.monotonically_increasing_id()))
+    grouped = given.join(names, ["lang", "source"]).select("text", "lang", "group")
+    counts, terms = term_counts(grouped, kept, vocabulary, scratch)
+    totals = counts.groupBy("group").agg(F.sum("n").alias("total"))
     by_lang = Window.partitionBy("lang")
     groups = scratch.write(
-        given.select("lang", "source").distinct()
-        .join(vocabulary, "lang", "left")
-        .join(totals, ["lang", "source"], "left")
+        names.join(vocabulary.select("lang", "v"), "lang", "left")
+        .join(totals, "group", "left")
         .fillna(0, ["v", "total"])
         .withColumn("number", F.row_number().over(by_lang.orderBy("source")) - 1)
         .withColumn("tile", F.floor(F.col("number") / SOURCE_TILE).cast("int"))
         .withColumn("tiles", F.floor(F.max("number").over(by_lang) / SOURCE_TILE).cast("int") + 1)
-        .withColumn("none", F.when(F.col("v") > 0, F.expr(share.format("0"))))
+        .withColumn("none", F.when(F.col("v") > 0, F.expr(_share("0"))))
     )
     # Every count with its share, of the group and of the language.
     filled = scratch.write(
-        counts.join(groups, ["lang", "source"])
-        .select("lang", "source", "number", "tile", "tiles", "slot", F.expr(share.format("n")).alias("p"), "n")
+        counts.join(groups, "group")
+        .select("lang", "group", "number", "tile", "tiles", "slot", F.expr(_share("n")).alias("p"), "n")
     )
-    of_lang = totals.groupBy("lang").agg(F.sum("total").alias("total")).join(vocabulary, "lang")
+    of_lang = scratch.write(groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v")))
     overall = (
-        counts.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+        filled.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
         .join(of_lang, "lang")
-        .select("lang", "slot", F.expr(share.format("n")).alias("q"))
-        .join(terms, ["lang", "slot"])
+        .select("lang", "slot", F.expr(_share("n")).alias("q"))
+    )
+    # Ties with the last place go on to where terms decide; until then rows are numbers alone.
+    first = Window.partitionBy("group").orderBy(F.desc("value"))
+    over = (
+        filled.join(overall, ["lang", "slot"]).filter("p > q")
+        .select("lang", "group", "slot", F.expr("(p - q) * (p - q) div q").alias("value"))
+        .withColumn("rank", F.rank().over(first)).filter(F.col("rank") <= top)
     )
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
-    over = filled.join(overall, ["lang", "slot"]).filter("p > q").select(
-        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("(p - q) * (p - q) div q").alias("value")
+    over = (
+        over.join(terms, ["lang", "slot"])
+        .join(names.select("group", "source"), "group")
+        .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+        .withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
     )
-    over = over.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
 
     paired = ["lang", "number", "tile", "tiles", "slot", "p", "block"]
     marks = groups.filter("v > 0").select(

@@ -109,9 +109,9 @@ class TermShard:
             "terms": placed.tobytes(), "ends": ends.tobytes(),
         }
 
-    def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The slot of each span of ``data``; -1 for those that are no stored term."""
-        slots = self.hash.slots(term_hashes(data, starts, ends, self.seed))
+    def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each span of ``data`` with its hash of seed 0; -1 for those that are no stored term."""
+        slots = self.hash.slots(hashes if self.seed == 0 else term_hashes(data, starts, ends, self.seed))
         at = np.flatnonzero(slots >= 0)
         hit = slots[at]
         sure = same_bytes(data, starts[at], ends[at], self.terms, self.starts[hit], self.ends[hit])

@@ -11,7 +11,7 @@ import pytest
 from pathledger.llm import divergence
 from pathledger.llm.divergence import source_divergence
 from pathledger.llm.oracles import OP11, OP13
-from pathledger.llm.perfecthash import PerfectHash, TermShard, same_bytes
+from pathledger.llm.perfecthash import PerfectHash, TermShard, same_bytes, term_hashes
 from pathledger.llm.text import text_bytes
 from pathledger.llm.whitening import bidiagonalise, fit_whitening, whiten, whole
 from pathledger.llm.winnowing import contamination, decontaminate, fingerprints
@@ -46,7 +46,7 @@ def test_terms_are_verified():
     asked = terms[::-1] + [b"other%d" % i for i in range(500)] + [b"t"]
     ends = np.cumsum([len(t) for t in asked])
     data, starts = np.frombuffer(b"".join(asked), np.uint8), np.concatenate([[0], ends[:-1]])
-    slots = shard.slots(data, starts, ends)
+    slots = shard.slots(data, starts, ends, term_hashes(data, starts, ends))
     stored = shard.terms.tobytes()
     assert [stored[shard.starts[s] : shard.ends[s]] for s in slots[:500]] == asked[:500]
     assert (slots[500:] == -1).all()
