@@ -14,9 +14,10 @@ routed by their whole windows instead, which spreads one common passage over all
 Documents travel as compressed blobs in chunks of bounded size; nothing is collected.
 
 Edge cases: null and empty texts have no words; texts with fewer words than a window keep
-all of them; rows that share an id and text are one document, whose words none of them
-removes from another; documents without an id count as the last; a very long text is one
-chunk; an empty table gives an empty result.
+all of them; rows of one id are one document: of two windows in them only one that starts
+at an earlier word counts as earlier, and each row loses its own words alone; documents
+without an id count as the last, and as one document; a very long text is one chunk; an
+empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def _chunked(parts: int, window: int, gram: int):
             yield _row(TEXTS, p, chunk, pack(keys[own], first[own]))
 
     def run(batches):
-        chunk, size, anchors, copies = TaskContext.get().partitionId() << 24, 0, [], {}
+        chunk, size, rows, anchors, copies = TaskContext.get().partitionId() << 24, 0, 0, [], {}
         for batch in slices(batches, SLICE):
             own = Segmented(column(batch, "text"), window, gram)
             new = np.zeros(batch.num_rows, bool)
@@ -130,11 +131,13 @@ def _chunked(parts: int, window: int, gram: int):
                 copies[key] = min(doc, copies.get(key, LAST))
             keep = new[own.text]  # copies within a chunk count once
             anchors.append(merged(own.anchor[keep], 1 + own.inner[keep]))
-            yield _row(DOCS, -1, chunk, _table_of(batch))
+            numbers = pa.array(np.arange(rows, rows + batch.num_rows, dtype=np.int32))
+            yield _row(DOCS, -1, chunk, _table_of(batch.append_column("row", numbers)))
+            rows += batch.num_rows
             size += len(own.data)
             if size >= CHUNK:
                 yield from flush(chunk, anchors, copies)
-                chunk, size, anchors, copies = chunk + 1, 0, [], {}
+                chunk, size, rows, anchors, copies = chunk + 1, 0, 0, [], {}
         if anchors:
             yield from flush(chunk, anchors, copies)
 
@@ -199,7 +202,8 @@ def _stream(batches):
                 yield chunk, docs, ready
 
 
-SEGMENT = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("words", "<i4"), ("inner", "?")])
+# ``row`` is the text's number within its chunk; ``doc``, which texts may share, is for the order alone.
+SEGMENT = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("start", "<i4"), ("words", "<i4"), ("inner", "?")])
 
 
 def _segments(parts: int, window: int, gram: int):
@@ -242,6 +246,7 @@ def _segments(parts: int, window: int, gram: int):
             head = np.zeros(len(at), SEGMENT)
             head["anchor"], head["doc"], head["start"] = anchor, ids[text], at - own.before[text]
             head["words"], head["inner"] = sizes + window - 1, inner
+            head["row"] = column(docs, "row").to_numpy()[text]
             stops = np.cumsum(head["words"], dtype=np.int64)
             heads.append(head)
             words.append(own.words[np.arange(stops[-1]) + np.repeat(at - (stops - head["words"]), head["words"])])
@@ -280,7 +285,15 @@ def repeats(heads: np.ndarray, tokens: np.ndarray, window: int) -> np.ndarray:
             stop += 1
         out.append(_search(heads, tokens, begins, own[start:stop], window))
         start = stop
-    return np.concatenate(out).astype(np.int64)
+    found = np.concatenate(out).astype(np.int64)
+    # Rows of one document that hold a segment at one place lose the same words.
+    twins = ~later & ~lead
+    twin, first = order[twins], owner[twins]
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    low, high = np.searchsorted(found[:, 0], first), np.searchsorted(found[:, 0], first, "right")
+    times = high - low
+    at = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
+    return np.concatenate([found, np.column_stack([np.repeat(twin, times), found[at, 1:]])])
 
 
 def _search(heads, tokens, begins, own, window) -> np.ndarray:
@@ -326,14 +339,14 @@ def _shard(window: int):
         home = chunk[found[:, 0]]
         for own in np.unique(home):
             mine = found[home == own]
-            rows.append((FOUND, own, np.stack([heads["doc"][mine[:, 0]], mine[:, 1], mine[:, 2]], 1).astype("<i8").tobytes()))
+            rows.append((FOUND, own, np.stack([heads["row"][mine[:, 0]], mine[:, 1], mine[:, 2]], 1).astype("<i8").tobytes()))
         return pd.DataFrame(rows, columns=["kind", "chunk", "payload"])
 
     return run
 
 
 def _intervals(blobs: list[bytes]) -> np.ndarray:
-    """(document, begin, end) of all blobs, by document."""
+    """(row of the chunk, begin, end) of all blobs, by row."""
     found = np.concatenate([np.zeros((0, 3), np.int64), *[np.frombuffer(b, "<i8").reshape(-1, 3) for b in blobs]])
     return found[np.argsort(found[:, 0], kind="stable")]
 
@@ -351,7 +364,8 @@ def _cut(window: int, gram: int):
             copies = (_value(ready[TEXTS], copy_keys) != ids) & (sizes >= window)
             change = np.zeros(len(words) + 1, np.int64)
             found = ready[FOUND]
-            lo, hi = np.searchsorted(found[:, 0], ids), np.searchsorted(found[:, 0], ids, "right")
+            rows = column(docs, "row").to_numpy()
+            lo, hi = np.searchsorted(found[:, 0], rows), np.searchsorted(found[:, 0], rows, "right")
             for i in np.flatnonzero((hi > lo) & ~copies):
                 np.add.at(change, before[i] + found[lo[i] : hi[i], 1], 1)
                 np.add.at(change, before[i] + found[lo[i] : hi[i], 2], -1)
