@@ -59,7 +59,7 @@ def index_experiments(
             snapshot_ts = options.pop("snapshot_ts", None) or timestamp_now()
             write = new_write()
             recorded = record_snapshot(
-                store, scan.files, targets_of, snapshot_ts, errors=scan.errors, write=write, **options
+                store, scan.files, targets_of, snapshot_ts, errors=scan.errors, write=write, staged=True, **options
             )
             changes = {c.exp_dir: c for c in recorded}
             # One name in two hutches is one experiment with two roots.

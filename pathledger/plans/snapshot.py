@@ -34,6 +34,7 @@ def record_snapshot(
     max_removed_fraction: float | None = None,
     errors: DataFrame | None = None,
     write: str | None = None,
+    staged: bool = False,
 ) -> list[Change]:
     """Appends one inventory of any number of experiments as a single commit.
 
@@ -47,9 +48,17 @@ def record_snapshot(
     and nothing below another unreadable path counts as removed.
 
     A snapshot must be newer than all others of its experiments, or it would never be read.
-    ``write`` names the folder of this write, new by default.
+    ``write`` names the folder of this write, new by default. The inventory is evaluated
+    once, into a staging table that counting, range bounds and the diff read; ``staged``
+    says that it is such a table already.
     """
     write = write or new_write()
+    if not staged:
+        with store.staging() as staging:
+            inventory = staging.write(inventory, "inventory")
+            return record_snapshot(
+                store, inventory, targets, snapshot_ts, compare, max_removed_fraction, errors, write, True
+            )
     found = {r.exp_dir: r["count"] for r in inventory.groupBy("exp_dir").count().collect()}
     if None in found:
         raise ValueError(f"{found[None]} entries without exp_dir")
@@ -60,7 +69,7 @@ def record_snapshot(
         rest = [t for t in targets if t[0] not in unread]
         inventory = _only(store, inventory, {e for e, _ in rest}, unread)
         done = record_snapshot(
-            store, inventory, rest, snapshot_ts, compare, max_removed_fraction, errors, write
+            store, inventory, rest, snapshot_ts, compare, max_removed_fraction, errors, write, True
         )
         left = [Change(e, 0, 0, 0, f"unreadable root: {r}") for e, r in unread.items()]
         return sorted(done + left)
@@ -107,8 +116,7 @@ def record_snapshot(
                 "on_disk": F.lit(None).cast("boolean"),
             }
         )
-        store.write_delta(rows, write, snapshot_ts)
-        measured += store.measure_delta(write, snapshot_ts)
+        measured += store.write_delta(rows, write, snapshot_ts, known)
 
     refused: dict[str, str] = {}
     if max_removed_fraction is not None and known:
@@ -242,4 +250,4 @@ def snapshot_tree(
             batch_size,
         )
         targets = [(target.exp_dir, target.root)]
-        return record_snapshot(store, scan.files, targets, errors=scan.errors, **options)[0]
+        return record_snapshot(store, scan.files, targets, errors=scan.errors, staged=True, **options)[0]

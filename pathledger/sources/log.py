@@ -23,7 +23,7 @@ from collections.abc import Iterable
 from datetime import UTC, datetime
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,8 @@ TIMESTAMP = "%Y-%m-%dT%H%M%S.%f"
 BROADCAST_BYTES = 64 * 1024 * 1024
 # What a broadcast key costs beside its text.
 KEY_OVERHEAD = 64
+# Experiments whose counts a write observes on the way; a larger batch is read back for them.
+OBSERVED = 32
 # Rows that one task shuffles, sorts or writes as one file.
 ROWS_PER_TASK = 1_000_000
 
@@ -395,19 +397,44 @@ class LogStore:
         """
         tasks = max(at_least, -(-n_rows // ROWS_PER_TASK))
         clustered = rows.repartitionByRange(tasks, "exp_dir", "parent_path", "filename")
-        self._write(clustered, write, snapshot_ts, BASE)
+        self._write(self._sorted(clustered), write, snapshot_ts, BASE)
 
-    def write_delta(self, rows: DataFrame, write: str, snapshot_ts: str) -> None:
-        """Writes changes. Rebalancing splits a large experiment and packs small ones,
-        without the sampling pass over the diff that a range partitioning needs."""
-        self._write(rows.hint("rebalance", "exp_dir"), write, snapshot_ts, DELTA)
+    def write_delta(self, rows: DataFrame, write: str, snapshot_ts: str, exp_dirs: Iterable[str] | None = None) -> list:
+        """Writes changes and returns their commit columns. Rebalancing splits a large experiment
+        and packs small ones, without the sampling pass over the diff that a range partitioning needs.
+
+        For the few ``exp_dirs`` of a usual batch, the write itself counts. It does so in its
+        last stage, after the shuffle, where a task that is repeated counts once.
+        """
+        laid_out = self._sorted(rows.hint("rebalance", "exp_dir"))
+        named = sorted(exp_dirs or [])
+        if not 0 < len(named) <= OBSERVED:
+            self._write(laid_out, write, snapshot_ts, DELTA)
+            return self.measure_delta(write, snapshot_ts)
+        seen = Observation()
+        metrics = [m.alias(f"{c}_{i}") for i, e in enumerate(named) for c, m in _delta_metrics(F.col("exp_dir") == e).items()]
+        self._write(laid_out.observe(seen, *metrics), write, snapshot_ts, DELTA)
+        measured = []
+        for i, exp_dir in enumerate(named):
+            counts = {c: seen.get[f"{c}_{i}"] for c in _delta_metrics(F.lit(True))}
+            if not counts["n_records"]:
+                continue
+            least, most, known = (counts.pop(c) for c in ("least", "most", "known"))
+            one = least if least == most and known == counts["n_records"] else None
+            place = Snapshot(exp_dir, DELTA, snapshot_ts, write)
+            files = self.storage.sizes(self.snapshot_dir(place), ".parquet")
+            measured.append(Row(**place._asdict() | counts | {"experiment": one, "n_files": len(files), "n_bytes": sum(files)}))
+        return measured
+
+    @staticmethod
+    def _sorted(rows: DataFrame) -> DataFrame:
+        columns = rows.select("exp_dir", *FILE_SCHEMA.names)
+        return columns.sortWithinPartitions("exp_dir", "parent_path", "filename")
 
     def _write(self, rows: DataFrame, write: str, snapshot_ts: str, kind: str) -> None:
         # The folder is this write's own; one that is there already is an error.
         (
-            rows.select("exp_dir", *FILE_SCHEMA.names)
-            .sortWithinPartitions("exp_dir", "parent_path", "filename")
-            .write.option("compression", "zstd")
+            rows.write.option("compression", "zstd")
             .partitionBy("exp_dir")
             .parquet(self.write_dir(write, snapshot_ts, kind))
         )
@@ -481,6 +508,19 @@ def commit_rows(action: str, rows: Iterable, **given) -> list[tuple]:
     return [tuple(d.get(c) for c in COMMIT_SCHEMA.names) for d in dicts]
 
 
+def _delta_metrics(mine: Column) -> dict[str, Column]:
+    """What a commit says of the changes of one experiment."""
+    status, experiment = F.col("status"), F.when(mine, F.col("experiment"))
+    return {
+        "n_added": F.count_if(mine & (status == "added")),
+        "n_modified": F.count_if(mine & (status == "modified")),
+        "n_removed": F.count_if(mine & (status == "removed")),
+        "n_records": F.count_if(mine),
+        "key_bytes": F.sum(F.when(mine, F.octet_length("path"))),
+        "least": F.min(experiment), "most": F.max(experiment), "known": F.count(experiment),
+    }
+
+
 def _one_experiment(column: str, rows: Column) -> Column:
     """The one value that all rows of a group have; NULL if there are several or none."""
     same = (F.min(column) == F.max(column)) & (F.count(column) == rows)

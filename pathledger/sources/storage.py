@@ -50,6 +50,13 @@ class Storage:
         listed = self._fs(path).listStatus(self._path(path))
         return sorted((s.getPath().getName(), s.isDirectory()) for s in listed)
 
+    def sizes(self, path: str, suffix: str) -> list[int]:
+        """Sizes of the files directly in a directory whose names end so."""
+        if not self.exists(path):
+            return []
+        listed = self._fs(path).listStatus(self._path(path))
+        return [s.getLen() for s in listed if s.isFile() and s.getPath().getName().endswith(suffix)]
+
     def can_move(self, source: str, target: str) -> bool:
         here, there = self._fs(source).getUri(), self._fs(target).getUri()
         return here.equals(there) and here.getScheme() in _CHEAP_RENAME

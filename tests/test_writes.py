@@ -1,5 +1,6 @@
 """Writers that share a snapshot time, files that bases share, and which files are read."""
 
+import glob
 import importlib
 import os
 from concurrent.futures import ThreadPoolExecutor
@@ -157,3 +158,41 @@ def test_compaction_rewrites_only_what_deltas_meet(spark, catalog_dir, tmp_path,
     archived = spark.read.parquet(str(tmp_path / "old")).groupBy("snapshot_ts").count().collect()
     assert {(r.snapshot_ts, r["count"]) for r in archived} >= {("t0", 4000), ("t1", 201), ("t2", 4001)}
     assert catalog.fold_commits() > 1 and state_of(catalog) == expected
+
+
+def test_an_inventory_is_evaluated_once(spark, catalog_dir, in_files):
+    """Counting, range bounds, write and diff all read the staged table."""
+    catalog = Catalog(spark, catalog_dir)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    for size, times in ((1, 1), (2, 2)):
+        given = rows(spark, "a", 1000, size=size).unionByName(rows(spark, f"b{size}", 500))
+        catalog.snapshot_table(given.mapInArrow(counted, given.schema), snapshot_ts=f"t{size}", targets=[("a", None), (f"b{size}", None)])
+        assert seen.value == 1500 * times
+    assert catalog.total_size() == 1000 * 2 + 500 + 500
+    assert not glob.glob(f"{catalog_dir}/_staging/*")
+
+
+def test_a_delta_counts_itself(spark, catalog_dir, monkeypatch):
+    """Observed while written, and equal to what reading it back counts."""
+    catalog = Catalog(spark, catalog_dir)
+    catalog.snapshot_table(rows(spark, "a", 300).unionByName(rows(spark, "b", 20)), snapshot_ts="t0")
+    changed = rows(spark, "a", 200, size=5).unionByName(rows(spark, "a", 30, start=900)).unionByName(
+        rows(spark, "b", 20, size=2).withColumn("experiment", F.lit(None).cast("string"))
+    )
+    read_back, counted = catalog.log.measure_delta, []
+    monkeypatch.setattr(catalog.log, "measure_delta", lambda *place: counted.append(place) or read_back(*place))
+    report = catalog.snapshot_table(changed, snapshot_ts="t1")
+    assert [tuple(c)[:4] for c in report] == [("a", 30, 200, 100), ("b", 0, 20, 0)] and not counted
+    committed = [s for s in catalog.log.commits().filter("kind = 'delta'").collect()]
+    again = {r.exp_dir: r.asDict() for r in read_back(committed[0].write, "t1")}
+    for row in committed:
+        assert {c: row[c] for c in again[row.exp_dir]} == again[row.exp_dir]
+    monkeypatch.setattr(log, "OBSERVED", 1)
+    catalog.snapshot_table(rows(spark, "a", 2).unionByName(rows(spark, "b", 2)), snapshot_ts="t2")
+    assert len(counted) == 1 and catalog.count(on_disk_only=True) == 4
