@@ -21,8 +21,9 @@ inventory AS (
         '/ds/' || hutch || '/' || experiment || sub || '/f_' || CAST(k AS STRING) || ext AS path,
         '/ds/' || hutch || '/' || experiment || sub AS parent_path,
         'f_' || CAST(k AS STRING) || ext AS filename,
-        1 + (k * 7919123) % 3000000000 + CASE WHEN t >= 1 AND k % 11 = 0 THEN 1 ELSE 0 END
-                                    + CASE WHEN t >= 2 AND k % 19 = 0 THEN 2 ELSE 0 END AS size,
+        1 + (k * 7919123) % 3000000000
+          + CASE WHEN hutch IN ('cxi','mfx') AND t >= 1 AND k % 11 = 0 THEN 1 ELSE 0 END
+          + CASE WHEN hutch IN ('cxi','mfx') AND t >= 2 AND k % 19 = 0 THEN 2 ELSE 0 END AS size,
         1700000000 + (k * 37) % 10000000 AS mtime,
         CASE WHEN k % 17 = 0 THEN 41471 ELSE 33188 END AS permissions,
         CASE WHEN k % 3 = 2 THEN NULL ELSE CAST(k % 25 AS INT) END AS run
@@ -34,7 +35,7 @@ inventory AS (
                 || CASE WHEN o_orderkey % 3 = 2 THEN '' ELSE '/run' || lpad(CAST(o_orderkey % 25 AS STRING), 4, '0') END AS sub,
               CASE o_orderkey % 5 WHEN 0 THEN '.h5' WHEN 1 THEN '.xtc2' WHEN 2 THEN '.npz' WHEN 3 THEN '.txt' ELSE '.dat' END AS ext
        FROM orders CROSS JOIN (SELECT 0 AS t UNION ALL SELECT 1 UNION ALL SELECT 2) ts)
- WHERE (t = 0 AND k % 10 <> 9)
+ WHERE ((t = 0 OR hutch NOT IN ('cxi','mfx')) AND k % 10 <> 9)
     OR (hutch IN ('cxi','mfx') AND ((t = 1 AND k % 7 <> 3) OR (t = 2 AND k % 13 <> 5))))"""
 
 SNAPSHOT_LOG = """
@@ -47,7 +48,7 @@ snapshot_log AS (
         COALESCE(c.experiment,p.experiment), CASE WHEN c.path IS NOT NULL THEN c.run ELSE p.run END,
         't1', CAST(NULL AS BOOLEAN),
         CASE WHEN p.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'removed' ELSE 'modified' END
- FROM (SELECT * FROM inventory WHERE t = 0 AND hutch IN ('cxi','mfx')) p
+ FROM (SELECT * FROM inventory WHERE t = 0) p
  FULL OUTER JOIN (SELECT * FROM inventory WHERE t = 1) c ON c.path = p.path
  WHERE p.path IS NULL OR c.path IS NULL OR c.size <> p.size OR c.mtime <> p.mtime
  UNION ALL
@@ -72,14 +73,14 @@ CTES = f"WITH {INVENTORY},\n{SNAPSHOT_LOG},\n{FILES}\n"
 VIEW = "path, parent_path, filename, size, mtime, permissions, experiment, run, indexed_at, on_disk"
 FILE = "path, parent_path, filename, size, mtime, permissions, experiment, run"
 
-# The state after the second scan of the rescanned hutches, and the third scan.
+# The state after the second scan, and the third scan.
 SCANS = """,
 state AS (
  SELECT path, parent_path, filename, size, mtime, permissions, experiment, run,
         status IS NULL OR status <> 'removed' AS on_disk
  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY path ORDER BY indexed_at DESC) AS rn
        FROM snapshot_log
-       WHERE indexed_at < 't2' AND substr(experiment, 1, 3) IN ('cxi', 'mfx')) v
+       WHERE indexed_at < 't2') v
  WHERE rn = 1),
 scan AS (SELECT * FROM inventory WHERE t = 2),
 changes AS (
@@ -188,8 +189,8 @@ ORACLES: dict[str, str] = {
     "snapshot_summary": f"""{CTES}{SNAPSHOTS}
         SELECT exp_dir, kind, snapshot_ts, record_count FROM snapshots""",
     "scan_tree": """
-        SELECT DISTINCT 'lang=' || lang || '/source=' || source AS directory, true AS has_files
-        FROM documents""",
+        SELECT lang || '/' || source AS directory, COUNT(*) AS file_count, CAST(SUM(strlen(text)) AS BIGINT) AS total_size
+        FROM documents GROUP BY 1""",
     "checksum_sha256": "SELECT doc_id, sha256(text) AS checksum FROM documents",
     "archive_snapshots": f"""{CTES}{SNAPSHOTS}
         SELECT exp_dir, kind, snapshot_ts, record_count FROM snapshots
@@ -265,8 +266,7 @@ ORACLES: dict[str, str] = {
                COUNT(*) FILTER (WHERE indexed_at = 't2' AND status = 'added') AS added,
                COUNT(*) FILTER (WHERE indexed_at = 't2' AND status = 'modified') AS modified,
                COUNT(*) FILTER (WHERE indexed_at = 't2' AND status = 'removed') AS removed
-        FROM snapshot_log WHERE substr(experiment, 1, 3) IN ('cxi', 'mfx')
-        GROUP BY experiment""",
+        FROM snapshot_log GROUP BY experiment""",
     "dry_run_counts": f"""{CTES}
         SELECT hutch, experiment, COUNT(*) AS file_count FROM inventory
         WHERE t = 0 AND (permissions & 61440) = 32768 GROUP BY hutch, experiment""",

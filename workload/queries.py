@@ -78,24 +78,6 @@ def snapshot_summary(spark, sf_dir):
     return ops.snapshot_summary(rel.snapshot_log(spark, sf_dir))
 
 
-@query
-def scan_tree(spark, sf_dir):
-    """Walks a directory tree written from ``documents``; one row per directory with files."""
-    root = rel.scratch(spark).removeprefix("file:") + "/tree"
-    documents = rel.table(spark, sf_dir, "documents")
-    documents.select("text", "lang", "source").write.partitionBy("lang", "source").parquet(root)
-    with Staging(spark, rel.scratch(spark)) as staging:
-        scan = scan_roots(spark, [("tree", "tree", root)], staging, compute_checksum=True)
-        parquet = scan.files.filter(fn.extension(F.col("filename")) == "parquet")
-        directory = F.substring_index("parent_path", "/", -2)
-        found = parquet.filter("size > 0 AND length(checksum) = 64").select(
-            directory.alias("directory")
-        )
-        counted = found.groupBy("directory").agg((F.count("*") > 0).alias("has_files"))
-        # One row per directory; the staged scan ends with this block.
-        return local_frame(spark, counted.collect(), counted.schema)
-
-
 @query
 def checksum_sha256(spark, sf_dir):
     documents = rel.table(spark, sf_dir, "documents")
@@ -310,6 +292,16 @@ def _document_files(spark, sf_dir):
     return root, written
 
 
+@query
+def scan_tree(spark, sf_dir):
+    """Files and bytes of every directory of that tree, as the walk finds them."""
+    root, _ = _document_files(spark, sf_dir)
+    # The staged walk stays, since the result is lazy.
+    scan = scan_roots(spark, [("tree", "tree", root)], Staging(spark, rel.scratch(spark)))
+    directory = F.substring_index("parent_path", "/", -2).alias("directory")
+    return scan.files.groupBy(directory).agg(F.count("*").alias("file_count"), F.sum("size").alias("total_size"))
+
+
 @query
 def checksum_files(spark, sf_dir):
     """Every document as a file of its own, scanned with sizes and checksums."""
@@ -509,6 +501,7 @@ def stats(spark, sf_dir):
 
 # -- documented SQL over the view --------------------------------------------------
 
+# The documented statements.
 SQL = {
     "sql_projection": "SELECT path, size FROM files ORDER BY path LIMIT 10",
     "sql_by_experiment": """

@@ -1,7 +1,7 @@
 """File inventories derived from ``orders``: three scans, their change log and its view.
 
-The formulas are fixed values shared with ``oracles.CTES``: two hutches are scanned
-three times, two only once; files vanish, come back and change size in between.
+The formulas are fixed values shared with ``oracles.CTES``: every hutch is scanned three
+times; in two of them files vanish, come back and change size in between.
 """
 
 import os
@@ -19,7 +19,7 @@ KEYS = ["exp_dir", "path"]
 FILE = ["path", "parent_path", "filename", "size", "mtime", "permissions", "experiment", "run"]
 VIEW = [*FILE, "indexed_at", "on_disk"]
 LOG = [*VIEW, "status"]
-RESCANNED = ["cxi", "mfx"]
+CHANGING = ["cxi", "mfx"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,7 @@ def inventory(spark: SparkSession, sf_dir: str, scan: int | None = None) -> Data
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
     scans = [0, 1, 2] if scan is None else [scan]
     k, t = F.col("k"), F.col("t")
+    changing = F.col("hutch").isin(CHANGING)
     hutch = _pick(k % 4, "cxi", "mfx", "xpp", "mec")
     sub = F.concat(
         _pick(k % 3, "/scratch", "/xtc", "/results"),
@@ -52,11 +53,8 @@ def inventory(spark: SparkSession, sf_dir: str, scan: int | None = None) -> Data
         orders.select("*", F.explode(F.array(*[F.lit(s) for s in scans])).alias("t"))
         .withColumn("hutch", hutch)
         .filter(
-            ((t == 0) & (k % 10 != 9))
-            | (
-                F.col("hutch").isin(RESCANNED)
-                & (((t == 1) & (k % 7 != 3)) | ((t == 2) & (k % 13 != 5)))
-            )
+            (((t == 0) | ~changing) & (k % 10 != 9))
+            | (changing & (((t == 1) & (k % 7 != 3)) | ((t == 2) & (k % 13 != 5))))
         )
         .withColumn("experiment", F.concat("hutch", _digits(F.col("o_custkey") % 12, 5)))
         .withColumn("parent_path", F.concat(F.lit("/ds/"), "hutch", F.lit("/"), "experiment", sub))
@@ -76,8 +74,8 @@ def inventory(spark: SparkSession, sf_dir: str, scan: int | None = None) -> Data
         (
             1
             + (k * 7919123) % 3000000000
-            + F.when((t >= 1) & (k % 11 == 0), 1).otherwise(0)
-            + F.when((t >= 2) & (k % 19 == 0), 2).otherwise(0)
+            + F.when(changing & (t >= 1) & (k % 11 == 0), 1).otherwise(0)
+            + F.when(changing & (t >= 2) & (k % 19 == 0), 2).otherwise(0)
         ).alias("size"),
         (1700000000 + (k * 37) % 10000000).alias("mtime"),
         F.when(k % 17 == 0, 41471).otherwise(33188).alias("permissions"),
@@ -116,8 +114,7 @@ def delta_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _delta_log(scans: DataFrame) -> DataFrame:
-    earlier = _scan(scans.filter(F.col("hutch").isin(RESCANNED)), 0)
-    second, third = _scan(scans, 1), _scan(scans, 2)
+    earlier, second, third = (_scan(scans, t) for t in (0, 1, 2))
     there = F.lit(True)
     first_changes = snapshot_diff(earlier.withColumn("on_disk", there), second)
     second_changes = snapshot_diff(second.withColumn("on_disk", there), third)
@@ -138,9 +135,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_before_last_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of the rescanned hutches after their second scan, removed entries included."""
-    log = snapshot_log(spark, sf_dir).filter(F.col("snapshot_ts") < "t2")
-    return replay(log.filter(F.substring("experiment", 1, 3).isin(RESCANNED)))
+    """State after the second scan, removed entries included."""
+    return replay(snapshot_log(spark, sf_dir).filter(F.col("snapshot_ts") < "t2"))
 
 
 def scratch(spark: SparkSession) -> str:
