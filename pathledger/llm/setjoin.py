@@ -20,7 +20,8 @@ Equal sets are one class from the start. Sets are never gathered beyond a block.
 Edge cases: texts without words and null texts have an empty set and link with nothing; a
 text shorter than a shingle is one shingle of all its words; a document without an id
 links with nothing and is returned with a null component; rows that share an id are one
-document in links, each returned.
+document in links, whatever their texts, each returned (those without words by themselves);
+columns other than id and text are not read; a very long text is one set.
 """
 
 from __future__ import annotations
@@ -78,15 +79,19 @@ def _binary(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
+def _set_keys(sets) -> np.ndarray:
+    """Two 64-bit keys of each set, by which equal sets are one class."""
+    keys = [(s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s)) if len(s) else 0) for s in sets]
+    return np.array(keys, np.uint64).reshape(-1, 2)
+
+
 def _sketched(size: int):
     def run(batches):
         for batch in slices(batches, SLICE):
             sets = shingle_sets(column(batch, "text"), size)
             full = [i for i, s in enumerate(sets) if len(s)]
             rows = dict(zip(full, sketches([sets[i] for i in full]) if full else [], strict=True))
-            keys = np.array(
-                [(s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s)) if len(s) else 0) for s in sets], np.uint64
-            ).reshape(-1, 2)
+            keys = _set_keys(sets)
             yield pa.RecordBatch.from_arrays(
                 [
                     column(batch, "doc_id"),
@@ -239,8 +244,11 @@ def _full_sets(size: int):
     def run(batches):
         for batch in slices(batches, SLICE):
             sets = shingle_sets(column(batch, "text"), size)
+            keys = _set_keys(sets).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), _binary([s.tobytes() for s in sets])], names=["rep", "shingles"]
+                [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
+                 _binary([s.tobytes() for s in sets])],
+                names=["n_shingles", "k1", "k2", "shingles"],
             )
 
     return run
@@ -262,15 +270,20 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
     same = ["n_shingles", "k1", "k2"]
     classes = scratch.write(
         sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same)
-        .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"))
+        # A number of its own, fixed by the write: one id may stand for several sets.
+        .withColumn("rep", F.monotonically_increasing_id())
     )
     reps = classes.select("rep", "sketch")
     least = percent / 100 - SHARE
     nodes = scratch.write(_crowded(reps.mapInArrow(_roots(trees), "key long, rep long")))
     suspects = nodes.select("rep").distinct()
-    texts = rows.join(suspects, F.col("doc_id") == F.col("rep"), "left_semi").filter("text IS NOT NULL")
-    # Rows that share an id are one document: the set of the class that it stands for is enough.
-    full = scratch.write(texts.mapInArrow(_full_sets(size), "rep long, shingles binary").dropDuplicates(["rep"]))
+    wanted = classes.join(suspects, "rep", "left_semi").select("rep", "first_id", *same)
+    texts = rows.join(wanted, F.col("doc_id") == F.col("first_id"), "left_semi").filter("text IS NOT NULL")
+    full = scratch.write(
+        texts.mapInArrow(_full_sets(size), "n_shingles long, k1 long, k2 long, shingles binary")
+        .join(wanted.drop("first_id"), same).dropDuplicates(same).select("rep", "shingles")
+    )
     comps = tested = waiting = closing = None
     for level in range(levels + 4):
         last = level >= levels
@@ -327,11 +340,13 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
         waiting = None if again is None or again.isEmpty() else (again, 6 if waiting is None else 0)
         if nodes is None and waiting is None and closing is None:
             break
+    described = classes.select(*same, "rep", "first_id")
+    comps = _with_ids(sets, described, comps, same, scratch)
     if comps is not None:
-        classes = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        classes = classes.select(*same, F.coalesce("component", "rep").alias("component"))
-    else:
-        classes = classes.select(*same, F.col("rep").alias("component"))
+        lowest = comps.join(described, F.col("node") == F.col("rep")).groupBy("component").agg(F.min("first_id").alias("low"))
+        named = comps.join(lowest, "component").select(F.col("node").alias("rep"), "low")
+        described = described.join(scratch.write(named), "rep", "left").withColumn("first_id", F.coalesce("low", "first_id"))
+    classes = described.select(*same, F.col("first_id").alias("component"))
     ids = sets.select("doc_id", *same).join(scratch.write(classes), same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return ids.select(
@@ -340,6 +355,22 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
     )
 
 
+def _with_ids(sets: DataFrame, classes: DataFrame, comps: DataFrame | None, same: list[str], scratch: Scratch):
+    """Components that also join the classes of ids with several texts."""
+    given = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    twice = given.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    held = scratch.write(
+        given.join(twice, "doc_id", "left_semi").select("doc_id", *same).join(classes, same).select("doc_id", "rep").distinct()
+    )
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    links = scratch.write(held.join(least, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    if links.isEmpty():
+        return comps
+    if comps is not None:
+        links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return scratch.write(components(links, scratch))
+
+
 def _crowded(nodes: DataFrame) -> DataFrame:
     """Members (key, rep, n) of nodes with two sets or more."""
     sizes = nodes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")

@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pathledger.llm.setjoin import near_duplicates
 from pathledger.llm.substring import remove_repeated
 from pathledger.llm.toxicity import fit_toxicity, train
 from pathledger.llm.toxicity import _words as toxic_words
@@ -64,10 +66,27 @@ def test_words_counted_on_executors_train_the_same_model(spark):
     model = fit_toxicity(docs, labels)
     own = {}
     for i, text, _ in texts:
-        import pyarrow as pa
-
         own[i] = np.unique(toxic_words(pa.array([text]))[0]).view(np.int64)
     marked = [b for i, _, b in texts if i % 2 == 0]
     plain = train([own[i] for i, _, b in texts if b and i % 2 == 0], [own[i] for i, *_ in texts], sum(marked) / len(marked))
     assert len(model.words) and (model.words == plain.words).all()
     assert np.allclose(model.weights, plain.weights, atol=1e-6) and abs(model.bias - plain.bias) < 1e-6
+
+
+def test_texts_of_one_id_link_for_it(spark):
+    """An id with several texts is one document in links, whichever of them links."""
+    base = unique("w", 60)
+    near = base + " more"
+    far = [unique(c, 60) for c in "xyz"]
+    cases = [
+        ([(1, base), (5, near), (5, far[0])], {1: 1, 5: 1}),
+        ([(5, far[0]), (5, near), (1, base), (7, far[0] + " end"), (8, far[1])], {1: 1, 5: 1, 7: 1, 8: 8}),
+        ([(2, far[0]), (2, far[1]), (2, far[1]), (3, far[1] + " a"), (4, far[2])], {2: 2, 3: 2, 4: 4}),
+        ([(9, far[2]), (9, far[1]), (None, far[1]), (6, None), (6, "")], {9: 9, None: None, 6: 6}),
+    ]
+    for rows, expected in cases:
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = near_duplicates(frame).collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id: r.component_id for r in got} == expected
+        assert all(expected[r.doc_id] == r.component_id for r in got)
