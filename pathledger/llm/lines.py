@@ -8,23 +8,33 @@ A line of length l is cut into max_edits + 1 even segments; a line within the th
 must hold one of them unchanged, near its place. So every line is indexed under its
 segments with their length and number, and probes, for each length down to its own minus
 the threshold, the substrings that multi-match-aware selection leaves: their places follow
-from constants. Pairs that meet are verified by bit-parallel edit distance over the band of
-2 * max_edits + 1 diagonals.
-
-Lines are compared by hashes until a pair is verified on their texts, and repeated lines
-are one from the first exchange on, so a line's number of copies never multiplies.
+from constants. Lines that meet are verified by bit-parallel edit distance over the band of
+2 * max_edits + 1 diagonals, first on what they have besides the shared segment.
+
+One earlier line within the threshold is enough, so a group of more than ``crowded`` lines
+under one key is never compared pair by pair. Its members are compared with its first line,
+which settles near copies at once. Where at most ``crowded`` remain that no earlier line has
+settled, those are compared with all members; otherwise what the members have besides the
+shared segment, and besides a beginning and end common to all, is cut into segments again,
+and so on. Lines of one template thus part where
+they differ, and a group costs a number of comparisons in proportion to its members. Only
+lines that agree in all but ``max_edits`` characters are left in the end, as many as there
+are such characters, and compared.
+
+Repeated lines are one from the first grouping on, so a line's number of copies never
+multiplies. Lines are the same if two 64-bit hashes are; links are verified on the texts.
 
 Edge cases: blank lines are kept and never compared; lines shorter than ``min_chars`` are
 removed only as exact copies; null texts have no lines and stay null; a document without
-an id is returned as it is; rows that share an id and text are one document; an empty text
-has one blank line; line ends are "\\n" alone; other columns pass unchanged.
+an id is returned as it is; rows that share an id and text are one document; of different
+texts under one id, that of the smaller hash comes first at equal places; an empty text has
+one blank line; line ends are "\\n" alone; a very long line or text is one line or text;
+an empty table gives an empty one. Other columns pass unchanged, whatever their names, but
+for input columns named n_lines or n_removed, which the results replace.
 """
 
 from __future__ import annotations
 
-import itertools
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,79 +48,55 @@ def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
     return start, base + (longer > parts - number).cast("int")
 
 
-def signatures(line: Column, length: Column, max_edits: int) -> Column:
-    """Array of (key, probe): the keys that a line is found under, and those that it looks under."""
+def _cuts(max_edits: int) -> list[tuple[int, int, int]]:
+    """(number, less, shift) of all substrings that a line looks for: in a line shorter by ``less``, a segment moved by
+    ``shift``. The first max_edits + 1 are the line's own segments, which it is also found by."""
     parts = max_edits + 1
-    out = []
-    for number in range(1, parts + 1):
-        start, size = _segment(length, number, parts)
-        key = F.xxhash64(length, F.lit(number), F.substring(line, start, size))
-        out.append(F.struct(key.alias("key"), F.lit(False).alias("probe")))
-    for less in range(max_edits + 1):
+    own = [(number, 0, 0) for number in range(1, parts + 1)]
+    asked = []
+    for less in range(parts):
         for number in range(1, parts + 1):
-            start, size = _segment(length - less, number, parts)
             low = max(1 - number, less - (parts - number))
             high = min(number - 1, less + parts - number)
-            for shift in range(low, high + 1):
-                at = start + shift
-                key = F.xxhash64(length - less, F.lit(number), F.substring(line, at, size))
-                inside = (at >= 1) & (at + size - 1 <= length)
-                out.append(F.struct(F.when(inside, key).alias("key"), F.lit(True).alias("probe")))
-    return F.array(*out)
-
-
-def _moves(max_edits: int, pieces: int) -> list[dict]:
-    """What each key of :func:`fine_keys` takes: runs of pieces a to b, moved by s characters."""
-    out = []
-    for number, omitted in enumerate(itertools.combinations(range(pieces), max_edits)):
-        runs = [(a + 1, b) for a, b in itertools.pairwise([-1, *omitted, pieces])]
-        out.append((number, 0, False, [0] * len(runs), runs))
-        for less in range(max_edits + 1):
-            shifts = []
-            for before, (a, b) in enumerate(runs):
-                after = max_edits - before
-                within = range(max(-before, less - after), min(before, less + after) + 1)
-                shifts.append(within if a < b else (0,))
-            out += [(number, less, True, moved, runs) for moved in itertools.product(*shifts)]
-    return [
-        {"number": number, "less": less, "probe": probe}
-        | {f"{c}{i}": v for i, (run, by) in enumerate(zip(runs, moved, strict=True)) for c, v in zip("abs", (*run, by), strict=True)}
-        for number, less, probe, moved, runs in out
-    ]
-
-
-def fine_keys(lines: DataFrame, max_edits: int, pieces: int = 16) -> DataFrame:
-    """Keys as of :func:`signatures` that fix nearly the whole line: h1, key, probe.
-
-    Edits touch at most ``max_edits`` of its pieces, so a key takes all but so many. Pieces
-    before the first omitted one are in place, those behind the last are moved by the
-    difference in length, and those between by what the edits on either side allow. The moves
-    are a literal that is exploded, as an expression for each would take minutes to plan.
-    """
-    moves = _moves(max_edits, pieces)
-    fields = ",".join(f"{c}:{'boolean' if c == 'probe' else 'int'}" for c in moves[0])
-    table = F.from_json(F.lit(json.dumps(moves)), f"array<struct<{fields}>>")
-    each = lines.select("h1", "line", "length", F.inline(table))
-    length = F.col("length") - F.col("less")
+            asked += [(number, less, shift) for shift in range(low, high + 1)]
+    return own + [cut for cut in asked if cut not in own]
+
+
+def _placed(text: Column, length: Column, cut: tuple[int, int, int], max_edits: int):
+    """Length of the line looked for, the substring of a cut, what the text has besides, and whether the cut lies inside."""
+    number, less, shift = cut
+    start, size = _segment(length - less, number, max_edits + 1)
+    at = start + shift
+    rest = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + size, length))
+    return length - less, F.substring(text, at, size), rest, (at >= 1) & (at + size - 1 <= length)
 
-    def cut(i: Column) -> Column:
-        return ((length * i - length * i % pieces) / pieces).cast("int")
 
-    texts, inside = [], F.lit(True)
-    for i in range(max_edits + 1):
-        a, b = F.col(f"a{i}"), F.col(f"b{i}")
-        at, size = cut(a) + 1 + F.col(f"s{i}"), cut(b) - cut(a)
-        texts.append(F.substring("line", at, size))
-        inside &= (at >= 1) & (at + size - 1 <= F.col("length"))
-    key = F.xxhash64(length, F.col("number"), *texts)
-    return each.filter(inside).select("h1", key.alias("key"), "probe").distinct()
+def signatures(line: Column, length: Column, max_edits: int) -> Column:
+    """Keys that a line looks under, in the order of :func:`_cuts`; it is found under the first max_edits + 1."""
+    keys = []
+    for cut in _cuts(max_edits):
+        of, piece, _, inside = _placed(line, length, cut, max_edits)
+        keys.append(F.when(inside, F.xxhash64(of, F.lit(cut[0]), piece)))
+    return F.array(*keys)
+
 
+def _members(rows: DataFrame, max_edits: int, level: int) -> DataFrame:
+    """Rows (first, line, found, rest[, key, less]) under the keys of their rests' segments.
 
-def _met(keys: DataFrame) -> DataFrame:
-    """Pairs of lines of which one looks under a key of the other."""
-    found = keys.filter("NOT probe").select("key", F.col("h1").alias("a"))
-    asked = keys.filter("probe").select("key", F.col("h1").alias("b"))
-    return found.join(asked, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    ``found`` says whether a row is found under its key or only looks there, for a line shorter by ``less``.
+    """
+    length = F.length("rest")
+    made = []
+    for i, cut in enumerate(_cuts(max_edits)):
+        of, piece, rest, inside = _placed(F.col("rest"), length, cut, max_edits)
+        terms = (of, F.lit(cut[0]), piece)
+        if level:
+            inside &= F.col("less") == cut[1]
+            terms += (F.col("key"),)
+        found = F.col("found") if i <= max_edits else F.lit(False)
+        row = F.struct(F.xxhash64(*terms).alias("key"), found.alias("found"), F.lit(cut[1]).alias("less"), rest.alias("rest"))
+        made.append(F.when(inside, row))
+    return rows.select("first", "line", F.explode(F.array(*made)).alias("m")).filter("m IS NOT NULL").select("first", "line", "m.*")
 
 
 def within_edits(a: Column, b: Column, max_edits: int) -> Column:
@@ -162,46 +148,91 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, key="doc_id", text="text", max_edits: int = 1, min_chars: int = 16,
-                   crowded: int = 16) -> DataFrame:
-    """Lines to remove: doc, mark, pos.
+def _later(members: DataFrame, others: DataFrame, max_edits: int) -> DataFrame:
+    """The later lines (first) of pairs within the threshold that meet under one key.
+
+    The distance is part of the join's condition: pairs that fail it are no rows.
+    """
+    a = members.select("key", F.col("first").alias("a"), F.col("found").alias("fa"), F.col("rest").alias("x"), F.col("line").alias("la"))
+    b = others.select(F.col("key").alias("k"), F.col("first").alias("b"), F.col("found").alias("fb"), F.col("rest").alias("y"), F.col("line").alias("lb"))
+    near = within_edits(F.col("x"), F.col("y"), max_edits) & within_edits(F.col("la"), F.col("lb"), max_edits)
+    pairs = a.join(b, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & (F.col("fa") | F.col("fb")) & near)
+    return pairs.select(F.greatest("a", "b").alias("first")).distinct()
+
+
+def _common(x: Column, y: Column) -> Column:
+    """Number of characters that two strings begin with alike."""
+    alike = F.zip_with(F.split(x, ""), F.split(y, ""), lambda a, b: a.eqNullSafe(b))
+    differs = F.array_position(alike, F.lit(False)).cast("int")
+    return F.when(differs > 0, differs - 1).otherwise(F.length(x))
 
-    Lines that meet more than ``crowded`` others' under one key meet again under keys that fix
-    nearly the whole line, so one segment shared by many different lines makes few pairs.
+
+def _stripped(members: DataFrame) -> DataFrame:
+    """Members without the beginning and end that all rests of their group share: distances stay as they are.
+
+    The least and the greatest string of a group share what all of them do.
     """
+    back = F.reverse("rest")
+    ends = members.groupBy("key").agg(
+        F.min("rest").alias("a"), F.max("rest").alias("z"), F.min(back).alias("ra"), F.max(back).alias("rz"), F.min(F.length("rest")).alias("least"),
+    )
+    ends = ends.select("key", _common(F.col("a"), F.col("z")).alias("p"), _common(F.col("ra"), F.col("rz")).alias("q"), "least")
+    ends = ends.withColumn("q", F.least(F.col("q"), F.col("least") - F.col("p"))).drop("least")
+    kept = F.substring("rest", F.col("p") + 1, F.length("rest") - F.col("p") - F.col("q"))
+    return members.join(ends, "key").withColumn("rest", kept).drop("p", "q")
+
+
+def near_lines(members: DataFrame, max_edits: int, crowded: int, scratch: Scratch) -> DataFrame | None:
+    """Lines (first) of ``members`` that are within the threshold of an earlier one."""
+    later, level = None, 0
+    while True:
+        groups = members.groupBy("key").agg(
+            F.count("*").alias("n"), F.min("first").alias("lo"), F.max("first").alias("hi"), F.max(F.length("rest") - F.col("less")).alias("left"),
+            F.min(F.when(F.col("found"), F.struct("first", "rest", "line"))).alias("pivot"),
+        )
+        groups = scratch.write(groups.filter("lo < hi AND pivot IS NOT NULL").drop("lo", "hi"))
+        members = scratch.write(members.join(groups.select("key", "n", "left"), "key"))
+        few, many = members.filter(f"n <= {crowded}"), members.filter(f"n > {crowded}")
+        pivots = groups.filter(f"n > {crowded}").select("key", F.lit(True).alias("found"), "pivot.*")
+        settled = _later(few.filter("found"), few, max_edits).unionByName(_later(pivots, many, max_edits)).distinct()
+        settled = scratch.write(settled if later is None else settled.join(later, "first", "left_anti"))
+        later = settled if later is None else later.unionByName(settled)
+        open_rows = scratch.write(many.join(later, "first", "left_anti"))
+        if open_rows.isEmpty():
+            return later
+        # Few lines that nothing has settled, or hardly any text left: against all members. Else on to the next level.
+        sizes = scratch.write(open_rows.groupBy("key").agg((
+            (F.count("*") <= crowded) | (F.max("left") <= max_edits)).alias("closing")))
+        ends = sizes.filter("closing").select("key")
+        settled = scratch.write(_later(open_rows.join(ends, "key", "left_semi"), many, max_edits).join(later, "first", "left_anti"))
+        later = later.unionByName(settled)
+        wide = _stripped(many.join(sizes.filter("NOT closing").select("key"), "key", "left_semi"))
+        level += 1
+        members = scratch.write(_members(wide, max_edits, level))
+        if members.isEmpty():
+            return later
+
+
+def repeated_lines(docs: DataFrame, scratch: Scratch, key="doc_id", text="text", max_edits: int = 1, min_chars: int = 16,
+                   crowded: int = 16) -> DataFrame:
+    """Lines to remove: doc, mark, pos. Groups of up to ``crowded`` lines under one key are compared pair by pair."""
     lines = _lines(docs, key, text)
-    at = F.struct("doc", "pos")
-    places = scratch.write(lines.select("doc", "mark", "pos", "h1", "h2"))
-    firsts = scratch.write(places.groupBy("h1", "h2").agg(F.min(at).alias("first")))
     length = F.length("line")
-    fit = lines.withColumn("length", length).filter(F.col("length") >= max(min_chars, max_edits + 1))
-
-    keys = fit.select("h1", F.explode(signatures(F.col("line"), F.col("length"), max_edits)).alias("s"))
-    keys = scratch.write(keys.select("h1", "s.key", "s.probe").filter("key IS NOT NULL").distinct())
-    full = scratch.write(keys.groupBy("key").count().filter(F.col("count") > crowded).select("key"))
-    again = scratch.write(keys.join(full, "key", "left_semi").select("h1").distinct())
-    fine = scratch.write(fine_keys(fit.join(again, "h1", "left_semi"), max_edits))
-    pairs = _met(keys.join(full, "key", "left_anti")).unionByName(_met(fine))
-    pairs = scratch.write(pairs.distinct())
-    scratch.drop(keys, fine)
-    wanted = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
-    texts = scratch.write(lines.join(wanted, "h1", "left_semi").select("h1", "h2", "line").dropDuplicates(["h1", "h2"]))
-    one = texts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("x"))
-    two = texts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("y"))
-    near = pairs.join(one, "a").join(two, "b").filter(within_edits(F.col("x"), F.col("y"), max_edits))
-    near = scratch.write(near.select("a", "a2", "b", "b2"))
-    first = lambda n: firsts.select(F.col("h1").alias(n), F.col("h2").alias(n + "2"), F.col("first").alias(n + "f"))
-    ranked = near.join(first("a"), ["a", "a2"]).join(first("b"), ["b", "b2"])
-    later = scratch.write(
-        ranked.filter("af <> bf").select(
-            F.when(F.col("af") < F.col("bf"), F.col("b")).otherwise(F.col("a")).alias("h1"),
-            F.when(F.col("af") < F.col("bf"), F.col("b2")).otherwise(F.col("a2")).alias("h2"),
-        ).distinct().withColumn("near", F.lit(True))
-    )
-    marked = scratch.write(firsts.join(later, ["h1", "h2"], "left"))
-    gone = places.join(marked, ["h1", "h2"]).filter(
-        F.coalesce("near", F.lit(False)) | (F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos"))
-    )
+    keys = F.when(length >= max(min_chars, max_edits + 1), signatures(F.col("line"), length, max_edits))
+    places = scratch.write(lines.select("doc", "mark", "pos", "h1", "h2", keys.alias("keys")), codec="snappy")
+    at = F.struct("doc", "pos", "mark")
+    firsts = scratch.write(places.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n")))
+
+    held = places.select("h1", F.posexplode("keys").alias("i", "key")).filter("key IS NOT NULL")
+    met = held.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("i").alias("i"))
+    met = scratch.write(met.filter(f"lo < hi AND i <= {max_edits}").select("key"))
+    wanted = scratch.write(held.join(met, "key", "left_semi").select("h1").distinct())
+    texts = lines.join(wanted, "h1", "left_semi").select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
+    texts = texts.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).select("first", "line", F.col("line").alias("rest"), F.lit(True).alias("found"))
+    members = scratch.write(_members(texts, max_edits, 0).join(met, "key", "left_semi"))
+    near = near_lines(members, max_edits, crowded, scratch).withColumn("near", F.lit(True))
+    marked = firsts.join(near, "first", "left").filter("n > 1 OR near")
+    gone = places.drop("keys").join(scratch.write(marked), ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (at != F.col("first")))
     return gone.select("doc", "mark", "pos")
 
 
@@ -209,19 +240,18 @@ def dedup_lines(docs: DataFrame, key="doc_id", text="text", **options) -> DataFr
     """``docs`` with its lines deduplicated, and n_lines, n_removed."""
     scratch = Scratch(docs.sparkSession, "lines")
     gone = repeated_lines(docs, scratch, key, text, **options)
-    gone = gone.groupBy("doc", "mark").agg(F.array_distinct(F.collect_list("pos")).alias("__gone"))
-    gone = scratch.write(gone).withColumnsRenamed({"doc": "__doc", "mark": "__mark"})
-    on = (docs[key].cast("long") == F.col("__doc")) & (F.xxhash64(docs[text]) == F.col("__mark"))
-    rows = docs.join(gone, on, "left")
-    lines = F.split(docs[text], "\n")
+    gone = scratch.write(gone.groupBy("doc", "mark").agg(F.collect_set("pos").alias("gone")))
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    old, names = F.col("row").getField(text), [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    on = (F.col("row").getField(key).cast("long") == F.col("doc")) & (F.xxhash64(old) == F.col("mark"))
+    lines = F.split(old, "\n")
     # Bits of removed places would need as many as lines: places are looked up in a map instead.
-    dropped = F.map_from_arrays(F.col("__gone"), F.transform("__gone", lambda _: F.lit(True)))
-    kept = F.when(F.col("__gone").isNull(), docs[text]).otherwise(
+    dropped = F.map_from_arrays(F.col("gone"), F.transform("gone", lambda _: F.lit(True)))
+    kept = F.when(F.col("gone").isNull(), old).otherwise(
         F.array_join(F.filter(lines, lambda _, i: F.element_at(dropped, i).isNull()), "\n")
     )
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return rows.select(
-        *[kept.alias(c) if c == text else docs[f"`{c}`"] for c in names],
+    return own.join(gone, on, "left").select(
+        *[(kept if c == text else F.col("row").getField(c)).alias(c) for c in names],
         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
     )

@@ -74,3 +74,38 @@ def test_crowded_lines_two_edits_apart(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in dedup_lines(docs, max_edits=2, crowded=0).collect()}
     assert got == {i: int(any(edits(t, s) <= 2 for s in texts[:i])) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_lines_of_one_template_cost_rows_in_proportion(spark, monkeypatch, k):
+    """Lines that differ in a number alone part by its digits; none is compared with all others."""
+    written, write = [], Scratch.write
+
+    def counted(self, frame, *args, **options):
+        out = write(self, frame, *args, **options)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    cost = []
+    for n in (100, 400):
+        written.clear()
+        numbers = [f"{i * 7919 % 1000003:07d}" for i in range(n)]
+        lines = [f"This is the license line and the record number {x} of the archive run" for x in numbers]
+        got = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), max_edits=k).collect()}
+        assert got == {i: int(any(edits(t, s) <= k for s in numbers[:i])) for i, t in enumerate(numbers)}
+        cost.append(sum(written))
+    assert cost[1] < 6 * cost[0]
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    rows = [(1, "the same line of text\nanother", "a", "b", 5, "c"), (2, "the same line of text", "a", "b", 5, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, row string, n_removed int, `a.b` string")
+    got = dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "gone", "row", "a.b", "n_lines", "n_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, rows[0][1], "a", "b", "c", 2, 0), (2, "", "a", "b", "c", 1, 1)]
+
+
+def test_texts_of_one_id_keep_one_of_a_shared_line(spark):
+    docs = spark.createDataFrame([(1, "a line of some length\nx"), (1, "a line of some length\ny")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in dedup_lines(docs).collect()) == [0, 1]
