@@ -11,9 +11,12 @@ errors short lose it with about 2e-7.
 Comparing means: pairs whose sketches allow the threshold are proposed, and each is
 confirmed on the full sets. As components are asked for, a node first proposes a spanning
 forest over the components so far, then more, in the end every pair between different
-components; a node within one component is done. A large node is cut into blocks that all
-hold its smallest member, so that thousands of near copies join at once. After the last
-level its blocks are compared with one another, so no node's size is capped.
+components; a node within one component is done. One tree goes ahead of the others, so that
+they only meet what it has left apart. A large node is cut into blocks that all hold its
+smallest member, so that thousands of near copies join at once. What then lies outside its
+largest component is compared with all members, chunk by chunk, wherever that takes fewer
+copies of a member than branching on would, and after the last level always, so no node's
+size is capped.
 
 Equal sets are one class from the start. Sets are never gathered beyond a block.
 
@@ -255,11 +258,12 @@ def _full_sets(size: int):
 
 
 def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, percent: int = 80, trees: int = 8,
-                    node: int = 64, levels: int = 8) -> DataFrame:
+                    node: int = 64, levels: int = 8, chunk: int = 512) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
     ``size`` words a shingle; sets link if 100 * intersection >= ``percent`` * union. Nodes up
-    to ``node`` sets are compared at once, larger ones branch for ``levels`` levels.
+    to ``node`` sets are compared at once, larger ones branch for ``levels`` levels or are
+    finished by comparing chunks of ``chunk`` sets.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "setjoin")
@@ -284,9 +288,17 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
         texts.mapInArrow(_full_sets(size), "n_shingles long, k1 long, k2 long, shingles binary")
         .join(wanted.drop("first_id"), same).dropDuplicates(same).select("rep", "shingles")
     )
-    comps = tested = waiting = closing = None
-    for level in range(levels + 4):
-        last = level >= levels
+    # One tree first: nearly all links show in it, and the other trees' nodes within one component are done.
+    ahead = _alive(_crowded(reps.mapInArrow(_roots(1), "key long, rep long")), None, reps, scratch)
+    rows_ahead = ahead.filter(f"n <= {node}").withColumn("block", F.lit(0)).unionByName(_blocks(ahead.filter(f"n > {node}"), node))
+    tested = _pairs(rows_ahead, _propose(least, 1)).filter("a IS NOT NULL").select("a", "b").distinct()
+    tested = scratch.write(tested)
+    confirmed = scratch.write(_verified(tested, full, percent, scratch))
+    comps = None if confirmed.isEmpty() else scratch.write(components(confirmed, scratch))
+    scratch.drop(ahead)
+    waiting, closing = None, []
+    level = 0
+    while True:
         found, big_left, small, done = [], None, [], []
         if nodes is not None:
             alive = _alive(nodes, comps, reps, scratch)
@@ -294,19 +306,20 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
             few, big_left = alive.filter(f"n <= {node}"), alive.filter(f"n > {node}")
             small.append(few)
             found.append(_pairs(few.withColumn("block", F.lit(0)), _propose(least, 1)))
-            if last:
-                found.append(_pairs(_block_pairs(big_left, node), _propose(least, 0)))
-            else:
-                found.append(_pairs(_blocks(big_left, node), _propose(least, 1)))
+            found.append(_pairs(_blocks(big_left, node), _propose(least, 1)))
         if waiting is not None:
             old, layers = waiting
             old = _alive(old, comps, reps, scratch)
             done.append(old)
             small.append(old)
             found.append(_pairs(old.withColumn("block", F.lit(0)), _propose(least, layers)))
-        if closing is not None:
-            found.append(_pairs(_against_all(closing, node), _propose(least, 0)))
-            done.append(closing)
+        left_over = []
+        for held, layers in closing:
+            held = scratch.write(_ranked(_alive(held, comps, reps, scratch), scratch))
+            found.append(_pairs(_against_all(held, chunk), _propose(least, layers)))
+            done.append(held)
+            if layers:
+                left_over.append((held.select("key", "rep", "n"), 6 if layers == 1 else 0))
         proposed = scratch.write(functools.reduce(DataFrame.unionByName, found))
         pairs = proposed.filter("a IS NOT NULL").select("a", "b").distinct()
         if tested is not None:
@@ -319,26 +332,31 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
             again = scratch.write(rest.join(unfinished, "key", "left_semi"))
         confirmed = scratch.write(_verified(pairs, full, percent, scratch))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if comps is None or not confirmed.isEmpty():
-            links = confirmed
-            if comps is not None:  # stars of the components so far stand for their links
-                links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            comps = scratch.write(components(links, scratch))
-        nodes = closing = None
-        if big_left is not None and not last:
-            # Only what still holds several components goes on. If few members lie outside the
-            # largest one, comparing them with all members finishes the node.
-            left = _alive(big_left.select("key", "rep", "n"), comps, reps, scratch)
+        if not confirmed.isEmpty():
+            comps = scratch.write(_merged(comps, confirmed, scratch))
+        nodes, closing = None, []
+        # Nodes within one component are done, and those that left out no pair; the others meet again with more of their pairs.
+        for held, layers in left_over:
+            held = scratch.write(_mixed(held.join(unfinished, "key", "left_semi"), comps))
+            if not held.isEmpty():
+                closing.append((held, layers))
+        if big_left is not None:
+            # A member is copied 2 * others / chunk times to finish the node, and twice a level to branch on.
+            left = scratch.write(_mixed(big_left.select("key", "rep", "n"), comps))
             done.append(left)
-            members = _ranked(left, scratch)
-            closing = members.filter(f"others <= {node}")
-            wide = members.filter(f"others > {node}").select("key", "rep", "sketch")
+            most = chunk << max(levels - level - 1, 0)
+            members = scratch.write(_ranked(_named(left, comps), scratch).select("key", "rep", "n", "others"))
+            ending = "true" if level >= levels else f"others <= {most}"
+            ends = scratch.write(members.filter(ending).select("key", "rep", "n"))
+            if not ends.isEmpty():
+                closing.append((ends, 1))
+            wide = members.filter(f"NOT ({ending})").join(reps, "rep").select("key", "rep", "sketch")
             nodes = scratch.write(_crowded(wide.mapInArrow(_children, "key long, rep long")))
             nodes = None if nodes.isEmpty() else nodes
-            closing = None if closing.isEmpty() else scratch.write(closing)
         scratch.drop(*done)
         waiting = None if again is None or again.isEmpty() else (again, 6 if waiting is None else 0)
-        if nodes is None and waiting is None and closing is None:
+        level += 1
+        if nodes is None and waiting is None and not closing:
             break
     described = classes.select(*same, "rep", "first_id")
     comps = _with_ids(sets, described, comps, same, scratch)
@@ -377,17 +395,38 @@ def _crowded(nodes: DataFrame) -> DataFrame:
     return nodes.join(sizes, "key")
 
 
+def _named(members: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Members (key, rep, n) of nodes with their component."""
+    if comps is None:
+        return members.withColumn("comp", F.col("rep"))
+    named = comps.select(F.col("node").alias("rep"), "component")
+    return members.join(named, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+
+
+def _mixed(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Members (key, rep, n) of nodes that hold more than one component."""
+    if comps is None:
+        return nodes.select("key", "rep", "n")
+    mixed = _named(nodes, comps).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return nodes.join(mixed.select("key"), "key", "left_semi").select("key", "rep", "n")
+
+
 def _alive(nodes: DataFrame, comps: DataFrame | None, reps: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of nodes that hold more than one component, with their component and sketch."""
+    return scratch.write(_named(_mixed(nodes, comps), comps).join(reps, "rep").select("key", "rep", "n", "comp", "sketch"))
+
+
+def _merged(comps: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after further links: only what the links touch is worked out again."""
     if comps is None:
-        members = nodes.withColumn("comp", F.col("rep"))
-    else:
-        named = comps.select(F.col("node").alias("rep"), "component")
-        members = nodes.join(named, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        members = scratch.write(members)
-        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        members = members.join(mixed.select("key"), "key", "left_semi")
-    return scratch.write(members.join(reps, "rep").select("key", "rep", "n", "comp", "sketch"))
+        return components(links, scratch)
+    for end in ("a", "b"):
+        named = comps.select(F.col("node").alias(end), "component")
+        links = links.join(named, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    touched = scratch.write(components(links.filter("a <> b"), scratch))
+    moved = touched.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    old = comps.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return old.unionByName(touched.join(comps, "node", "left_anti"))
 
 
 def _pairs(members: DataFrame, propose) -> DataFrame:
@@ -415,21 +454,17 @@ def _ranked(members: DataFrame, scratch: Scratch) -> DataFrame:
     return named.withColumn("other", F.col("comp") != F.col("largest")).drop("largest")
 
 
-def _against_all(members: DataFrame, node: int) -> DataFrame:
-    """Members of large nodes cut into blocks, with those outside the largest component in each of them."""
-    count = F.ceil(F.col("n") / node).cast("int")
-    most = members.filter("NOT other").withColumn("block", F.pmod(F.xxhash64("rep"), count).cast("int"))
-    few = members.filter("other").withColumn("block", F.explode(F.sequence(F.lit(0), count - 1)))
-    return most.unionByName(few)
-
-
-def _block_pairs(big: DataFrame, node: int) -> DataFrame:
-    """Every pair of blocks of a large node, as one group each."""
-    count = F.ceil(F.col("n") / node).cast("int")
-    own = F.pmod(F.xxhash64("rep"), count).cast("int")
-    dealt = big.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    # Long: products of block numbers pass 32 bits in nodes of some 137,000 members.
-    return dealt.withColumn("block", F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other"))
+def _against_all(members: DataFrame, chunk: int) -> DataFrame:
+    """Every chunk of members outside the largest component with every chunk of all members, as one group each."""
+    rows = F.ceil(F.col("others") / chunk).cast("int")
+    columns = F.ceil(F.col("n") / chunk).cast("int")
+    every = members.select("*", F.pmod(F.xxhash64("rep"), columns).alias("j"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"))
+    few = members.filter("other").select(
+        "*", F.pmod(F.xxhash64(F.lit(1), "rep"), rows).alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j")
+    )
+    # Long: products of chunk numbers may pass 32 bits.
+    block = (F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("block")
+    return every.select("key", "rep", "comp", "sketch", block).unionByName(few.select("key", "rep", "comp", "sketch", block))
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch, most: int = 63) -> DataFrame:

@@ -18,7 +18,7 @@ from pathledger.llm.lines import dedup_lines, within_edits
 from pathledger.llm.mixing import mix_sources, mixing_plan
 from pathledger.llm.packing import WordTokens, pack_documents, packing_plan
 from pathledger.llm.queries import tokenizer_path
-from pathledger.llm.setjoin import _block_pairs, drop_near_duplicates, near_duplicates
+from pathledger.llm.setjoin import _against_all, drop_near_duplicates, near_duplicates
 from pathledger.llm.substring import remove_repeated
 from pathledger.llm.text import text_bytes, word_hashes, word_spans
 from pathledger.llm.toxicity import fit_toxicity, score_toxicity, train
@@ -290,8 +290,8 @@ def test_line_dedup(spark, k, crowded):
 # -- sets --------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("node, levels", [(64, 8), (4, 3), (3, 0)])
-def test_set_join(spark, node, levels):
+@pytest.mark.parametrize("node, levels, chunk", [(64, 8, 512), (4, 3, 512), (4, 3, 2), (3, 0, 512), (3, 0, 5)])
+def test_set_join(spark, node, levels, chunk):
     rnd = random.Random(7)
     texts = []
     for _ in range(6):
@@ -302,7 +302,7 @@ def test_set_join(spark, node, levels):
                 own[rnd.randrange(60)] = "zz"
             texts.append(" ".join(own).upper() if rnd.random() < 0.3 else " ".join(own))
     texts += ["one two", "ONE  two", "one", None, "", made_up(rnd, 4)]
-    got = by_id(near_duplicates(frame(spark, texts), size=4, node=node, levels=levels))
+    got = by_id(near_duplicates(frame(spark, texts), size=4, node=node, levels=levels, chunk=chunk))
     sets = []
     for t in texts:
         w = words(lower(t))
@@ -321,11 +321,14 @@ def test_set_join(spark, node, levels):
 
 def test_blocks_of_very_large_nodes(spark):
     """From 2,148 blocks on their pairs' numbers pass 32 bits."""
-    rows = spark.range(50).selectExpr("id AS rep", "200000 AS n")
-    rows = _block_pairs(rows, 64).select("rep", "own", "other", "block").collect()
-    pairs = {(min(r.own, r.other), max(r.own, r.other)): r.block for r in rows}
-    assert len(rows) == 50 * 3125 and all(pairs[min(r.own, r.other), max(r.own, r.other)] == r.block for r in rows)
-    assert len(set(pairs.values())) == len(pairs)
+    rows = spark.range(50).selectExpr("0L AS key", "id AS rep", "200000 AS n", "40 + 3000 AS others", "id < 40 AS other", "id AS comp", "id AS sketch")
+    blocks = {}
+    for r in _against_all(rows, 64).select("rep", "block").collect():
+        blocks.setdefault(r.rep, set()).add(r.block)
+    # Every member outside the largest component meets every other one in some block.
+    assert all(blocks[a] & blocks[b] for a in range(40) for b in range(50))
+    assert max(max(b) for b in blocks.values()) > 1 << 32
+    assert {len(blocks[b]) for b in range(40, 50)} == {48} and max(len(b) for b in blocks.values()) <= 48 + 3125
 
 
 def test_mixing_meets_targets(spark):
