@@ -14,9 +14,9 @@ forest over the components so far, then more, in the end every pair between diff
 components; a node within one component is done. One tree goes ahead of the others, so that
 they only meet what it has left apart. A large node is cut into blocks that all hold its
 smallest member, so that thousands of near copies join at once. What then lies outside its
-largest component is compared with all members, chunk by chunk, wherever that takes fewer
-copies of a member than branching on would, and after the last level always, so no node's
-size is capped.
+largest component is compared with all members, chunk by chunk, once it is few sets (twice
+as many at each level, as those that stay together are alike), and after the last level
+always, so no node's size is capped.
 
 Equal sets are one class from the start. Sets are never gathered beyond a block.
 
@@ -341,10 +341,10 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
             if not held.isEmpty():
                 closing.append((held, layers))
         if big_left is not None:
-            # A member is copied 2 * others / chunk times to finish the node, and twice a level to branch on.
+            # Sets that share a passage part at the next levels; those that stay together through many are near copies.
             left = scratch.write(_mixed(big_left.select("key", "rep", "n"), comps))
             done.append(left)
-            most = chunk << max(levels - level - 1, 0)
+            most = node << level
             members = scratch.write(_ranked(_named(left, comps), scratch).select("key", "rep", "n", "others"))
             ending = "true" if level >= levels else f"others <= {most}"
             ends = scratch.write(members.filter(ending).select("key", "rep", "n"))
