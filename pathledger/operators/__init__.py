@@ -10,6 +10,7 @@ from .diff import (
     restored_entries,
     snapshot_diff,
 )
+from .rollup import directory_totals, rolled_directories, rolled_nodes, rolled_stats, signed_totals
 from .search import find, with_status
 from .stats import catalog_stats, count_files, dry_run_counts, total_size
 from .tree import tree_lines, tree_nodes
@@ -25,9 +26,10 @@ from .views import files_view, files_view_base_only, files_view_selective
 
 __all__ = [
     "added_entries", "archive_locations", "catalog_stats", "change_counts", "count_files",
-    "deltas_after_base", "dry_run_counts", "files_view", "files_view_base_only",
+    "deltas_after_base", "directory_totals", "dry_run_counts", "files_view", "files_view_base_only",
     "files_view_selective", "find", "latest_base", "list_directories", "list_directory",
     "live_snapshots", "merge_on_read", "modified_entries", "purge_dates", "removed_entries",
-    "replay", "restore_manifest", "restored_entries", "snapshot_diff", "snapshot_summary",
+    "replay", "restore_manifest", "restored_entries", "rolled_directories", "rolled_nodes",
+    "rolled_stats", "signed_totals", "snapshot_diff", "snapshot_summary",
     "total_size", "tree_lines", "tree_nodes", "with_status",
 ]

@@ -15,6 +15,7 @@ from ..sources.log import (
     TIMESTAMP, LiveLog, LogStore, Snapshot, as_snapshot, commit_rows, new_write, sort_key, split_live, timestamp_now,
 )
 from ..sources.storage import partition_dir
+from ..sources.sums import DirectorySums
 
 # Snapshots that one copying job reads.
 ARCHIVED_AT_ONCE = 1000
@@ -189,6 +190,7 @@ def purge(store: LogStore, older_than: timedelta) -> int:
         _mark(store, [_snapshot(r) for r in doomed], "purge")
     gone = {r.write for r in doomed} - {r.write for r in kept}
     _each(store.storage.delete, [f"{store.zones_dir}/{partition_dir('write', w)}" for w in gone])
+    DirectorySums(store).drop(kept, limit)
     # Writes that began so long ago and that no commit ever named.
     known = store.commits().filter("action = 'add'").select("write").distinct()
     named = {partition_dir("write", r.write) for r in known.collect() if r.write is not None}

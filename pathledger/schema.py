@@ -93,3 +93,12 @@ ZONE_SCHEMA = T.StructType(
         T.StructField("experiment", T.StringType()),
     ]
 )
+
+# Totals of a directory: entries directly in it, removed ones included, and those on disk.
+TOTALS = ["total_count", "total_size", "on_disk_count", "on_disk_size"]
+
+# One row per snapshot and directory, see ``sources.sums``.
+SUM_SCHEMA = T.StructType(
+    [T.StructField(c, T.StringType()) for c in (*SNAPSHOT_KEY, "directory")]
+    + [T.StructField(c, T.LongType()) for c in TOTALS]
+)

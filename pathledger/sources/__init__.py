@@ -4,8 +4,9 @@ from .filesystem import ScanResult, discover_experiments, scan_roots
 from .flat import FlatLog
 from .inventory import from_table
 from .log import LogStore, Snapshot
+from .sums import DirectorySums
 
 __all__ = [
-    "FlatLog", "LogStore", "ScanResult", "Snapshot", "discover_experiments", "from_table",
-    "scan_roots",
+    "DirectorySums", "FlatLog", "LogStore", "ScanResult", "Snapshot", "discover_experiments",
+    "from_table", "scan_roots",
 ]

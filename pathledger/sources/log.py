@@ -292,7 +292,7 @@ class LogStore:
             .select(*LOG_SCHEMA.names)
         )
 
-    def read(self, snapshots: Iterable[Snapshot], zone: Zone | None = None) -> DataFrame:
+    def read(self, snapshots: Iterable[Snapshot], zone: Zone | list[Zone] | None = None) -> DataFrame:
         """Rows of the given snapshots; only their directories are listed.
 
         With a zone, files of bases that hold nothing of it are left out. Zones are asked
@@ -308,8 +308,8 @@ class LogStore:
         files = [self.zone_file(z) for z in self.zones(several, zone).collect()] if several else []
         return self._scan([self.snapshot_dir(s) for s in snapshots if s in others] + files)
 
-    def zones(self, bases: Iterable[Snapshot], zone: Zone | None = None) -> DataFrame:
-        """Files of some bases, those that can hold entries of a zone; one row per file."""
+    def zones(self, bases: Iterable[Snapshot], zone: Zone | list[Zone] | None = None) -> DataFrame:
+        """Files of some bases, those that can hold entries of a zone or any of several; one row per file."""
         wanted = sorted({(s.write, s.exp_dir) for s in bases})
         folders = sorted({f"{self.zones_dir}/{partition_dir('write', w)}" for w, _ in wanted})
         names = local_frame(self.spark, wanted, strings("write", "exp_dir"))
@@ -319,8 +319,12 @@ class LogStore:
             .parquet(*folders)
             .join(names, ["write", "exp_dir"], "left_semi")
         )
-        if zone is not None:
+        if isinstance(zone, Zone):
             known = known.filter((F.col("greatest") >= zone.low) & (F.col("least") < zone.high))
+        elif zone is not None:
+            ranges = local_frame(self.spark, [tuple(z) for z in zone], strings("low", "high"))
+            met = (F.col("greatest") >= F.col("low")) & (F.col("least") < F.col("high"))
+            known = known.join(F.broadcast(ranges), met, "left_semi")
         return known
 
     def read_written(self, write: str, snapshot_ts: str, kind: str) -> DataFrame:
@@ -351,6 +355,13 @@ class LogStore:
         The names of live snapshots come to the driver, whatever their number: the plan
         of a scan holds every file below them anyway. A state is three scans.
         """
+        zone = None if under is None else directory_zone(under, direct)
+        return self.live_of(self.live_listing(exp_dirs, under, experiment), zone)
+
+    def live_listing(
+        self, exp_dirs: Iterable[str] | None = None, under: str | None = None, experiment: str | None = None
+    ) -> list:
+        """Snapshots that :meth:`live` reads, as rows of :meth:`listed`."""
         snapshots = self.snapshots()
         if exp_dirs is not None:
             wanted = local_frame(self.spark, [(e,) for e in exp_dirs], strings("exp_dir"))
@@ -362,8 +373,7 @@ class LogStore:
             may = F.col("experiment").isNull() | (F.col("experiment") == experiment)
             holds = snapshots.filter(may).select("exp_dir").distinct()
             snapshots = snapshots.join(holds, "exp_dir", "left_semi")
-        zone = None if under is None else directory_zone(under, direct)
-        return self._live(self.listed(snapshots), zone)
+        return self.listed(snapshots)
 
     def listed(self, snapshots: DataFrame) -> list:
         """Snapshots as rows that begin with the fields of :class:`Snapshot`."""
@@ -378,7 +388,8 @@ class LogStore:
         """Whether the keys of listed deltas may be broadcast."""
         return self._fits(sum(r.key_bytes for r in deltas), sum(r.n_records for r in deltas))
 
-    def _live(self, listed, zone: Zone | None = None) -> LiveLog:
+    def live_of(self, listed, zone: Zone | list[Zone] | None = None) -> LiveLog:
+        """The live ones of listed snapshots, less the files of bases that hold nothing of the zones."""
         parts = split_live(listed)
         return LiveLog(
             *[self.read((as_snapshot(row) for row in rows), zone) for rows in parts],

@@ -325,9 +325,17 @@ STORED = {
     "catalog_tree": "tree_lines",
     "catalog_stats": "stats",
     "catalog_sql": "sql_by_experiment",
+    "summed_ls_dirs": "ls_dirs_on_disk",
+    "summed_tree": "tree_lines",
+    "summed_stats": "stats",
 }
 ORACLES |= {name: ORACLES[same] for name, same in STORED.items()}
 ORACLES |= {
+    "directory_totals": f"""{CTES}
+        SELECT experiment AS exp_dir, parent_path AS directory, COUNT(*) AS total_count,
+               CAST(SUM(size) AS BIGINT) AS total_size, COUNT(*) FILTER (WHERE on_disk) AS on_disk_count,
+               CAST(COALESCE(SUM(size) FILTER (WHERE on_disk), 0) AS BIGINT) AS on_disk_size
+        FROM files GROUP BY experiment, parent_path""",
     "checksum_files": "SELECT doc_id, sha256(text) AS checksum, strlen(text) AS size FROM documents",
     "index_tree": """
         SELECT lang AS hutch, source AS experiment, COUNT(*) AS added,

@@ -469,6 +469,34 @@ def catalog_stats(spark, sf_dir):
     return ops.catalog_stats(rel.recorded(spark, sf_dir)[0].files())
 
 
+def _summed(spark, sf_dir):
+    """The recorded catalog, its directories summed up."""
+    catalog, _ = rel.recorded(spark, sf_dir)
+    catalog.sum_directories()
+    return catalog
+
+
+@query
+def directory_totals(spark, sf_dir):
+    """Totals of every directory, added up over the signed totals of all snapshots."""
+    return _summed(spark, sf_dir).directory_totals()
+
+
+@query
+def summed_ls_dirs(spark, sf_dir):
+    return _summed(spark, sf_dir).ls_dirs(DEEP_DIRS_PATH, True)
+
+
+@query
+def summed_tree(spark, sf_dir):
+    return _summed(spark, sf_dir).tree(TREE_PATH, 2)
+
+
+@query
+def summed_stats(spark, sf_dir):
+    return _summed(spark, sf_dir).stats()
+
+
 @query
 def catalog_sql(spark, sf_dir):
     return rel.recorded(spark, sf_dir)[0].query(SQL["sql_by_experiment"])
