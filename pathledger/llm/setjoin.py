@@ -8,8 +8,10 @@ at s = 0.8 is lost by one tree with probability 1/16 at most (the fixed point of
 q = (0.2 + 0.8 q)^2), by eight independent trees with 3e-10. Sketches that fall five standard
 errors short lose it with about 2e-7.
 
-Comparing means: pairs whose sketches allow the threshold are proposed, and each is
-confirmed on the full sets. As components are asked for, a node first proposes a spanning
+Comparing means: pairs whose tags allow the threshold are proposed, and each is confirmed on
+the full sets. A tag is a sketch cut to one byte a coordinate, a quarter of its size: equal
+coordinates have equal bytes, so no pair that its sketches would propose is lost, and of unequal
+ones 1 in 256 agree by chance. Members travel with their tags; sketches are only read to branch. As components are asked for, a node first proposes a spanning
 forest over the components so far, then more, in the end every pair between different
 components; a node within one component is done. One tree goes ahead of the others, so that
 they only meet what it has left apart. A large node is cut into blocks that all hold its
@@ -102,8 +104,9 @@ def _sketched(size: int):
                     pa.array(keys[:, 0].view(np.int64)),
                     pa.array(keys[:, 1].view(np.int64)),
                     _binary([rows[i].tobytes() if i in rows else None for i in range(len(sets))]),
+                    _binary([rows[i].astype(np.uint8).tobytes() if i in rows else None for i in range(len(sets))]),
                 ],
-                names=["doc_id", "n_shingles", "k1", "k2", "sketch"],
+                names=["doc_id", "n_shingles", "k1", "k2", "sketch", "tag"],
             )
 
     return run
@@ -142,11 +145,11 @@ def _children(batches):
         yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(reps[rows])], names=["key", "rep"])
 
 
-def forests(reps: np.ndarray, group: np.ndarray, sketch: np.ndarray, least: float, layers: int):
-    """Pairs of different groups whose sketches agree on ``least`` or more, best first, and whether
+def forests(reps: np.ndarray, group: np.ndarray, tag: np.ndarray, least: float, layers: int):
+    """Pairs of different groups whose tags agree on ``least`` or more, best first, and whether
     any are left out: as many edge-disjoint spanning forests over the groups as ``layers`` says,
     all pairs if that is 0 or they are few."""
-    alike = np.stack([(sketch == row).mean(1) for row in sketch])
+    alike = np.stack([(tag == row).mean(1) for row in tag])
     i, j = np.nonzero(np.triu((alike >= least) & (group[:, None] != group[None, :]), 1))
     if not layers or len(i) <= 2 * len(reps):
         return list(zip(reps[i].tolist(), reps[j].tolist(), strict=True)), False
@@ -200,15 +203,15 @@ def _propose(least: float, layers: int):
     def run(batches):
         for table, begins in _whole_groups(batches, "key", "block"):
             key, reps, comp = (table.column(c).to_numpy() for c in ("key", "rep", "comp"))
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            tag = np.frombuffer(b"".join(table.column("tag").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             sizes = np.diff(begins)
             two = begins[:-1][sizes == 2]
-            close = (sketch[two] == sketch[two + 1]).mean(1) >= least
+            close = (tag[two] == tag[two + 1]).mean(1) >= least
             two = two[close & (comp[two] != comp[two + 1])]
             out = [(a, b, None) for a, b in zip(reps[two].tolist(), reps[two + 1].tolist(), strict=True)]
             for lo, hi in zip(begins[:-1][sizes > 2], begins[1:][sizes > 2], strict=True):
                 own, first = np.unique(reps[lo:hi], return_index=True)
-                pairs, more = forests(own, comp[lo:hi][first], sketch[lo:hi][first], least, layers)
+                pairs, more = forests(own, comp[lo:hi][first], tag[lo:hi][first], least, layers)
                 out += [(a, b, None) for a, b in pairs]
                 if more:
                     out.append((None, None, int(key[lo])))
@@ -269,16 +272,16 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
     scratch = Scratch(spark, "setjoin")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = scratch.write(
-        rows.mapInArrow(_sketched(size), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
+        rows.mapInArrow(_sketched(size), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary, tag binary")
     )
     same = ["n_shingles", "k1", "k2"]
     classes = scratch.write(
         sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same)
-        .agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("tag").alias("tag"))
         # A number of its own, fixed by the write: one id may stand for several sets.
         .withColumn("rep", F.monotonically_increasing_id())
     )
-    reps = classes.select("rep", "sketch")
+    reps, tags = classes.select("rep", "sketch"), classes.select("rep", "tag")
     least = percent / 100 - SHARE
     nodes = scratch.write(_crowded(reps.mapInArrow(_roots(trees), "key long, rep long")))
     suspects = nodes.select("rep").distinct()
@@ -289,7 +292,7 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
         .join(wanted.drop("first_id"), same).dropDuplicates(same).select("rep", "shingles")
     )
     # One tree first: nearly all links show in it, and the other trees' nodes within one component are done.
-    ahead = _alive(_crowded(reps.mapInArrow(_roots(1), "key long, rep long")), None, reps, scratch)
+    ahead = _alive(_crowded(reps.mapInArrow(_roots(1), "key long, rep long")), None, tags, scratch)
     rows_ahead = ahead.filter(f"n <= {node}").withColumn("block", F.lit(0)).unionByName(_blocks(ahead.filter(f"n > {node}"), node))
     tested = _pairs(rows_ahead, _propose(least, 1)).filter("a IS NOT NULL").select("a", "b").distinct()
     tested = scratch.write(tested)
@@ -301,7 +304,7 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
     while True:
         found, big_left, small, done = [], None, [], []
         if nodes is not None:
-            alive = _alive(nodes, comps, reps, scratch)
+            alive = _alive(nodes, comps, tags, scratch)
             done.append(alive)
             few, big_left = alive.filter(f"n <= {node}"), alive.filter(f"n > {node}")
             small.append(few)
@@ -309,13 +312,13 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
             found.append(_pairs(_blocks(big_left, node), _propose(least, 1)))
         if waiting is not None:
             old, layers = waiting
-            old = _alive(old, comps, reps, scratch)
+            old = _alive(old, comps, tags, scratch)
             done.append(old)
             small.append(old)
             found.append(_pairs(old.withColumn("block", F.lit(0)), _propose(least, layers)))
         left_over = []
         for held, layers in closing:
-            held = scratch.write(_ranked(_alive(held, comps, reps, scratch), scratch))
+            held = scratch.write(_ranked(_alive(held, comps, tags, scratch), scratch))
             found.append(_pairs(_against_all(held, chunk), _propose(least, layers)))
             done.append(held)
             if layers:
@@ -411,9 +414,9 @@ def _mixed(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
     return nodes.join(mixed.select("key"), "key", "left_semi").select("key", "rep", "n")
 
 
-def _alive(nodes: DataFrame, comps: DataFrame | None, reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members of nodes that hold more than one component, with their component and sketch."""
-    return scratch.write(_named(_mixed(nodes, comps), comps).join(reps, "rep").select("key", "rep", "n", "comp", "sketch"))
+def _alive(nodes: DataFrame, comps: DataFrame | None, tags: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of nodes that hold more than one component, with their component and tag."""
+    return scratch.write(_named(_mixed(nodes, comps), comps).join(tags, "rep").select("key", "rep", "n", "comp", "tag"))
 
 
 def _merged(comps: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -430,7 +433,7 @@ def _merged(comps: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
 
 
 def _pairs(members: DataFrame, propose) -> DataFrame:
-    rows = members.select("key", "block", "rep", "comp", "sketch")
+    rows = members.select("key", "block", "rep", "comp", "tag")
     rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
     return rows.mapInArrow(propose, "a long, b long, key long")
 
@@ -439,7 +442,7 @@ def _blocks(big: DataFrame, node: int) -> DataFrame:
     """Members of large nodes cut into blocks, and the smallest member of a node in each of them."""
     count = F.ceil(F.col("n") / (node - 1)).cast("int")
     dealt = big.withColumn("block", F.pmod(F.xxhash64("rep"), count).cast("int"))
-    pivots = big.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp", "sketch"), "rep").alias("p")).select("key", "p.*")
+    pivots = big.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp", "tag"), "rep").alias("p")).select("key", "p.*")
     spread = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), count - 1)))
     return dealt.unionByName(spread.select(*dealt.columns))
 
@@ -464,7 +467,7 @@ def _against_all(members: DataFrame, chunk: int) -> DataFrame:
     )
     # Long: products of chunk numbers may pass 32 bits.
     block = (F.col("i").cast("long") * (1 << 31) + F.col("j")).alias("block")
-    return every.select("key", "rep", "comp", "sketch", block).unionByName(few.select("key", "rep", "comp", "sketch", block))
+    return every.select("key", "rep", "comp", "tag", block).unionByName(few.select("key", "rep", "comp", "tag", block))
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch, most: int = 63) -> DataFrame:

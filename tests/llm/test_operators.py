@@ -321,7 +321,7 @@ def test_set_join(spark, node, levels, chunk):
 
 def test_blocks_of_very_large_nodes(spark):
     """From 2,148 blocks on their pairs' numbers pass 32 bits."""
-    rows = spark.range(50).selectExpr("0L AS key", "id AS rep", "200000 AS n", "40 + 3000 AS others", "id < 40 AS other", "id AS comp", "id AS sketch")
+    rows = spark.range(50).selectExpr("0L AS key", "id AS rep", "200000 AS n", "40 + 3000 AS others", "id < 40 AS other", "id AS comp", "id AS tag")
     blocks = {}
     for r in _against_all(rows, 64).select("rep", "block").collect():
         blocks.setdefault(r.rep, set()).add(r.block)
