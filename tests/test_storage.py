@@ -302,6 +302,31 @@ def test_batch_index(spark, tmp_path, catalog_dir):
     assert [tuple(r) for r in found.collect()] == [("cxi1", 2), ("cxi2", 1), ("mfx1", 1), ("mfx2", 1)]
 
 
+def test_one_failing_experiment_of_a_batch(spark, tmp_path, catalog_dir, monkeypatch):
+    batch = importlib.import_module("pathledger.plans.batch")
+    for i in range(4):
+        write_file(tmp_path / f"data/cxi/e{i}/f", i)
+    real, calls = batch.record_snapshot, []
+
+    def record(store, files, targets, *args, **options):
+        calls.append(sorted(e for e, _ in targets))
+        if "e2" in calls[-1]:
+            # Half-way: files written, nothing committed.
+            rows = files.withColumns({"indexed_at": F.lit("t"), "on_disk": F.lit(True), "status": F.lit(None).cast("string")})
+            store.write_base(rows, options["write"], "t", 1)
+            raise OSError("disk full")
+        return real(store, files, targets, *args, **options)
+
+    monkeypatch.setattr(batch, "record_snapshot", record)
+    catalog = Catalog(spark, catalog_dir)
+    report = {r.experiment: (r.added, r.error) for r in catalog.index(str(tmp_path / "data"), ["cxi"]).collect()}
+    assert report == {"e0": (1, None), "e1": (1, None), "e2": (0, "OSError: disk full"), "e3": (1, None)}
+    assert calls == [["e0", "e1", "e2", "e3"], ["e0", "e1"], ["e2", "e3"], ["e2"], ["e3"]]
+    assert sorted(r.experiment for r in catalog.list_snapshots().collect()) == ["e0", "e1", "e3"]
+    # No folder of a write that failed is left.
+    assert len(catalog.log.storage.children(catalog.log.log_dir)) == 2
+
+
 def test_scan_of_wide_and_deep_trees(spark, tmp_path):
     for i in range(60):
         write_file(tmp_path / "wide" / f"d{i % 20}" / f"s{i % 7}" / f"f{i}", i)
