@@ -32,10 +32,11 @@ from pathledger.llm.perfecthash import TermShard, same_bytes, term_hashes
 from pathledger.llm.scratch import Scratch
 from pathledger.llm.text import column, lower_ascii, slices, text_bytes, word_spans
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20  # arrays over a slice take some 80 times its bytes
 BROADCAST_BYTES = 64 << 20
 HELD_TERMS = 1 << 20  # terms of slices that one task adds up before it hands them on
-SLOT_BYTES = 64 << 20  # dense counters that one task holds before it hands them on
+SLOT_BYTES = 32 << 20  # dense counters, of four bytes, that one task holds before it hands them on
+SLOT_TOKENS = 1 << 30  # tokens that it counts before it does so, which no counter can exceed
 SHARD_TERMS, SHARD_BYTES = 1 << 17, 4 << 20
 SLOT_BLOCK, SOURCE_TILE = 8192, 128
 
@@ -81,17 +82,20 @@ def _document_counts(batches):
     held: dict[str, tuple[list, list]] = {}
     rows = 0
 
+    def merged(terms, counts):
+        whole = pa.concat_arrays(terms).dictionary_encode()
+        # Sums far below 2^53, so exact in double precision.
+        return [whole.dictionary], [np.bincount(whole.indices.to_numpy(), np.concatenate(counts)).astype(np.int64)]
+
     def added():
-        for lang, (terms, counts) in held.items():
-            merged = pa.concat_arrays(terms).dictionary_encode()
-            # Sums far below 2^53, so exact in double precision.
-            sums = np.bincount(merged.indices.to_numpy(), np.concatenate(counts)).astype(np.int64)
+        while held:
+            lang, parts = held.popitem()
+            (terms,), (sums,) = merged(*parts)
             yield pa.RecordBatch.from_pydict({
-                "lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(sums), np.int64))),
-                "term": merged.dictionary.cast(pa.string()),
+                "lang": pa.repeat(pa.scalar(lang, pa.string()), len(sums)),
+                "term": terms.cast(pa.string()),
                 "n": pa.array(sums),
             })
-        held.clear()
 
     for batch in slices(batches, SLICE_BYTES):
         data, starts, ends, hashes, owner, number, langs = _tokens(batch)
@@ -108,8 +112,13 @@ def _document_counts(batches):
             counts.append(np.bincount(pairs[new] % len(first), minlength=len(first)))
             rows += len(first)
         if rows > HELD_TERMS:
-            yield from added()
-            rows = 0
+            # Terms that several slices share are added up first; what they leave goes on only if it is much.
+            for lang, parts in held.items():
+                held[lang] = merged(*parts)
+            rows = sum(len(terms[0]) for terms, _ in held.values())
+            if rows > HELD_TERMS // 2:
+                yield from added()
+                rows = 0
     yield from added()
 
 
@@ -149,18 +158,23 @@ def _recount(rows):
             for lang, (_, held) in langs.items()
         }
         counters: dict[int, tuple[int, np.ndarray]] = {}
+        tokens = 0
 
         def flush():
             for group, (base, dense) in counters.items():
                 at = np.flatnonzero(dense)
                 yield pa.RecordBatch.from_pydict({
-                    "group": pa.array(np.full(len(at), group)), "slot": pa.array(at + base), "n": pa.array(dense[at]),
+                    "group": pa.array(np.full(len(at), group)), "slot": pa.array(at + base), "n": pa.array(dense[at].astype(np.int64)),
                 })
             counters.clear()
 
         for batch in slices(batches, SLICE_BYTES):
             data, starts, ends, hashes, owner, number, names = _tokens(batch)
             owners = column(batch, "group").to_numpy()
+            tokens += len(owner)
+            if tokens > SLOT_TOKENS:
+                yield from flush()
+                tokens = len(owner)
             for at, lang in enumerate(names):
                 if lang not in langs:
                     continue
@@ -182,9 +196,9 @@ def _recount(rows):
                 for low, high in zip(cuts[:-1], cuts[1:]):
                     this = int(group[low])
                     if this not in counters:
-                        if (sum(len(c) for _, c in counters.values()) + end - base) * 8 > SLOT_BYTES:
+                        if (sum(len(c) for _, c in counters.values()) + end - base) * 4 > SLOT_BYTES:
                             yield from flush()
-                        counters[this] = base, np.zeros(end - base, np.int64)
+                        counters[this] = base, np.zeros(end - base, np.int32)
                     np.add.at(counters[this][1], slots[low:high], 1)
         yield from flush()
 

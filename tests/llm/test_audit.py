@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pathledger.llm import divergence
@@ -99,6 +102,40 @@ def test_divergence_equals_plain(mixed, monkeypatch, small):
     assert rows_of(source_divergence(frame)) == plain_divergence(rows)
 
 
+def _texts(n, size, terms):
+    rnd = random.Random(9)
+    spell = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(5))
+    texts = [" ".join(spell(rnd.randrange(terms)) for _ in range(size)) for _ in range(n)]
+    return pa.RecordBatch.from_pydict({"text": texts, "lang": [("en", "de")[i % 2] for i in range(n)]})
+
+
+def test_divergence_counts_in_bounded_memory():
+    """Two tasks of one executor count beside its heap: arrays over a slice of text stay small."""
+    batch = _texts(200, 5_000, 20_000)
+    tracemalloc.start()
+    try:
+        for _ in divergence._document_counts([batch]):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120 << 20
+
+
+@pytest.mark.parametrize("held", [50, 2000, 1 << 20])
+def test_divergence_adds_up_what_a_task_holds(monkeypatch, held):
+    """Terms of several slices are added up when a task holds many, and handed on when they stay many."""
+    monkeypatch.setattr(divergence, "SLICE_BYTES", 500)
+    monkeypatch.setattr(divergence, "HELD_TERMS", held)
+    batch, got, expected = _texts(60, 40, 300), Counter(), Counter()
+    out = list(divergence._document_counts([batch]))
+    for row in (r for b in out for r in b.to_pylist()):
+        got[row["lang"], row["term"]] += row["n"]
+    for text, lang in zip(*batch.to_pydict().values()):
+        expected.update((lang, t) for t in set(text.split()))
+    assert got == expected and (len(out) > 2) == (held == 50)
+
+
 def test_divergence_of_odd_rows(spark, odd):
     expected = plain_divergence([(r.doc_id, r.text, r.lang, r.source) for r in odd.collect()])
     assert rows_of(source_divergence(odd)) == expected
