@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pathledger.llm.scratch import Scratch
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, number: int | Column, parts: int) -> tuple[Column, Column]:
     """First character (from 1) and length of a segment (from 1) of a line cut evenly; longer segments come last."""
     base, longer = F.floor(length / parts).cast("int"), length % parts
     start = (number - 1) * base + F.greatest(F.lit(0), longer - (parts - number + 1)) + 1
@@ -62,7 +62,7 @@ def _cuts(max_edits: int) -> list[tuple[int, int, int]]:
     return own + [cut for cut in asked if cut not in own]
 
 
-def _placed(text: Column, length: Column, cut: tuple[int, int, int], max_edits: int):
+def _placed(text: Column, length: Column, cut: tuple, max_edits: int):
     """Length of the line looked for, the substring of a cut, what the text has besides, and whether the cut lies inside."""
     number, less, shift = cut
     start, size = _segment(length - less, number, max_edits + 1)
@@ -85,18 +85,22 @@ def _members(rows: DataFrame, max_edits: int, level: int) -> DataFrame:
 
     ``found`` says whether a row is found under its key or only looks there, for a line shorter by ``less``.
     """
-    length = F.length("rest")
-    made = []
-    for i, cut in enumerate(_cuts(max_edits)):
-        of, piece, rest, inside = _placed(F.col("rest"), length, cut, max_edits)
-        terms = (of, F.lit(cut[0]), piece)
-        if level:
-            inside &= F.col("less") == cut[1]
-            terms += (F.col("key"),)
-        found = F.col("found") if i <= max_edits else F.lit(False)
-        row = F.struct(F.xxhash64(*terms).alias("key"), found.alias("found"), F.lit(cut[1]).alias("less"), rest.alias("rest"))
-        made.append(F.when(inside, row))
-    return rows.select("first", "line", F.explode(F.array(*made)).alias("m")).filter("m IS NOT NULL").select("first", "line", "m.*")
+    # Cuts are rows, not expressions: each as an expression of its own makes plans that fill the driver.
+    cuts = [
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(("number", "by", "shift", "own"), (*cut, i <= max_edits))])
+        for i, cut in enumerate(_cuts(max_edits))
+    ]
+    cut = F.col("cut")
+    asked = rows.select("*", F.explode(F.array(*cuts)).alias("cut"))
+    of, piece, rest, inside = _placed(F.col("rest"), F.length("rest"), (cut["number"], cut["by"], cut["shift"]), max_edits)
+    terms = (of, cut["number"], piece)
+    if level:
+        inside &= F.col("less") == cut["by"]
+        terms += (F.col("key"),)
+    return asked.filter(inside).select(
+        "first", "line", F.xxhash64(*terms).alias("key"), (F.col("found") & cut["own"]).alias("found"),
+        cut["by"].alias("less"), rest.alias("rest"),
+    )
 
 
 def within_edits(a: Column, b: Column, max_edits: int) -> Column:
@@ -117,11 +121,15 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
             for d in range(-k, k + 1):
                 equal = F.get(left, j - 1 + d) == F.get(right, j - 1)
                 same = same.bitwiseOR(F.when(equal, 1 << (d + k)).otherwise(0))
+            # A lambda of its own: compared once a step, and written once in the plan.
+            return F.get(F.transform(F.array(F.struct(state.alias("old"), same.alias("same"))), after), 0)
+
+        def after(at: Column) -> Column:
             new = []
             for e in range(k + 1):
-                own = state[f"e{e}"].bitwiseAND(same)
+                own = at["old"][f"e{e}"].bitwiseAND(at["same"])
                 if e:
-                    before = state[f"e{e - 1}"]
+                    before = at["old"][f"e{e - 1}"]
                     # A changed character, one of b that a lacks, one of a that b lacks.
                     own = own.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new[-1], 1))
                 new.append(own.bitwiseAND(full))
@@ -133,9 +141,7 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     split = F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")))
     last = F.get(F.transform(split, last_state), 0)
     difference = F.length(a) - F.length(b)
-    reached = F.lit(False)
-    for d in range(-k, k + 1):
-        reached = F.when(difference == d, last.bitwiseAND(1 << (d + k)) != 0).otherwise(reached)
+    reached = last.bitwiseAND(F.call_function("shiftleft", F.lit(1), difference + k)) != 0
     return (F.abs(difference) <= k) & ((F.length(b) == 0) | reached)
 
 

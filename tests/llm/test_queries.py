@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from pathledger.llm import lines
 from pathledger.llm.lines import dedup_lines
 from pathledger.llm.oracles import ORACLES
 from pathledger.llm.queries import QUERIES
@@ -109,3 +110,14 @@ def test_lines_keep_columns_of_any_name(spark):
 def test_texts_of_one_id_keep_one_of_a_shared_line(spark):
     docs = spark.createDataFrame([(1, "a line of some length\nx"), (1, "a line of some length\ny")], "doc_id long, text string")
     assert sorted(r.n_removed for r in dedup_lines(docs).collect()) == [0, 1]
+
+
+def test_plans_of_line_comparisons_stay_small(spark):
+    """The driver keeps plans of many steps, so cuts and comparisons are written once in each."""
+    rows = spark.createDataFrame([(1, "a line")], "first long, line string")
+    rows = rows.select("first", "line", F.col("line").alias("rest"), F.lit(True).alias("found"))
+    size = lambda frame: len(frame._jdf.queryExecution().toString())
+    members = lines._members(rows, 2, 0)
+    assert size(members) < 20_000
+    stored = members.localCheckpoint()
+    assert size(lines._later(stored, stored.filter("found"), 2)) < 60_000
