@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +33,7 @@ class Scratch:
         self._spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._numbers = itertools.count()
+        self._written: dict[str, DataFrame] = {}
 
     def write(self, frame: DataFrame, codec: str = "zstd", by: str | None = None) -> DataFrame:
         """Write and read again; ``by`` names a column whose values get folders of their own."""
@@ -40,6 +42,7 @@ class Scratch:
         (writer.partitionBy(by) if by else writer).parquet(place)
         written = self._spark.read.schema(frame.schema).parquet(place)
         written._scratch_place = place
+        self._written[place] = written
         return written
 
     def drop(self, *frames: DataFrame) -> None:
@@ -48,6 +51,17 @@ class Scratch:
         for frame in frames:
             path = jvm.org.apache.hadoop.fs.Path(frame._scratch_place)
             path.getFileSystem(conf).delete(path, True)
+            self._written.pop(frame._scratch_place, None)
+
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        """Delete all tables written so far but those that a returned result reads."""
+        places = {frame._scratch_place for frame in kept}
+        self.drop(*[frame for place, frame in self._written.items() if place not in places])
+
+
+def broadcast_few(written: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """A written table of one or two long columns, marked for broadcast while its rows are at most ``most``."""
+    return F.broadcast(written) if written.count() <= most else written
 
 
 def partitions(spark: SparkSession) -> int:

@@ -8,19 +8,22 @@ at s = 0.8 is lost by one tree with probability 1/16 at most (the fixed point of
 q = (0.2 + 0.8 q)^2), by eight independent trees with 3e-10. Sketches that fall five standard
 errors short lose it with about 2e-7.
 
-Comparing means: pairs whose tags allow the threshold are proposed, and each is confirmed on
-the full sets. A tag is a sketch cut to one byte a coordinate, a quarter of its size: equal
-coordinates have equal bytes, so no pair that its sketches would propose is lost, and of unequal
-ones 1 in 256 agree by chance. Members travel with their tags; sketches are only read to branch. As components are asked for, a node first proposes a spanning
-forest over the components so far, then more, in the end every pair between different
-components; a node within one component is done. One tree goes ahead of the others, so that
-they only meet what it has left apart. A large node is cut into blocks that all hold its
-smallest member, so that thousands of near copies join at once. What then lies outside its
-largest component is compared with all members, chunk by chunk, once it is few sets (twice
-as many at each level, as those that stay together are alike), and after the last level
-always, so no node's size is capped.
-
-Equal sets are one class from the start. Sets are never gathered beyond a block.
+Comparing means: members that agree with one of another component in enough of their tags are
+suspects, and the suspects of a node meet once more, with their full sets. Only links that join
+components leave that meeting, a spanning forest, so rows out never outnumber members, however
+many pairs are alike without linking. A tag is a sketch cut to one byte a coordinate, a quarter
+of its size: equal coordinates have equal bytes, so no pair that its sketches would propose is
+lost, and of unequal ones 1 in 256 agree by chance. Members travel with their tags; sketches are
+only read to branch, full sets are computed of suspects alone. Suspects that have met in one node
+do not meet again as the same group.
+
+A node within one component is done. One tree goes ahead of the others, so that they only meet
+what it has left apart. A large node is cut into blocks that all hold a few members in common,
+so that thousands of near copies join at once. What then lies outside its largest component is
+compared with all members, chunk by chunk, once it is few sets (twice as many at each level, as
+those that stay together are alike), and after the last level always, so no node's size is capped.
+
+Equal sets are one class from the start. Sets are never gathered beyond a block or two chunks.
 
 Edge cases: texts without words and null texts have an empty set and link with nothing; a
 text shorter than a shingle is one shingle of all its words; a document without an id
@@ -31,16 +34,13 @@ columns other than id and text are not read; a very long text is one set.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.llm.graph import components
-from pathledger.llm.scratch import Scratch
+from pathledger.llm.scratch import Scratch, broadcast_few
 from pathledger.llm.text import column, gram_hashes, lower_ascii, mix, slices, span_hashes, text_bytes, word_hashes, word_spans
 
 SLICE = 1 << 20
@@ -125,11 +125,11 @@ def _sketch_rows(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(column(batch, "sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
-def _roots(trees: int):
+def _roots(trees: range):
     def run(batches):
         for batch in batches:
             reps, sketch = column(batch, "rep").to_numpy(), _sketch_rows(batch)
-            for tree in range(trees):
+            for tree in trees:
                 rows, child = _branches(np.full(len(reps), mix(np.array([tree + 1], np.uint64))[0]), sketch)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(child.view(np.int64)), pa.array(reps[rows])], names=["key", "rep"]
@@ -145,34 +145,42 @@ def _children(batches):
         yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(reps[rows])], names=["key", "rep"])
 
 
-def forests(reps: np.ndarray, group: np.ndarray, tag: np.ndarray, least: float, layers: int):
-    """Pairs of different groups whose tags agree on ``least`` or more, best first, and whether
-    any are left out: as many edge-disjoint spanning forests over the groups as ``layers`` says,
-    all pairs if that is 0 or they are few."""
-    alike = np.stack([(tag == row).mean(1) for row in tag])
-    i, j = np.nonzero(np.triu((alike >= least) & (group[:, None] != group[None, :]), 1))
-    if not layers or len(i) <= 2 * len(reps):
-        return list(zip(reps[i].tolist(), reps[j].tolist(), strict=True)), False
-    order = np.lexsort((j, i, -alike[i, j]))
-    left = list(zip(i[order].tolist(), j[order].tolist(), strict=True))
-    out: list[tuple[int, int]] = []
-    names, first = np.unique(group, return_inverse=True)
-    first = first.tolist()
-    for _ in range(layers):
-        root, rest = list(range(len(names))), []
-        for a, b in left:
-            ra, rb = first[a], first[b]
-            while root[ra] != ra:
-                ra = root[ra]
-            while root[rb] != rb:
-                rb = root[rb]
-            if ra == rb:
-                rest.append((a, b))
-            else:
-                root[max(ra, rb)] = min(ra, rb)
-                out.append((int(reps[a]), int(reps[b])))
-        left = rest
-    return out, bool(left)
+def suspected(group: np.ndarray, tag: np.ndarray, least: float) -> np.ndarray:
+    """Which members agree on ``least`` or more of their tags with one of another group."""
+    out = np.zeros(len(group), bool)
+    # Any two groups have a member outside the largest one.
+    for i in np.flatnonzero(group != _largest(group)):
+        met = (np.count_nonzero(tag == tag[i], axis=1) >= least * COORDINATES) & (group != group[i])
+        if met.any():
+            out |= met
+            out[i] = True
+    return out
+
+
+def forest(reps: np.ndarray, group: np.ndarray, sets: list[np.ndarray], least: int) -> list[tuple[int, int]]:
+    """Links between sets of different groups that join all groups which any such links join."""
+    sizes = np.array([len(s) for s in sets])
+    begins = np.cumsum(sizes) - sizes
+    values, items = np.unique(np.concatenate(sets), return_inverse=True)
+    held, group, out = np.zeros(len(values), bool), group.copy(), []
+    for i in np.flatnonzero(group != _largest(group)):
+        if (group == group[i]).all():
+            break
+        own = items[begins[i] : begins[i] + sizes[i]]
+        held[own] = True
+        both = np.add.reduceat(held[items], begins, dtype=np.int64)
+        held[own] = False
+        links = np.flatnonzero((group != group[i]) & (100 * both >= least * (sizes + sizes[i] - both)))
+        while len(links):
+            out.append((int(reps[i]), int(reps[links[0]])))
+            group[group == group[links[0]]] = group[i]
+            links = links[group[links] != group[i]]
+    return out
+
+
+def _largest(group: np.ndarray):
+    names, sizes = np.unique(group, return_counts=True)
+    return names[sizes.argmax()]
 
 
 def _whole_groups(batches, *names: str):
@@ -197,49 +205,46 @@ def _begins(table: pa.Table, names) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _propose(least: float, layers: int):
-    """Pairs (a, b) of each node or block; a row without them names a node that leaves some out."""
+def _suspects(least: float):
+    """Suspects of each node or block, under two 64-bit keys of the set of them."""
 
     def run(batches):
         for table, begins in _whole_groups(batches, "key", "block"):
-            key, reps, comp = (table.column(c).to_numpy() for c in ("key", "rep", "comp"))
+            reps, comp = (table.column(c).to_numpy() for c in ("rep", "comp"))
             tag = np.frombuffer(b"".join(table.column("tag").to_pylist()), np.uint8).reshape(-1, COORDINATES)
             sizes = np.diff(begins)
             two = begins[:-1][sizes == 2]
-            close = (tag[two] == tag[two + 1]).mean(1) >= least
-            two = two[close & (comp[two] != comp[two + 1])]
-            out = [(a, b, None) for a, b in zip(reps[two].tolist(), reps[two + 1].tolist(), strict=True)]
+            two = two[(comp[two] != comp[two + 1]) & (reps[two] != reps[two + 1])]
+            two = two[np.count_nonzero(tag[two] == tag[two + 1], axis=1) >= least * COORDINATES]
+            found = list(np.stack([two, two + 1], 1))
             for lo, hi in zip(begins[:-1][sizes > 2], begins[1:][sizes > 2], strict=True):
-                own, first = np.unique(reps[lo:hi], return_index=True)
-                pairs, more = forests(own, comp[lo:hi][first], tag[lo:hi][first], least, layers)
-                out += [(a, b, None) for a, b in pairs]
-                if more:
-                    out.append((None, None, int(key[lo])))
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            a, b, open_key = (pa.array(c, pa.int64()) for c in columns)
-            yield pa.RecordBatch.from_arrays([pc.min_element_wise(a, b), pc.max_element_wise(a, b), open_key], names=["a", "b", "key"])
+                first = np.unique(reps[lo:hi], return_index=True)[1] + lo
+                found.append(first[suspected(comp[first], tag[first], least)])
+            rows = np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
+            counts = np.array([len(f) for f in found if len(f)], np.int64)
+            marks = mix(reps[rows].view(np.uint64))
+            starts = np.cumsum(counts) - counts
+            keys = [
+                np.repeat(np.add.reduceat(m, starts) if len(counts) else m, counts).view(np.int64)
+                for m in (marks, mix(marks ^ np.uint64(0xD6E8FEB86659FD93)))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, keys), pa.array(reps[rows]), pa.array(comp[rows])], names=["s1", "s2", "rep", "comp"]
+            )
 
     return run
 
 
 def _confirm(least: int):
-    """Of each bundle, its center with every other set that links to it."""
+    """Of each group of suspects, the links on their full sets that join components."""
 
     def run(batches):
-        for table, begins in _whole_groups(batches, "a", "bundle"):
-            reps, center = table.column("rep").to_numpy(), table.column("center").to_numpy()
-            blobs = table.column("shingles").to_pylist()
-            linked = []
-            for lo, hi in zip(begins[:-1], begins[1:], strict=True):
-                sets = [np.frombuffer(x, np.uint64) for x in blobs[lo:hi]]
-                at = int(np.flatnonzero(center[lo:hi])[0])
-                one = sets[at]
-                for i, other in enumerate(sets):
-                    if i != at:
-                        place = np.minimum(np.searchsorted(one, other), len(one) - 1)
-                        both = int((one[place] == other).sum())
-                        if 100 * both >= least * (len(one) + len(other) - both):
-                            linked.append((int(reps[lo + at]), int(reps[lo + i])))
+        for table, begins in _whole_groups(batches, "s1", "s2"):
+            reps, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
+            blobs, linked = table.column("shingles"), []
+            for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                sets = [np.frombuffer(x, np.uint64) for x in blobs.slice(lo, hi - lo).to_pylist()]
+                linked += forest(reps[lo:hi], comp[lo:hi], sets, least)
             columns = list(zip(*linked, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
@@ -268,8 +273,7 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
     to ``node`` sets are compared at once, larger ones branch for ``levels`` levels or are
     finished by comparing chunks of ``chunk`` sets.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "setjoin")
+    scratch = Scratch(docs.sparkSession, "setjoin")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = scratch.write(
         rows.mapInArrow(_sketched(size), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary, tag binary")
@@ -281,86 +285,36 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
         # A number of its own, fixed by the write: one id may stand for several sets.
         .withColumn("rep", F.monotonically_increasing_id())
     )
-    reps, tags = classes.select("rep", "sketch"), classes.select("rep", "tag")
-    least = percent / 100 - SHARE
-    nodes = scratch.write(_crowded(reps.mapInArrow(_roots(trees), "key long, rep long")))
-    suspects = nodes.select("rep").distinct()
-    wanted = classes.join(suspects, "rep", "left_semi").select("rep", "first_id", *same)
-    texts = rows.join(wanted, F.col("doc_id") == F.col("first_id"), "left_semi").filter("text IS NOT NULL")
-    full = scratch.write(
-        texts.mapInArrow(_full_sets(size), "n_shingles long, k1 long, k2 long, shingles binary")
-        .join(wanted.drop("first_id"), same).dropDuplicates(same).select("rep", "shingles")
-    )
+    known = classes.select("rep", "sketch", "tag")
+    links = _Links(rows, classes.select("rep", "first_id", *same), size, percent, scratch)
     # One tree first: nearly all links show in it, and the other trees' nodes within one component are done.
-    ahead = _alive(_crowded(reps.mapInArrow(_roots(1), "key long, rep long")), None, tags, scratch)
-    rows_ahead = ahead.filter(f"n <= {node}").withColumn("block", F.lit(0)).unionByName(_blocks(ahead.filter(f"n > {node}"), node))
-    tested = _pairs(rows_ahead, _propose(least, 1)).filter("a IS NOT NULL").select("a", "b").distinct()
-    tested = scratch.write(tested)
-    confirmed = scratch.write(_verified(tested, full, percent, scratch))
-    comps = None if confirmed.isEmpty() else scratch.write(components(confirmed, scratch))
-    scratch.drop(ahead)
-    waiting, closing = None, []
-    level = 0
-    while True:
-        found, big_left, small, done = [], None, [], []
-        if nodes is not None:
-            alive = _alive(nodes, comps, tags, scratch)
-            done.append(alive)
-            few, big_left = alive.filter(f"n <= {node}"), alive.filter(f"n > {node}")
-            small.append(few)
-            found.append(_pairs(few.withColumn("block", F.lit(0)), _propose(least, 1)))
-            found.append(_pairs(_blocks(big_left, node), _propose(least, 1)))
-        if waiting is not None:
-            old, layers = waiting
-            old = _alive(old, comps, tags, scratch)
-            done.append(old)
-            small.append(old)
-            found.append(_pairs(old.withColumn("block", F.lit(0)), _propose(least, layers)))
-        left_over = []
-        for held, layers in closing:
-            held = scratch.write(_ranked(_alive(held, comps, tags, scratch), scratch))
-            found.append(_pairs(_against_all(held, chunk), _propose(least, layers)))
-            done.append(held)
-            if layers:
-                left_over.append((held.select("key", "rep", "n"), 6 if layers == 1 else 0))
-        proposed = scratch.write(functools.reduce(DataFrame.unionByName, found))
-        pairs = proposed.filter("a IS NOT NULL").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs)
-        unfinished = proposed.filter("a IS NULL").select("key").distinct()
-        again = None
-        if small:
-            rest = functools.reduce(DataFrame.unionByName, [m.select("key", "rep", "n") for m in small])
-            again = scratch.write(rest.join(unfinished, "key", "left_semi"))
-        confirmed = scratch.write(_verified(pairs, full, percent, scratch))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not confirmed.isEmpty():
-            comps = scratch.write(_merged(comps, confirmed, scratch))
-        nodes, closing = None, []
-        # Nodes within one component are done, and those that left out no pair; the others meet again with more of their pairs.
-        for held, layers in left_over:
-            held = scratch.write(_mixed(held.join(unfinished, "key", "left_semi"), comps))
-            if not held.isEmpty():
-                closing.append((held, layers))
-        if big_left is not None:
+    for some in (range(1), range(1, trees)):
+        nodes = scratch.write(_crowded(known.mapInArrow(_roots(some), "key long, rep long")))
+        held, level = known, 0
+        while not nodes.isEmpty():
+            most = chunk << (level + 1)
+            alive = scratch.write(_alive(nodes, links.comps).join(held.select("rep", "tag"), "rep"))
+            few, many = alive.filter(f"n <= {node}"), _ranked(alive.filter(f"n > {node}"), scratch)
+            large = scratch.write(many.filter(f"others > {most}"))
+            groups = few.select("key", F.lit(0).cast("long").alias("block"), "rep", "comp", "tag")
+            groups = groups.unionByName(_against_all(many.filter(f"others <= {most}"), chunk))
+            links.settle(groups.unionByName(_blocks(large, node)))
+            scratch.drop(nodes, alive)
+            if large.isEmpty():
+                scratch.drop(large)
+                break
             # Sets that share a passage part at the next levels; those that stay together through many are near copies.
-            left = scratch.write(_mixed(big_left.select("key", "rep", "n"), comps))
-            done.append(left)
-            most = node << level
-            members = scratch.write(_ranked(_named(left, comps), scratch).select("key", "rep", "n", "others"))
+            left = scratch.write(_ranked(scratch.write(_alive(large.select("key", "rep", "n", "tag"), links.comps)), scratch))
             ending = "true" if level >= levels else f"others <= {most}"
-            ends = scratch.write(members.filter(ending).select("key", "rep", "n"))
-            if not ends.isEmpty():
-                closing.append((ends, 1))
-            wide = members.filter(f"NOT ({ending})").join(reps, "rep").select("key", "rep", "sketch")
-            nodes = scratch.write(_crowded(wide.mapInArrow(_children, "key long, rep long")))
-            nodes = None if nodes.isEmpty() else nodes
-        scratch.drop(*done)
-        waiting = None if again is None or again.isEmpty() else (again, 6 if waiting is None else 0)
-        level += 1
-        if nodes is None and waiting is None and not closing:
-            break
+            links.settle(_against_all(left.filter(ending), chunk))
+            wide = scratch.write(left.filter(f"NOT ({ending})").select("key", "rep"))
+            # Few sets go on: their sketches and tags alone travel from here.
+            few = broadcast_few(scratch.write(wide.select("rep").distinct()))
+            held = scratch.write(held.join(few, "rep", "left_semi"))
+            nodes = scratch.write(_crowded(wide.join(held, "rep").mapInArrow(_children, "key long, rep long")))
+            scratch.drop(large, left)
+            level += 1
+    comps = links.comps
     described = classes.select(*same, "rep", "first_id")
     comps = _with_ids(sets, described, comps, same, scratch)
     if comps is not None:
@@ -370,10 +324,43 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", size: int = 5, p
     classes = described.select(*same, F.col("first_id").alias("component"))
     ids = sets.select("doc_id", *same).join(scratch.write(classes), same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return ids.select(
+    found = scratch.write(ids.select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+    ))
+    scratch.drop_all_but(found)
+    return found
+
+
+class _Links:
+    """Components so far, and the groups of suspects that have met."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch):
+        self._rows, self._classes, self._size, self._percent, self._scratch = rows, classes, size, percent, scratch
+        self._met: DataFrame | None = None
+        self.comps: DataFrame | None = None
+
+    def settle(self, groups: DataFrame) -> None:
+        """Join all components that links between members of one group (key, block, rep, comp, tag) join."""
+        rows = groups.repartition("key", "block").sortWithinPartitions("key", "block")
+        least = self._percent / 100 - SHARE
+        suspects = rows.mapInArrow(_suspects(least), "s1 long, s2 long, rep long, comp long").dropDuplicates(["s1", "s2", "rep"])
+        if self._met is not None:
+            suspects = suspects.join(self._met, ["s1", "s2"], "left_anti")
+        suspects = self._scratch.write(suspects.join(self._classes, "rep"))
+        if suspects.isEmpty():
+            return
+        met = suspects.select("s1", "s2").distinct()
+        self._met = met if self._met is None else self._met.unionByName(met)
+        same = ["n_shingles", "k1", "k2"]
+        ids = self._scratch.write(suspects.select("first_id").distinct())
+        texts = self._rows.join(broadcast_few(ids), F.col("doc_id") == F.col("first_id"), "left_semi").filter("text IS NOT NULL")
+        full = texts.mapInArrow(_full_sets(self._size), "n_shingles long, k1 long, k2 long, shingles binary").dropDuplicates(same)
+        members = full.join(suspects, same).select("s1", "s2", "rep", "comp", "shingles")
+        members = members.repartition("s1", "s2").sortWithinPartitions("s1", "s2")
+        found = self._scratch.write(members.mapInArrow(_confirm(self._percent), "a long, b long"))
+        if not found.isEmpty():
+            self.comps = self._scratch.write(_merged(self.comps, found, self._scratch))
 
 
 def _with_ids(sets: DataFrame, classes: DataFrame, comps: DataFrame | None, same: list[str], scratch: Scratch):
@@ -399,24 +386,20 @@ def _crowded(nodes: DataFrame) -> DataFrame:
 
 
 def _named(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Members (key, rep, n) of nodes with their component."""
+    """Members of nodes with their component ``comp``."""
     if comps is None:
         return members.withColumn("comp", F.col("rep"))
     named = comps.select(F.col("node").alias("rep"), "component")
-    return members.join(named, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    return members.join(named, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
-def _mixed(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Members (key, rep, n) of nodes that hold more than one component."""
+def _alive(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Members of nodes that hold more than one component, with their component."""
+    named = _named(nodes, comps)
     if comps is None:
-        return nodes.select("key", "rep", "n")
-    mixed = _named(nodes, comps).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    return nodes.join(mixed.select("key"), "key", "left_semi").select("key", "rep", "n")
-
-
-def _alive(nodes: DataFrame, comps: DataFrame | None, tags: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members of nodes that hold more than one component, with their component and tag."""
-    return scratch.write(_named(_mixed(nodes, comps), comps).join(tags, "rep").select("key", "rep", "n", "comp", "tag"))
+        return named
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return named.join(mixed.select("key"), "key", "left_semi")
 
 
 def _merged(comps: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -432,19 +415,16 @@ def _merged(comps: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     return old.unionByName(touched.join(comps, "node", "left_anti"))
 
 
-def _pairs(members: DataFrame, propose) -> DataFrame:
-    rows = members.select("key", "block", "rep", "comp", "tag")
-    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
-    return rows.mapInArrow(propose, "a long, b long, key long")
-
-
 def _blocks(big: DataFrame, node: int) -> DataFrame:
-    """Members of large nodes cut into blocks, and the smallest member of a node in each of them."""
-    count = F.ceil(F.col("n") / (node - 1)).cast("int")
-    dealt = big.withColumn("block", F.pmod(F.xxhash64("rep"), count).cast("int"))
-    pivots = big.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp", "tag"), "rep").alias("p")).select("key", "p.*")
-    spread = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), count - 1)))
-    return dealt.unionByName(spread.select(*dealt.columns))
+    """Members of large nodes cut into blocks, and some members of a node in each of them."""
+    shared = max(1, node // 8)
+    count = F.ceil(F.col("n") / (node - shared)).cast("long")
+    picked = [F.min_by("rep", F.xxhash64(F.lit(i), "rep")) for i in range(shared)]
+    pivots = big.groupBy("key").agg(F.array_distinct(F.array(*picked)).alias("reps")).select("key", F.explode("reps").alias("rep"))
+    spread = big.join(pivots, ["key", "rep"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    dealt = big.withColumn("block", F.pmod(F.xxhash64("rep"), count))
+    columns = ["key", "block", "rep", "comp", "tag"]
+    return dealt.select(*columns).unionByName(spread.select(*columns))
 
 
 def _ranked(members: DataFrame, scratch: Scratch) -> DataFrame:
@@ -470,18 +450,6 @@ def _against_all(members: DataFrame, chunk: int) -> DataFrame:
     return every.select("key", "rep", "comp", "tag", block).unionByName(few.select("key", "rep", "comp", "tag", block))
 
 
-def _verified(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch, most: int = 63) -> DataFrame:
-    """The pairs that link on their full sets, in bundles of one set and at most about ``most`` partners."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("bundles"))
-    dealt = scratch.write(pairs.join(counts, "a").withColumn("bundle", F.pmod(F.xxhash64("b"), F.col("bundles")).cast("int")))
-    partners = dealt.select("a", "bundle", F.col("b").alias("rep"), F.lit(False).alias("center"))
-    centers = dealt.select("a", "bundle", F.col("a").alias("rep"), F.lit(True).alias("center")).distinct()
-    rows = partners.unionByName(centers).join(full, "rep")
-    rows = rows.select("a", "bundle", "rep", "center", "shingles")
-    rows = rows.repartition("a", "bundle").sortWithinPartitions("a", "bundle")
-    return rows.mapInArrow(_confirm(percent), "a long, b long")
-
-
 def drop_near_duplicates(docs: DataFrame, key="doc_id", **options) -> DataFrame:
     """The documents of which each group of near duplicates keeps one, with all their columns."""
     found = near_duplicates(docs, key=key, **options).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
