@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathledger.llm.scratch import Scratch
+from pathledger.llm.scratch import Scratch, broadcast_few
 
 
 def _segment(length: Column, number: int | Column, parts: int) -> tuple[Column, Column]:
@@ -155,15 +155,20 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _later(members: DataFrame, others: DataFrame, max_edits: int) -> DataFrame:
-    """The later lines (first) of pairs within the threshold that meet under one key.
+    """The later lines (first) of pairs, one of each side, within the threshold that meet under one key."""
+    return _after(members, others, max_edits).unionByName(_after(others, members, max_edits)).distinct()
 
-    The distance is part of the join's condition: pairs that fail it are no rows.
+
+def _after(members: DataFrame, others: DataFrame, max_edits: int) -> DataFrame:
+    """The lines (first) of ``members`` that are within the threshold of an earlier one of ``others`` under one key.
+
+    A semi join: one earlier line is enough, so a member is one row at most, however many there are.
     """
     a = members.select("key", F.col("first").alias("a"), F.col("found").alias("fa"), F.col("rest").alias("x"), F.col("line").alias("la"))
     b = others.select(F.col("key").alias("k"), F.col("first").alias("b"), F.col("found").alias("fb"), F.col("rest").alias("y"), F.col("line").alias("lb"))
     near = within_edits(F.col("x"), F.col("y"), max_edits) & within_edits(F.col("la"), F.col("lb"), max_edits)
-    pairs = a.join(b, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & (F.col("fa") | F.col("fb")) & near)
-    return pairs.select(F.greatest("a", "b").alias("first")).distinct()
+    met = (F.col("key") == F.col("k")) & (F.col("b") < F.col("a")) & (F.col("fa") | F.col("fb")) & near
+    return a.join(b, met, "left_semi").select(F.col("a").alias("first"))
 
 
 def _common(x: Column, y: Column) -> Column:
@@ -200,7 +205,7 @@ def near_lines(members: DataFrame, max_edits: int, crowded: int, scratch: Scratc
         members = scratch.write(members.join(groups.select("key", "n", "left"), "key"))
         few, many = members.filter(f"n <= {crowded}"), members.filter(f"n > {crowded}")
         pivots = groups.filter(f"n > {crowded}").select("key", F.lit(True).alias("found"), "pivot.*")
-        settled = _later(few.filter("found"), few, max_edits).unionByName(_later(pivots, many, max_edits)).distinct()
+        settled = _after(few, few, max_edits).unionByName(_later(pivots, many, max_edits)).distinct()
         settled = scratch.write(settled if later is None else settled.join(later, "first", "left_anti"))
         later = settled if later is None else later.unionByName(settled)
         open_rows = scratch.write(many.join(later, "first", "left_anti"))
@@ -231,8 +236,9 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, key="doc_id", text="text",
 
     held = places.select("h1", F.posexplode("keys").alias("i", "key")).filter("key IS NOT NULL")
     met = held.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("i").alias("i"))
-    met = scratch.write(met.filter(f"lo < hi AND i <= {max_edits}").select("key"))
-    wanted = scratch.write(held.join(met, "key", "left_semi").select("h1").distinct())
+    # Few keys have several lines: they go to all lines, instead of all keys of all lines to them.
+    met = broadcast_few(scratch.write(met.filter(f"lo < hi AND i <= {max_edits}").select("key")))
+    wanted = broadcast_few(scratch.write(held.join(met, "key", "left_semi").select("h1").distinct()))
     texts = lines.join(wanted, "h1", "left_semi").select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
     texts = texts.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).select("first", "line", F.col("line").alias("rest"), F.lit(True).alias("found"))
     members = scratch.write(_members(texts, max_edits, 0).join(met, "key", "left_semi"))
@@ -247,6 +253,7 @@ def dedup_lines(docs: DataFrame, key="doc_id", text="text", **options) -> DataFr
     scratch = Scratch(docs.sparkSession, "lines")
     gone = repeated_lines(docs, scratch, key, text, **options)
     gone = scratch.write(gone.groupBy("doc", "mark").agg(F.collect_set("pos").alias("gone")))
+    scratch.drop_all_but(gone)
     own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     old, names = F.col("row").getField(text), [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     on = (F.col("row").getField(key).cast("long") == F.col("doc")) & (F.xxhash64(old) == F.col("mark"))

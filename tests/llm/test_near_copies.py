@@ -4,8 +4,9 @@ import os
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from pathledger.llm import setjoin
+from pathledger.llm import lines, setjoin
 from pathledger.llm.scratch import Scratch
 from tests.llm.conftest import smallest_reached
 
@@ -61,3 +62,11 @@ def test_near_copies_that_hardly_link_are_no_pairs(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in rows} == expected
     assert max(written) <= 8 * 120
     assert len(os.listdir(places[-1].removeprefix("file:"))) == 1
+
+
+def test_a_later_line_is_one_row_however_many_come_before(spark):
+    texts = [f"a line of some length {i}" for i in range(9)]
+    rows = spark.createDataFrame([(i, t, t, True, 1) for i, t in enumerate(texts)], "first long, line string, rest string, found boolean, key long")
+    assert sorted(r.first for r in lines._after(rows, rows, 1).collect()) == list(range(1, 9))
+    pivot = rows.filter(F.col("first") == 4)
+    assert sorted(r.first for r in lines._later(pivot, rows, 1).collect()) == list(range(4, 9))
